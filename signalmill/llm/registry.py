@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import bpe
+from signalmill.llm import bpe, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": bpe.op1_bpe}
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_pii": pii.op2_pii,
+        "op4_secrets": secrets.op4_secrets,
+        "op6_simhash": simhash.op6_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
