@@ -56,3 +56,33 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+class open_shared:  # noqa: N801
+    """A file of the shared folder, in a task. With ``attempt`` it is written:
+    under a name of the attempt's own, renamed to ``path`` when all went well."""
+
+    def __init__(self, path: str, attempt: int | None = None):
+        from pyarrow import fs
+
+        self.path, self.attempt, self.stream = path, attempt, None
+        self.system, self.place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+    def __enter__(self) -> open_shared:
+        return self
+
+    def open(self):
+        if self.attempt is None:
+            self.stream = self.system.open_input_file(self.place)
+        else:
+            folder, _, name = self.place.rpartition("/")
+            self.system.create_dir(folder, recursive=True)
+            self.draft = f"{folder}/_{name}.{self.attempt}"
+            self.stream = self.system.open_output_stream(self.draft)
+        return self.stream
+
+    def __exit__(self, kind, *_) -> None:
+        if self.stream:
+            self.stream.close()
+            if self.attempt is not None and kind is None:
+                self.system.move(self.draft, self.place)
