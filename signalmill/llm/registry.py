@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import bpe, pii, secrets, simhash, token_planes
+from signalmill.llm import bpe, pii, secrets, simhash, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": pii.op2_pii,
         "op4_secrets": secrets.op4_secrets,
         "op6_simhash": simhash.op6_simhash,
+        "op7_warc": warc.op7_warc,
         "op10_token_planes": token_planes.op10_token_planes,
     }
 
