@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import bpe, pii, secrets, simhash, token_planes, warc
+from signalmill.llm import bpe, langid, pii, quality, secrets, simhash, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_pii": pii.op2_pii,
+        "op3_langid": langid.op3_langid,
         "op4_secrets": secrets.op4_secrets,
         "op6_simhash": simhash.op6_simhash,
         "op7_warc": warc.op7_warc,
+        "op8_quality": quality.op8_quality,
         "op10_token_planes": token_planes.op10_token_planes,
     }
 
