@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import bpe, langid, pii, quality, secrets, simhash, token_planes, warc
+from signalmill.llm import bpe, langid, mixing, pii, posting_lists, quality, secrets, simhash, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": pii.op2_pii,
         "op3_langid": langid.op3_langid,
         "op4_secrets": secrets.op4_secrets,
+        "op5_mixing": mixing.op5_mixing,
         "op6_simhash": simhash.op6_simhash,
         "op7_warc": warc.op7_warc,
         "op8_quality": quality.op8_quality,
+        "op9_posting_lists": posting_lists.op9_posting_lists,
         "op10_token_planes": token_planes.op10_token_planes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.SQL}
