@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import materialize, table, text_or_empty, tune
@@ -149,6 +150,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_column: str = "text
     return rows.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text_column: str = "text", words: int = 4, hot: int = HOT) -> DataFrame:
+    """The rows, with their own columns, of the smallest key of each component.
+
+    Rows that share a key stand or fall together, but of those with equal text
+    one stays. Texts are shuffled once, by their key.
+    """
+    found = near_duplicates(df, key, text_column, words, hot)
+    stay = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_kept")).distinct()
+    rows = df.join(stay, F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    one = F.row_number().over(W.partitionBy(F.col(key).cast("long"), F.xxhash64(text_or_empty(text_column))).orderBy(F.lit(0)))
+    return rows.withColumn("_copy", one).where("_copy = 1").drop("_copy")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
