@@ -12,8 +12,8 @@ memo of bounded size.
 Defined results: a null text counts as empty and has no ids; a text of any
 length is encoded whole; equal texts, repeated rows and empty tables need no
 special case, as each row is encoded on its own; columns other than those named
-pass through :func:`encode` untouched, and a clash with an output name raises
-``ValueError``.
+pass through :func:`encode` and :func:`decode` untouched, and one that already
+has the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -211,14 +211,8 @@ def decode_ids(spec: bytes, ids) -> str:
     return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
 
 
-def _clash(df: DataFrame, *names: str) -> None:
-    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"columns already there: {sorted(taken)}")
-
-
 def encode(df: DataFrame, vocabulary_path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as array<int>."""
-    _clash(df, ids_column)
     spec = tokenizer_file(df.sparkSession, vocabulary_path)
 
     @F.pandas_udf("array<int>")
@@ -231,7 +225,6 @@ def encode(df: DataFrame, vocabulary_path: str, text_column: str = "text", ids_c
 
 def decode(df: DataFrame, vocabulary_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """Adds the text of each id list; a null list counts as empty."""
-    _clash(df, text_column)
     spec = tokenizer_file(df.sparkSession, vocabulary_path)
 
     @F.pandas_udf("string")

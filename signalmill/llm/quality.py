@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import materialize, table, text_or_empty, tune
+from signalmill.llm.common import materialize, spare, table, text_or_empty, tune
 
 # White space between words, and the characters counted as symbols.
 SPACE = " \t\n\x0b\x0c\r"
@@ -125,7 +125,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text_column: str = "text",
     judged = measured.drop("lines", "host").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    depleted = (left < MIN_WORDS) | (left < least_left * F.col("n_words"))
+    depleted = left < least_left * F.col("n_words")
     return judged.select(F.col("key").alias(key), *COUNTS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
 
 
@@ -134,11 +134,11 @@ def without_frequent_lines(df: DataFrame, text_column: str = "text", host: str =
 
     Rows are joined to the hashes of their own frequent lines, gathered by row.
     """
-    tagged = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
-    measured = measure(tagged, "_row", text_column, host)
-    measured = materialize(measured)
+    row, frequent = spare(df, "_row"), spare(df, "_frequent")
+    tagged = materialize(df.withColumn(row, F.monotonically_increasing_id()))
+    measured = materialize(measure(tagged, row, text_column, host))
     lines = measured.select("key", "host", F.explode("lines.line").alias("line"))
-    bad = lines.join(frequent_lines(measured, least_documents, share), ["host", "line"]).groupBy(F.col("key").alias("_row")).agg(F.collect_set("line").alias("_bad"))
+    bad = lines.join(frequent_lines(measured, least_documents, share), ["host", "line"]).groupBy(F.col("key").alias(row)).agg(F.collect_set("line").alias(frequent))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, bad_lines: pd.Series) -> pd.Series:
@@ -148,7 +148,7 @@ def without_frequent_lines(df: DataFrame, text_column: str = "text", host: str =
             out.append(text if not drop or text is None else "\n".join(x for x in text.split("\n") if xxhash.xxh64_intdigest(normalised(x)) - (1 << 63) not in drop))
         return pd.Series(out, dtype=object)
 
-    return tagged.join(bad, "_row", "left").withColumn(text_column, cut(F.col(text_column), F.col("_bad"))).drop("_row", "_bad")
+    return tagged.join(bad, row, "left").withColumn(text_column, cut(F.col(text_column), F.col(frequent))).drop(row, frequent)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import materialize, table, text_or_empty
+from signalmill.llm.common import materialize, spare, table, text_or_empty
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "token", "quoted")
@@ -130,22 +130,23 @@ def redact(df: DataFrame, text_column: str = "text", key: str = "doc_id", mark:
         some = some | _may_match(text, kind)
     scanned = scan(df.where(some), key, text_column)
     live = spans(scanned, max_owners).where("live").join(scanned.select("row", "key"), "row")
-    lists = live.groupBy(F.col("key").alias("_secret_key")).agg(F.collect_set("value_hash").alias("_secret_live"))
-    rows = df.where(some).join(lists, F.col(key).eqNullSafe(F.col("_secret_key")), "left").drop("_secret_key")
+    holder, secret = spare(df, "_holder"), spare(df, "_secret")
+    lists = live.groupBy(F.col("key").alias(holder)).agg(F.collect_set("value_hash").alias(secret))
+    rows = df.where(some).join(lists, F.col(key).cast("long").eqNullSafe(F.col(holder)), "left").drop(holder)
     for kind in KINDS:
         text = F.col(text_column)
-        here = F.col("_secret_live").isNotNull() & _may_match(text, kind)
-        rows = rows.withColumn(text_column, F.when(here, _replaced(text, kind, mark)).otherwise(text))
-    return df.where(~some).unionByName(rows.drop("_secret_live"))
+        here = F.col(secret).isNotNull() & _may_match(text, kind)
+        rows = rows.withColumn(text_column, F.when(here, _replaced(text, kind, mark, F.col(secret))).otherwise(text))
+    return df.where(~some).unionByName(rows.drop(secret))
 
 
-def _replaced(text: Column, kind: str, mark: str) -> Column:
+def _replaced(text: Column, kind: str, mark: str, secret: Column) -> Column:
     gaps, hits = F.split(text, PATTERN[kind], -1), F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0))
 
     def shown(hit: Column) -> Column:
         value = F.regexp_extract(hit, ASSIGN, 2) if kind == "assign" else F.substring(hit, F.lit(2), F.length(hit) - 2) if kind == "quoted" else hit
         head = F.substring(hit, F.lit(1), F.length(hit) - F.length(value)) if kind == "assign" else F.lit("")
-        return F.when(F.array_contains(F.col("_secret_live"), F.xxhash64(value)), F.concat(head, F.lit(mark))).otherwise(hit)
+        return F.when(F.array_contains(secret, F.xxhash64(value)), F.concat(head, F.lit(mark))).otherwise(hit)
 
     return F.array_join(F.concat(F.zip_with(F.slice(gaps, 1, F.size(hits)), F.transform(hits, shown), lambda g, h: F.concat(g, h)), F.slice(gaps, -1, 1)), "")
 

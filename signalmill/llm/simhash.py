@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import materialize, table, text_or_empty, tune
+from signalmill.llm.common import materialize, spare, table, text_or_empty, tune
 from signalmill.llm.components import connected_components
 
 SEED = 42
@@ -157,10 +157,11 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text_column: str
     one stays. Texts are shuffled once, by their key.
     """
     found = near_duplicates(df, key, text_column, words, hot)
-    stay = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_kept")).distinct()
-    rows = df.join(stay, F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept, copy = spare(df, "_kept"), spare(df, "_copy")
+    stay = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(kept)).distinct()
+    rows = df.join(stay, F.col(key).cast("long").eqNullSafe(F.col(kept)), "left_semi")
     one = F.row_number().over(W.partitionBy(F.col(key).cast("long"), F.xxhash64(text_or_empty(text_column))).orderBy(F.lit(0)))
-    return rows.withColumn("_copy", one).where("_copy = 1").drop("_copy")
+    return rows.withColumn(copy, one).where(F.col(copy) == 1).drop(copy)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
