@@ -89,9 +89,9 @@ def _buckets(nodes: DataFrame, ball: bool) -> DataFrame:
 
 def _forest(shown: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Links of one tile, as a spanning forest: (u, v) with u the first met."""
-    fps = np.unique(np.concatenate([shown.fp.to_numpy(np.int64), asked.fp.to_numpy(np.int64)]))
+    fps = np.unique(np.concatenate([shown.fp.to_numpy(np.int64), asked.asks.to_numpy(np.int64)]))
     rows = np.unique(shown.fp.to_numpy(np.int64)).view(np.uint64)
-    cols = np.unique(asked.fp.to_numpy(np.int64)).view(np.uint64)
+    cols = np.unique(asked.asks.to_numpy(np.int64)).view(np.uint64)
     near = np.bitwise_count(rows[:, None] ^ cols[None, :]) <= RADIUS
     at_row, at_col = np.searchsorted(fps, rows.view(np.int64)), np.searchsorted(fps, cols.view(np.int64))
     left, edges = np.ones(len(rows), bool), []
@@ -132,7 +132,7 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = shown.join(sizes, "bucket").select("bucket", part("rows").alias("row"), every("cols").alias("col"), "fp")
-    right = asked.join(sizes, "bucket").select("bucket", every("rows").alias("row"), part("cols").alias("col"), "fp")
+    right = asked.join(sizes, "bucket").select("bucket", every("rows").alias("row"), part("cols").alias("col"), F.col("fp").alias("asks"))
     tile = ["bucket", "row", "col"]
     return found.unionByName(left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(lambda s, a: _forest(s, a), "u long, v long"))
 
