@@ -112,8 +112,8 @@ def person_name(name: Column) -> Column:
 def amount(value: Column) -> Column:
     """``1 234 567,50 $`` with no-break spaces; without cents if there are none."""
     whole = value == F.floor(value)
-    shown = F.translate(F.when(whole, F.format_number(value, 0)).otherwise(F.format_number(value, 2)), ",.", " ,")
-    return F.concat(shown, F.lit(" $"))
+    shown = F.translate(F.when(whole, F.format_number(value, 0)).otherwise(F.format_number(value, 2)), ",.", "\u00a0,")
+    return F.concat(shown, F.lit("\u00a0$"))
 
 
 def french_date(day: Column) -> Column:
