@@ -57,8 +57,8 @@ def contract_awards(spark: SparkSession, path: str, start: datetime | None = Non
     one = F.struct(*[c for c in raw.columns if c != "releases"])
     release = raw.select(F.explode(F.when(F.col("releases").isNotNull(), F.col("releases")).otherwise(F.array(one))).alias("r"))
     each = release.select("r", F.explode("r.awards").alias("a")).select("r", "a", F.explode("a.suppliers").alias("s"))
-    party = F.element_at(F.filter("r.parties", lambda p: p["id"] == F.col("s.id")), 1)
-    buyer = F.coalesce(F.element_at(F.filter("r.parties", lambda p: F.array_contains(p["roles"], "buyer")), 1)["name"], F.col("r.buyer.name"))
+    party = F.try_element_at(F.filter("r.parties", lambda p: p["id"] == F.col("s.id")), F.lit(1))
+    buyer = F.coalesce(F.try_element_at(F.filter("r.parties", lambda p: F.array_contains(p["roles"], "buyer")), F.lit(1))["name"], F.col("r.buyer.name"))
     each = each.withColumn("party", F.when(F.size("r.parties") > 0, party)).withColumn("buyer", F.when(F.size("r.parties") > 0, buyer).otherwise(F.col("r.buyer.name")))
     kinds = F.array_distinct(F.transform(F.filter("r.tender.items", lambda i: i["classification"].isNotNull()), lambda i: F.concat_ws(":", i["classification"]["scheme"], i["classification"]["id"])))
     needs = F.array_join(F.array_distinct(F.filter(F.transform("r.tender.items", lambda i: i["description"]), lambda d: d.isNotNull())), "; ")
