@@ -45,9 +45,9 @@ from signalmill.llm.common import materialize, table, tune
 
 K = 20
 #: Vectors in a list, on average; bounds of the centroids and of the sample.
-LIST, MOST_LISTS, SAMPLE = 512, 4096, 32_768
+LIST, MOST_LISTS, SAMPLE = 1024, 4096, 32_768
 #: Lists that hold a vector, and how much farther than the nearest they may be.
-REPLICAS, BOUNDARY = 2, 1.1
+REPLICAS, BOUNDARY = 2, 1.02
 #: Links of a centroid to near and to far ones, and nodes a search keeps open.
 NEAR, FAR, OPEN = 16, 8, 8
 #: Share of the sample's true neighbours that the ratio must find.
@@ -127,20 +127,11 @@ class CentroidGraph:
         return out
 
     def homes(self, vectors: np.ndarray, replicas: int = REPLICAS) -> list[np.ndarray]:
-        """Lists of each vector: the nearest, and others about as near that aren't
-        nearer to one chosen before than to the vector."""
+        """Lists of each vector: the nearest, and those hardly farther."""
         far = self.search(self.lifted(vectors), BOUNDARY)
-        order = np.argsort(far, 1, kind="stable")[:, : max(4, replicas)]
-        found = []
-        for row, nodes in zip(far, order, strict=True):
-            chosen = [nodes[0]]
-            for c in nodes[1:]:
-                if len(chosen) == replicas or row[c] > BOUNDARY * row[nodes[0]]:
-                    break
-                if all(((self.centroids[c] - self.centroids[d]) ** 2).sum() > row[c] ** 2 for d in chosen):
-                    chosen.append(c)
-            found.append(np.array(chosen))
-        return found
+        order = np.argsort(far, 1, kind="stable")[:, :replicas]
+        near = np.take_along_axis(far, order, 1)
+        return [nodes[kept] for nodes, kept in zip(order, near <= BOUNDARY * near[:, :1], strict=True)]
 
     def selected(self, queries: np.ndarray) -> list[np.ndarray]:
         """Lists that each query reads."""
@@ -221,19 +212,29 @@ def _nearest(k: int):
     """Top k of a tile for each of its queries."""
 
     def of_tile(_, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(rows) and len(asked):
-            x, q = np.stack(rows["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
-            margin = 1e-12 * np.sqrt((x**2).sum(1).max() * (q**2).sum(1))
-            scores, most = q @ x.T, min(k + 1, len(x))
-            keys = rows["keys"].to_numpy()
-            for i, own in enumerate(asked["query"].to_numpy()):
-                row = scores[i]
-                near = np.flatnonzero(row >= np.partition(row, len(x) - most)[len(x) - most] - margin[i])
-                exact = (x[near] * q[i]).sum(1)  # the same sum for a vector wherever it stands
-                hits = sorted((-float(s), int(key)) for s, j in zip(exact, near, strict=True) for key in keys[j] if key != own)[:k]
-                found.append((own, [-s for s, _ in hits], [key for _, key in hits]))
-        return pd.DataFrame(found, columns=["query", "scores", "keys"])
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query": [], "scores": [], "keys": []})
+        x, q = np.stack(rows["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
+        own, counts = asked["query"].to_numpy(np.int64), rows["keys"].map(len).to_numpy()
+        flat, starts = np.concatenate(rows["keys"].to_numpy()), np.cumsum(counts) - counts
+        margin = 1e-12 * np.sqrt((x**2).sum(1).max() * (q**2).sum(1))
+        rough, most = q @ x.T, min(k + 1, len(x))
+        least = np.partition(rough, len(x) - most, 1)[:, len(x) - most] - margin
+        at, near = np.nonzero(rough >= least[:, None])
+        # the same sum for a vector wherever it stands
+        exact = np.concatenate([(x[near[i : i + 16_384]] * q[at[i : i + 16_384]]).sum(1) for i in range(0, len(at), 16_384)])
+        held = counts[near]
+        place = np.repeat(starts[near] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        at, exact, key = np.repeat(at, held), np.repeat(exact, held), flat[place]
+        other = key != own[at]
+        at, exact, key = at[other], exact[other], key[other]
+        order = np.lexsort((key, -exact, at))
+        at, exact, key = at[order], exact[order], key[order]
+        first = np.searchsorted(at, np.arange(len(q)))
+        best = np.arange(len(at)) - first[at] < k
+        at, exact, key = at[best], exact[best], key[best]
+        cuts = np.searchsorted(at, np.arange(1, len(q)))
+        return pd.DataFrame({"query": own, "scores": np.split(exact, cuts), "keys": np.split(key, cuts)})
 
     return of_tile
 
@@ -261,7 +262,9 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector_column:
     met = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(_nearest(k), "query long, scores array<double>, keys array<bigint>")
     # A query has k entries from each of its tiles at most; equal entries come from replicas.
     pairs = F.transform(F.arrays_zip("scores", "keys"), lambda p: F.struct((-p["scores"]).alias("far"), p["keys"].alias("key")))
-    best = met.groupBy("query").agg(F.flatten(F.collect_list(pairs)).alias("all")).select("query", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("best"))
+    ordered = met.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all"))
+    once = F.filter("all", lambda p, i: (i == 0) | (p != F.get("all", i - 1)))
+    best = ordered.select("query", F.slice(once, 1, k).alias("best"))
     return best.select("query", F.posexplode("best")).select(F.col("query").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("col.key").alias(key), (-F.col("col.far")).alias("score"))
 
 
