@@ -164,7 +164,7 @@ def fitted(df: DataFrame) -> ByteNetwork | None:
 
 
 #: A document is kept by :func:`confident` from this mean probability on.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def confident(df: DataFrame, network: ByteNetwork | None, text_column: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
