@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from signalmill.plans import diffs, names, relational, rollups, scores, texts
+from signalmill.plans import diffs, names, profiles, relational, rollups, scores, texts
 from signalmill.plans.views import Query
 
-MODULES = (scores, relational, diffs, rollups, texts, names)
+MODULES = (scores, relational, diffs, rollups, texts, names, profiles)
 
 
 def queries() -> dict[str, Query]:
