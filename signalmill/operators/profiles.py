@@ -11,7 +11,7 @@ from signalmill.functions.text import amount, normalise
 from signalmill.operators.relational import top
 
 # Plans from the least to the greatest, and days.
-PLANS = ("echo", "radar", "radar_plus")
+PLANS = ("basic", "plus", "full")
 STALE_DAYS, ABANDON_DAYS = 30, 45
 
 

@@ -14,7 +14,7 @@ from signalmill.plans.views import AS_OF, SIGNALS, Query, signals, table
 
 def allowed_by_plan(spark, sf_dir):
     """Customers by the plan that their balance buys and the sources it opens."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 6000, "radar_plus").when(F.col("c_acctbal") > 2000, "radar").otherwise("echo").alias("plan"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 6000, "full").when(F.col("c_acctbal") > 2000, "plus").otherwise("basic").alias("plan"))
     least = F.explode(F.array(*[F.lit(p) for p in profiles.PLANS]))
     return c.withColumn("least", least).where(profiles.plan_allows(F.col("plan"), F.col("least"))).groupBy("plan", "least").agg(F.count("*").alias("n"))
 
@@ -44,7 +44,7 @@ def scoped_customers(spark, sf_dir):
 
 def overridden_weights(spark, sf_dir):
     """Weights of profiles: their own only with the greatest plan."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "radar_plus").otherwise("radar").alias("plan"), F.when(F.col("c_custkey") % 2 == 0, 45.0).alias("main"), F.lit(10.0).alias("absence"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "full").otherwise("plus").alias("plan"), F.when(F.col("c_custkey") % 2 == 0, 45.0).alias("main"), F.lit(10.0).alias("absence"))
     return profiles.overridden(c, {"main": 60.0, "absence": 15.0}).groupBy("plan", "main", "absence").agg(F.count("*").alias("n"))
 
 
@@ -107,11 +107,11 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (allowed_by_plan, kept_field
 _SAYS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (("tender", "has just won a contract"), ("financing", "has just been financed"), ("hiring", "is hiring"), ("registry", "is opening or moving"), ("ranking", "is among the fastest growing")))
 
 SQL = {
-    "allowed_by_plan": "WITH p AS (SELECT CASE WHEN c_acctbal > 6000 THEN 2 WHEN c_acctbal > 2000 THEN 1 ELSE 0 END AS i FROM customer), names(i, plan) AS (VALUES (0, 'echo'), (1, 'radar'), (2, 'radar_plus')) SELECT a.plan, b.plan AS least, count(*) AS n FROM p JOIN names a ON p.i = a.i JOIN names b ON b.i <= p.i GROUP BY a.plan, b.plan",
+    "allowed_by_plan": "WITH p AS (SELECT CASE WHEN c_acctbal > 6000 THEN 2 WHEN c_acctbal > 2000 THEN 1 ELSE 0 END AS i FROM customer), names(i, plan) AS (VALUES (0, 'basic'), (1, 'plus'), (2, 'full')) SELECT a.plan, b.plan AS least, count(*) AS n FROM p JOIN names a ON p.i = a.i JOIN names b ON b.i <= p.i GROUP BY a.plan, b.plan",
     "kept_fields": f"WITH {SIGNALS} SELECT signal_type, CASE signal_type WHEN 'tender' THEN 'goods,k' WHEN 'ranking' THEN 'rank' ELSE 'change,goods,growth,k,nature,rank' END AS fields, count(*) AS n FROM signals GROUP BY signal_type",
     "verified_orders": "SELECT CASE WHEN o_custkey % 10 = 0 THEN 'no identity' WHEN o_orderstatus = 'F' THEN 'struck off' WHEN NOT o_totalprice > 50000 THEN 'inactive' ELSE 'passes' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "scoped_customers": "WITH a(account) AS (VALUES ('asia'), (' nation_3'), ('admin')) SELECT account, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN a ON account = 'admin' OR lower(n_name) = trim(account) OR lower(r_name) = trim(account) GROUP BY account",
-    "overridden_weights": "SELECT plan, CASE WHEN plan = 'radar_plus' AND c_custkey % 2 = 0 THEN 45.0 ELSE 60.0 END AS main, CASE WHEN plan = 'radar_plus' THEN 10.0 ELSE 15.0 END AS absence, count(*) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'radar_plus' ELSE 'radar' END AS plan FROM customer) GROUP BY 1, 2, 3",
+    "overridden_weights": "SELECT plan, CASE WHEN plan = 'full' AND c_custkey % 2 = 0 THEN 45.0 ELSE 60.0 END AS main, CASE WHEN plan = 'full' THEN 10.0 ELSE 15.0 END AS absence, count(*) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'full' ELSE 'plus' END AS plan FROM customer) GROUP BY 1, 2, 3",
     "stale_customers": "SELECT c_mktsegment, count(CASE WHEN last IS NULL OR last < TIMESTAMP '2001-08-01' - INTERVAL 400 DAYS THEN 1 END) AS stale, count(*) AS n FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey) ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "run_outcomes": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderkey % 11 = 0 THEN 'undecided' WHEN o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAYS THEN 'interrupted' ELSE 'running' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "dominant_signals": f"WITH {SIGNALS},{_SCORED} SELECT company_id, signal_id, base, concat('Company ', company_id, ' ', CASE signal_type {_SAYS} END, '.') AS opening FROM (SELECT s.company_id, s.signal_id, s.base, s.signal_type, row_number() OVER (PARTITION BY s.company_id ORDER BY s.base DESC, s.signal_id) AS r FROM scored s) WHERE r = 1",
