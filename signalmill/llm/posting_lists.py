@@ -17,7 +17,7 @@ query's k nearest among equal vectors are those of smallest key), so a vector
 that a third of the rows share is one entry. Lists are searched in tiles of
 bounded size on both sides, whatever their length.
 
-Bounds: the sample has about ``SAMPLE`` vectors, there are at most ``MOST_LISTS``
+Bounds: the sample has about ``SAMPLE`` vectors (fewer if they are long), there are at most ``MOST_LISTS``
 centroids (beyond ``LIST * MOST_LISTS`` vectors lists grow and get more tiles).
 Every row is indexed and every query is answered.
 
@@ -44,8 +44,9 @@ from pyspark.sql import functions as F
 from signalmill.llm.common import materialize, table, tune
 
 K = 20
-#: Vectors in a list, on average; bounds of the centroids and of the sample.
-LIST, MOST_LISTS, SAMPLE = 1024, 4096, 32_768
+#: Vectors in a list, on average; bounds of the centroids and of the sample, in
+#: vectors and in components.
+LIST, MOST_LISTS, SAMPLE, SAMPLE_VALUES = 1024, 4096, 32_768, 1 << 22
 #: Lists that hold a vector, and how much farther than the nearest they may be.
 REPLICAS, BOUNDARY = 2, 1.02
 #: Links of a centroid to near and to far ones, and nodes a search keeps open.
@@ -184,10 +185,12 @@ def fit(vectors: DataFrame, k: int = K, target: float = TARGET, sample: int = SA
     count, longest = vectors.agg(F.count("*"), F.max(length)).first()
     if not count:
         return None
-    part = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int(min(1.0, sample / count) * (1 << 30))
-    # one partition's rows at a time reach the driver: about `sample` in all
-    rows = [r[0] for r in vectors.where(part).select("vector").toLocalIterator()] or [vectors.first()["vector"]]
-    chosen = np.array(sorted(rows))
+    size = len(vectors.first()["vector"])
+    wanted = min(sample, SAMPLE_VALUES // size)
+    part = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < int(min(1.0, wanted / count) * (1 << 30))
+    # about `wanted` vectors, 32 MB at most, reach the driver
+    drawn = vectors.where(part).select("vector").toArrow().column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    chosen = np.unique(drawn, axis=0) if len(drawn) else np.array([vectors.first()["vector"]])
     lists = 1 << max(0, int(np.ceil(np.log2(min(MOST_LISTS, max(1, count / LIST))))))
     return CentroidGraph(chosen, lists, float(longest) * (1 + 1e-12)).calibrate(chosen, k, target)
 

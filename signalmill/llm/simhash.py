@@ -8,7 +8,8 @@ segments and its exact third, and every match is verified by the whole distance.
 
 Only distinct fingerprints are linked: copies meet in a grouped minimum. Buckets
 with more than ``HOT`` fingerprints are dealt out in tiles of bounded size; a
-tile returns a spanning forest of its links, never all pairs.
+tile returns a spanning forest of its links, never all pairs. A fingerprint has
+679,120 others within four bits, so no vertex has more links at any size of corpus.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; rows with a null key take part
