@@ -60,7 +60,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def normalised(line: str) -> str:
-    return DIGIT.sub("0", " ".join(line.lower().split()))
+    return DIGIT.sub("0", b" ".join(line.lower().encode().split()).decode())
 
 
 def measures(text: str) -> tuple[int, int, int, int, int, dict[int, int]]:
@@ -154,3 +154,26 @@ def without_frequent_lines(df: DataFrame, text_column: str = "text", host: str =
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+places AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 3),
+windows AS (SELECT r, i, concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]) AS three FROM places),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, i AS p FROM twice UNION ALL SELECT r, i + 1 FROM twice UNION ALL SELECT r, i + 2 FROM twice) GROUP BY r),
+lines AS (SELECT r, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+again AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+plain AS (SELECT r, host, regexp_replace(array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') AS line, sum(words) AS words FROM lines GROUP BY 1, 2, 3),
+hosts AS (SELECT host, greatest(10, count(*) * 0.01) AS most FROM d GROUP BY host),
+often AS (SELECT p.host, p.line FROM plain p JOIN hosts h ON p.host = h.host GROUP BY p.host, p.line, h.most HAVING count(*) > h.most),
+gone AS (SELECT p.r, CAST(sum(p.words) AS BIGINT) AS n FROM plain p JOIN often o ON p.host = o.host AND p.line = o.line GROUP BY p.r),
+told AS (
+  SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(a.n, 0) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words, coalesce(g.n, 0) AS removed_words
+  FROM w LEFT JOIN marked m ON w.r = m.r LEFT JOIN again a ON w.r = a.r LEFT JOIN gone g ON w.r = g.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept
+FROM told
+"""

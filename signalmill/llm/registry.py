@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL}
+    return {"op4_secrets": secrets.SQL, "op5_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_quality": quality.SQL}

@@ -164,3 +164,34 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
     copied = F.size(F.filter("spans", lambda s: s["owners"] > MAX_OWNERS)).cast("long").alias("n_copied")
     return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), live, copied)
+
+
+def _sql() -> str:
+    """The same as one statement. SQL's patterns know no look-behind; a word
+    boundary stands for it, which is the same before a letter."""
+    pattern = {k: "'" + PATTERN[k].replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''") + "'" for k in KINDS}
+    each = " UNION ALL ".join(f"SELECT r, owner, {i} AS kind, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits FROM d WHERE regexp_matches(t, {p})" for i, p in enumerate(pattern.values()))
+    value = f"CASE kind WHEN 0 THEN regexp_extract(hit, {pattern['assign']}, 2) WHEN 4 THEN substr(hit, 2, length(hit) - 2) ELSE hit END"
+    least = "CASE kind " + " ".join(f"WHEN {i} THEN {LEAST[k]}" for i, k in enumerate(KINDS)) + " END"
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+    listed = "coalesce(string_agg({what}, ',' ORDER BY start, kind), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+found AS ({each}),
+placed AS (SELECT r, owner, kind, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM found),
+told AS (SELECT r, owner, kind, hits[i] AS hit, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM placed),
+valued AS (SELECT *, {value} AS value FROM told),
+large AS (SELECT r, owner, kind, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, value FROM valued WHERE (CASE WHEN kind = 0 THEN length(value) ELSE length(hit) END) >= {least}),
+held AS (SELECT value, count(DISTINCT owner) AS owners FROM large GROUP BY value),
+judged AS (SELECT l.*, h.owners, h.owners <= {MAX_OWNERS} AND regexp_matches(l.value, '[0-9]') AND regexp_matches(l.value, '[A-Za-z]') AND len(list_distinct(string_split(substr(l.value, 1, 64), ''))) >= 8 AS live FROM large l JOIN held h ON l.value = h.value),
+kept AS (SELECT *, concat({name}, ':', start, ':', stop) AS span FROM judged WHERE kind < 3 OR live),
+spans AS (
+  SELECT r, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex,
+         count(CASE WHEN live THEN 1 END) AS n_live, count(CASE WHEN owners > {MAX_OWNERS} THEN 1 END) AS n_copied, {listed.format(what="span")} AS spans, {listed.format(what="CASE WHEN kind < 3 THEN span END")} AS base
+  FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN spans s ON d.r = s.r
+"""
+
+
+SQL = _sql()

@@ -233,3 +233,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     manifest = write_warc(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
     return read_warc(manifest).drop("url")
+
+
+_BITS = [f"{i:04b}" for i in range(16)]
+_VALUE = " + ".join(f"CAST(substr(bits, CAST(i * 5 + {k} AS BIGINT), 1) AS INTEGER) * {2 ** (5 - k)}" for k in range(1, 6))
+
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, array_to_string(list_transform(string_split(sha1(html), ''), lambda c: {_BITS}[instr('0123456789abcdef', c)]), '') AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({_VALUE} + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
