@@ -10,6 +10,8 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇ
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
 # Words of legal forms, dropped from the end of a name.
 LEGAL_FORMS = ("inc", "ltee", "ltd", "limitee", "limited", "enr", "senc", "sencrl", "srl", "corp", "corporation", "co", "cie", "llc", "llp", "lp", "sa", "coop", "canada", "quebec", "incorporated", "incorporee", "ulc", "plc", "company")
+# Provinces and territories by the words that tell them.
+PROVINCES = {"AB": "alberta", "BC": "british columbia|colombie britannique", "MB": "manitoba", "NB": "new brunswick|nouveau brunswick", "NL": "newfoundland|terre neuve", "NS": "nova scotia|nouvelle ecosse", "ON": "ontario", "PE": "prince edward island|ile du prince edouard", "QC": "quebec", "SK": "saskatchewan", "NT": "northwest territories", "NU": "nunavut", "YT": "yukon"}
 MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 
 
@@ -145,3 +147,32 @@ def contacts(text: Column) -> Column:
         first(r"\(?\b\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b").alias("phone"),
         first(r"(?i)\b(\d{1,6}) (?:employees|employés|employees|staff)", 1).cast("int").alias("staff"),
     )
+
+
+def provinces(name: Column) -> Column:
+    """Codes of the provinces that a text names, by code or in words, sorted."""
+    plain = normalise(name)
+    return F.array_compact(F.array(*[F.when(plain.rlike(rf"\b(?:{code.lower()}|{words_})\b"), F.lit(code)) for code, words_ in sorted(PROVINCES.items())]))
+
+
+def entities(name: Column) -> Column:
+    """How many companies a text names: legal forms other than at the end start
+    another one."""
+    forms = "|".join(f for f in LEGAL_FORMS if f not in ("canada", "quebec", "sa", "co"))
+    return F.when(F.coalesce(normalise(name), F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.size(F.regexp_extract_all(normalise(name), F.lit(rf"\b(?:{forms})\b"), F.lit(0)))))
+
+
+def values_of_keys(document: Column, keys: list[str]) -> Column:
+    """The text values of some keys at any depth of a JSON document, in order,
+    joined by spaces; null if there are none."""
+    names = "|".join(keys)
+    found = F.regexp_extract_all(document, F.lit(rf'"(?:{names})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.nullif(F.array_join(F.filter(F.transform(found, lambda v: F.trim(v)), lambda v: v != ""), " "), F.lit(""))
+
+
+def stored_form(source: Column, stored: Column, expected: Column) -> Column:
+    """How a stored normal form differs from the one expected of its source."""
+    return (
+        F.when(F.coalesce(F.trim(source), F.lit("")) == "", "source empty").when(stored.isNull(), "null").when(stored == "", "empty").when(stored == expected, "equal")
+        .when(F.startswith(expected, stored), "truncated").when(F.startswith(stored, expected), "longer").otherwise("divergent")
+    )

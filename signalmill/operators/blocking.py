@@ -39,7 +39,8 @@ def by_fragment(names: DataFrame, queries: DataFrame, limit: int = LIMIT, length
     anywhere: names meet fragments by their n-grams, an equi-join."""
     asked = queries.where("name <> ''").select("query_id", F.substring("name", 1, length).alias("fragment"))
     gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - n + 1)), lambda i: F.substring(F.col("name"), i, F.lit(n)))
-    grams = F.array_distinct(F.concat(*[gram(n) for n in range(1, length + 1)])) if length else F.array()
+    lengths = sorted(r[0] for r in asked.select(F.length("fragment")).distinct().collect())  # `length` values at most
+    grams = F.array_distinct(F.concat(*[gram(n) for n in lengths])) if lengths else F.array().cast("array<string>")
     each = names.where("name <> ''").select("id", "name", F.explode(grams).alias("fragment")).join(asked.select("fragment").distinct(), "fragment")
     listed = top(each, ["fragment"], [F.col("name"), F.col("id")], limit)
     return asked.join(listed, "fragment").select("query_id", "id", "name", "rank")

@@ -64,3 +64,33 @@ def by_status(candidates: DataFrame, apart: float = 8.0, struck: str = "struck_o
     told = near.groupBy("query_id").agg(F.count_if(alive).alias("_left"), F.min(F.when(alive, F.col("id"))).alias("_id"), F.max(F.when(alive, F.col("score"))).alias("_score"), F.max("_best").alias("_best"))
     outcome = F.when(F.col("_left") == 0, "none left").when(F.col("_left") > 1, "several left").when(F.col("_score") < F.col("_best"), "not the best").otherwise(BROKEN)
     return told.select("query_id", outcome.alias("outcome"), F.when(outcome == BROKEN, F.col("_id")).alias("winner"))
+
+
+def explain_move(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, move) of two runs (query_id, level, winner): what a change of the
+    levels did to each query."""
+    a = before.select("query_id", F.col("level").alias("_la"), F.col("winner").alias("_wa"))
+    b = after.select("query_id", F.col("level").alias("_lb"), F.col("winner").alias("_wb"))
+    move = (
+        F.when(F.col("_wa").isNull() & F.col("_wb").isNull(), "still open").when(F.col("_wa").isNull(), "now broken").when(F.col("_wb").isNull(), "no longer broken")
+        .when(F.col("_wa") != F.col("_wb"), "other winner").when(F.col("_la") != F.col("_lb"), "same winner by another level").otherwise("unchanged")
+    )
+    return a.join(b, "query_id", "full_outer").select("query_id", move.alias("move"))
+
+
+def contradiction_cause(candidates: DataFrame, fact: str, asked: str, apart: float = 8.0, cut: int = 5) -> DataFrame:
+    """(query_id, cause): who carries the fact asked for when the retained id does
+    not: one of its own sites, a competitor within the gap, a candidate beyond
+    the gap, one beyond the cut, or nobody. ``candidates`` has (query_id, id,
+    rank, score, is_site, fact, asked); the retained id has rank 1, and rows of
+    its sites have its rank."""
+    fits = F.coalesce(F.arrays_overlap(fact, asked), F.lit(False))
+    best = F.max("score").over(W.partitionBy("query_id"))
+    told = candidates.withColumn("_gap", best - F.col("score")).withColumn("_fits", fits)
+    any_of = lambda c: F.coalesce(F.bool_or(F.col("_fits") & c), F.lit(False))
+    other = F.col("rank") > 1
+    cause = (
+        F.when(any_of((F.col("rank") == 1) & F.col("is_site")), "own site").when(any_of(other & (F.col("rank") <= cut) & (F.col("_gap") < apart)), "competitor")
+        .when(any_of(other & (F.col("rank") <= cut)), "beyond the gap").when(any_of(other), "beyond the cut").otherwise("nobody")
+    )
+    return told.groupBy("query_id").agg(cause.alias("cause"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalmill.operators import blocking, dedup, graph, resolution, tiebreak
@@ -68,6 +69,22 @@ def address_tie_breaks(spark, sf_dir):
     return tiebreak.by_address(pairs)
 
 
+def moved_tie_breaks(spark, sf_dir):
+    """What the supplier ties become when cities alone may break them."""
+    after = address_tie_breaks(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier")
+    pairs = s.select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("id"), F.array(F.concat(F.lit("c"), (F.col("s_suppkey") % 5).cast("string"))).alias("there"), F.array(F.concat(F.lit("c"), (F.col("s_nationkey") % 5).cast("string"))).alias("asked"))
+    before = tiebreak.by_fact(pairs, "there", "asked").select("query_id", F.when(F.col("winner").isNotNull(), "city").alias("level"), "winner")
+    return tiebreak.explain_move(before, after)
+
+
+def contradiction_causes(spark, sf_dir):
+    """Who carries the address that the first of a nation's suppliers lacks."""
+    s = table(spark, sf_dir, "supplier").withColumn("rank", F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")))
+    c = s.select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("id"), "rank", (100 - F.col("rank") * 3).alias("score"), (F.col("s_suppkey") % 2 == 0).alias("is_site"), F.array((F.col("s_suppkey") % 9).cast("string")).alias("there"), F.array((F.col("s_nationkey") % 9).cast("string")).alias("asked"))
+    return tiebreak.contradiction_cause(c, "there", "asked")
+
+
 def status_tie_breaks(spark, sf_dir):
     """Ties between suppliers of a nation, broken by who is struck off."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("id"), F.floor(F.col("s_acctbal") / 100).alias("score"), F.when(F.col("s_suppkey") % 3 == 0, "struck_off").otherwise("registered").alias("status"))
@@ -124,7 +141,7 @@ def sources_of_companies(spark, sf_dir):
     return dedup.sources_of(signals(spark, sf_dir).where("value > 700000")).select("company_id", F.array_join("sources", ",").alias("sources"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (rarest_words, rare_word_candidates, index_self_test, reserved_candidates, ranked_candidates, decided_names, resolved_names, address_tie_breaks, status_tie_breaks, guarded_claims, changed_identities, elected_names, duplicate_companies, merged_companies, province_links, order_components, sources_of_companies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (rarest_words, rare_word_candidates, index_self_test, reserved_candidates, ranked_candidates, decided_names, resolved_names, address_tie_breaks, moved_tie_breaks, contradiction_causes, status_tie_breaks, guarded_claims, changed_identities, elected_names, duplicate_companies, merged_companies, province_links, order_components, sources_of_companies)}
 
 _INDEX = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names), frequency AS (SELECT word, count(*) AS ids FROM index_ GROUP BY word)"
 _KNOWN = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names WHERE NOT retired), frequency AS (SELECT word, count(*) AS ids FROM index_ GROUP BY word)"
@@ -148,6 +165,15 @@ def _level(name: str, there: str, asked: str) -> str:
     return f"{name} AS (SELECT query_id, CASE WHEN max(CASE WHEN {asked} IS NULL THEN 1 ELSE 0 END) = 1 THEN 'query unknown' WHEN max(CASE WHEN {there} IS NULL THEN 1 ELSE 0 END) = 1 THEN 'competitor unknown' WHEN count(CASE WHEN {there} = {asked} THEN 1 END) = 0 THEN 'all excluded' WHEN count(CASE WHEN {there} = {asked} THEN 1 END) > 1 THEN 'several compatible' ELSE 'broken' END AS outcome, min(CASE WHEN {there} = {asked} THEN id END) AS winner FROM pairs GROUP BY query_id)"
 
 
+_ADDRESS = f"""WITH pairs AS (SELECT s_nationkey AS query_id, s_suppkey AS id, {_WHOLE.format(k="s_suppkey")} AS whole, {_CODE.format(k="s_suppkey")} AS area, concat('c', s_suppkey % 5) AS city,
+  {_WHOLE.format(k="(s_nationkey + 2)")} AS asked_whole, {_CODE.format(k="(s_nationkey + 2)")} AS asked_area, concat('c', s_nationkey % 5) AS asked_city FROM supplier),
+{_level("a", "whole", "asked_whole")}, {_level("b", "area", "asked_area")}, {_level("c", "city", "asked_city")},
+address AS (
+SELECT a.query_id, CASE WHEN a.outcome = 'broken' THEN 'code' WHEN b.outcome = 'broken' THEN 'area' WHEN b.outcome <> 'all excluded' AND c.outcome = 'broken' THEN 'city' END AS level,
+  CASE WHEN a.outcome = 'broken' THEN a.winner WHEN b.outcome = 'broken' THEN b.winner WHEN b.outcome <> 'all excluded' AND c.outcome = 'broken' THEN c.winner END AS winner,
+  CASE WHEN a.outcome = 'broken' OR b.outcome = 'broken' THEN 'broken' WHEN b.outcome = 'all excluded' THEN 'all excluded' ELSE c.outcome END AS outcome
+FROM a JOIN b ON a.query_id = b.query_id JOIN c ON a.query_id = c.query_id)"""
+
 SQL = {
     "rarest_words": f"WITH {NAMES}, {_INDEX}, {_RARE} SELECT query_id, word, ids, second, second_ids FROM rare",
     "rare_word_candidates": f"WITH {NAMES}, {_INDEX}, {_RARE} SELECT query_id, id FROM met",
@@ -163,13 +189,12 @@ SELECT query_id, id FROM main UNION ALL SELECT query_id, id FROM extra""",
 tops AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS top_id, max(CASE WHEN rank = 1 THEN score END) AS best, max(CASE WHEN rank = 2 THEN score END) AS second, count(*) AS n FROM ranked GROUP BY query_id),
 told AS (SELECT a.query_id, t.top_id, t.best, t.best - coalesce(t.second, 0) AS gap, CASE WHEN t.best IS NULL THEN 'no candidate' WHEN t.best < 92 THEN 'too weak' WHEN t.best - coalesce(t.second, 0) >= 8 OR t.n = 1 THEN 'retained' ELSE 'ambiguous' END AS family FROM asked a LEFT JOIN tops t ON a.query_id = t.query_id)
 SELECT query_id, CASE WHEN family = 'retained' THEN top_id END AS id, round(best, 4) AS best, round(gap, 4) AS gap, family FROM told""",
-    "address_tie_breaks": f"""WITH pairs AS (SELECT s_nationkey AS query_id, s_suppkey AS id, {_WHOLE.format(k="s_suppkey")} AS whole, {_CODE.format(k="s_suppkey")} AS area, concat('c', s_suppkey % 5) AS city,
-  {_WHOLE.format(k="(s_nationkey + 2)")} AS asked_whole, {_CODE.format(k="(s_nationkey + 2)")} AS asked_area, concat('c', s_nationkey % 5) AS asked_city FROM supplier),
-{_level("a", "whole", "asked_whole")}, {_level("b", "area", "asked_area")}, {_level("c", "city", "asked_city")}
-SELECT a.query_id, CASE WHEN a.outcome = 'broken' THEN 'code' WHEN b.outcome = 'broken' THEN 'area' WHEN b.outcome <> 'all excluded' AND c.outcome = 'broken' THEN 'city' END AS level,
-  CASE WHEN a.outcome = 'broken' THEN a.winner WHEN b.outcome = 'broken' THEN b.winner WHEN b.outcome <> 'all excluded' AND c.outcome = 'broken' THEN c.winner END AS winner,
-  CASE WHEN a.outcome = 'broken' OR b.outcome = 'broken' THEN 'broken' WHEN b.outcome = 'all excluded' THEN 'all excluded' ELSE c.outcome END AS outcome
-FROM a JOIN b ON a.query_id = b.query_id JOIN c ON a.query_id = c.query_id""",
+    "address_tie_breaks": f"{_ADDRESS} SELECT query_id, level, winner, outcome FROM address",
+    "moved_tie_breaks": f"""{_ADDRESS}, city AS (SELECT query_id, CASE WHEN outcome = 'broken' THEN winner END AS winner FROM c)
+SELECT y.query_id, CASE WHEN y.winner IS NULL AND x.winner IS NULL THEN 'still open' WHEN y.winner IS NULL THEN 'now broken' WHEN x.winner IS NULL THEN 'no longer broken' WHEN y.winner <> x.winner THEN 'other winner' WHEN x.level <> 'city' THEN 'same winner by another level' ELSE 'unchanged' END AS move
+FROM city y JOIN address x ON y.query_id = x.query_id""",
+    "contradiction_causes": """WITH c AS (SELECT s_nationkey AS query_id, s_suppkey % 9 = s_nationkey % 9 AS fits, s_suppkey % 2 = 0 AS is_site, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier)
+SELECT query_id, CASE WHEN count(CASE WHEN fits AND rank = 1 AND is_site THEN 1 END) > 0 THEN 'own site' WHEN count(CASE WHEN fits AND rank BETWEEN 2 AND 3 THEN 1 END) > 0 THEN 'competitor' WHEN count(CASE WHEN fits AND rank BETWEEN 2 AND 5 THEN 1 END) > 0 THEN 'beyond the gap' WHEN count(CASE WHEN fits AND rank > 1 THEN 1 END) > 0 THEN 'beyond the cut' ELSE 'nobody' END AS cause FROM c GROUP BY query_id""",
     "status_tie_breaks": """WITH s AS (SELECT s_nationkey AS query_id, s_suppkey AS id, floor(s_acctbal / 100) AS score, s_suppkey % 3 <> 0 AS alive FROM supplier),
 near AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s) WHERE best - score < 8),
 t AS (SELECT query_id, count(CASE WHEN alive THEN 1 END) AS n, min(CASE WHEN alive THEN id END) AS id, max(CASE WHEN alive THEN score END) AS score, max(best) AS best FROM near GROUP BY query_id),

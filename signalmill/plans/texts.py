@@ -90,7 +90,27 @@ def percentages(spark, sf_dir):
     return c.select("c_custkey", F.round(numbers.percentage(F.col("part"), F.col("whole")), 4).alias("percent"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (normalised_names, name_traits, postal_codes, company_numbers, whole_phrases, keyword_hits, page_contacts, amounts, parsed_numbers, percentages)}
+def named_provinces(spark, sf_dir):
+    """Provinces and entities that texts about customers name."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, " inc. (Québec) et Nova Scotia Ltd").when(F.col("c_custkey") % 3 == 1, ", ON").otherwise("")).alias("said"))
+    return c.select("c_custkey", F.array_join(text.provinces(F.col("said")), ",").alias("provinces"), text.entities(F.col("said")).alias("entities"))
+
+
+def nested_values(spark, sf_dir):
+    """Values of some keys of nested documents."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("city"), F.array(F.struct(F.col("o_orderpriority").alias("street"), F.lit("x").alias("other"))).alias("more"))).alias("document"))
+    return o.select("o_orderkey", text.values_of_keys(F.col("document"), ["city", "street"]).alias("said"))
+
+
+def stored_forms(spark, sf_dir):
+    """How stored normal forms differ from those expected."""
+    p = table(spark, sf_dir, "part")
+    stored = F.when(F.col("p_partkey") % 6 == 0, F.lit(None)).when(F.col("p_partkey") % 6 == 1, "").when(F.col("p_partkey") % 6 == 2, F.substring("p_name", 1, 4)).when(F.col("p_partkey") % 6 == 3, F.concat("p_name", F.lit("s"))).when(F.col("p_partkey") % 6 == 4, F.lit("zzz")).otherwise(F.col("p_name"))
+    source = F.when(F.col("p_partkey") % 10 == 0, " ").otherwise(F.col("p_name"))
+    return p.groupBy(text.stored_form(source, stored, text.normalise(F.col("p_name"))).alias("class")).agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (named_provinces, nested_values, stored_forms, normalised_names, name_traits, postal_codes, company_numbers, whole_phrases, keyword_hits, page_contacts, amounts, parsed_numbers, percentages)}
 
 _PLAIN = "trim(regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 _MONTHS = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(text.MONTHS, 1))
@@ -98,6 +118,9 @@ _DAY = f"concat(CASE WHEN day(o_orderdate) = 1 THEN '1er' ELSE CAST(day(o_orderd
 _FIRST_LINE = _PLAIN.format(x="split_part(text, chr(10), 1)")
 
 SQL = {
+    "named_provinces": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'NS,QC' WHEN 1 THEN 'ON' ELSE '' END AS provinces, CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 1 END AS entities FROM customer",
+    "nested_values": "SELECT o_orderkey, concat(o_orderstatus, ' ', o_orderpriority) AS said FROM orders",
+    "stored_forms": "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'source empty' WHEN p_partkey % 6 = 0 THEN 'null' WHEN p_partkey % 6 = 1 THEN 'empty' WHEN p_partkey % 6 = 2 THEN CASE WHEN length(p_name) > 4 THEN 'truncated' ELSE 'equal' END WHEN p_partkey % 6 = 3 THEN 'longer' WHEN p_partkey % 6 = 4 THEN 'divergent' ELSE 'equal' END AS class, count(*) AS n FROM part GROUP BY 1",
     "normalised_names": f"WITH n AS (SELECT p_partkey, {_PLAIN.format(x=_ODD)} AS plain FROM part) SELECT p_partkey, plain, split_part(plain, ' ', 1) AS first, regexp_replace(plain, ' inc ltee$', '') AS short, len(list_distinct(list_filter(string_split(plain, ' '), lambda w: length(w) >= 3))) AS words FROM n",
     "name_traits": f"SELECT p_partkey, trim(regexp_replace(regexp_replace({_ODD}, '\\([^()]*\\)', ' '), '\\s+', ' ', 'g')) AS outside, 'parenthesis' AS forms FROM part",
     "postal_codes": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('J', d, 'L,J', d, 'L2A4') WHEN 1 THEN concat('J', d, 'L') ELSE concat('J', d, 'K,J', d, 'K3B7') END AS codes, concat('City', c_nationkey) AS city, concat('QC J', d, CASE c_custkey % 3 WHEN 0 THEN 'L 2A4' WHEN 1 THEN 'L' ELSE 'K3B7' END) AS rest FROM (SELECT *, c_custkey % 10 AS d FROM customer)",
