@@ -16,6 +16,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.operators.storage import materialize
+
 KINDS = ("disappeared", "appeared", "modified")
 
 
@@ -87,17 +89,20 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], relevant: list[str]
     ``after`` map relevant columns to their values as strings. Keys are compared
     null-safe; both sides have one row for each key.
     """
-    values = lambda: F.map_from_arrays(F.array(*[F.lit(c) for c in sorted(relevant)]), F.array(*[F.col(c).cast("string") for c in sorted(relevant)]))
-    a = old.select(*keys, values().alias("before"), fingerprint(relevant).alias("_a"))
-    b = new.select(*[F.col(k).alias(f"_{k}") for k in keys], values().alias("after"), fingerprint(relevant).alias("_b"))
+    names = sorted(relevant)
+    values = F.array(*[F.col(c).cast("string") for c in names])
+    a = old.select(*keys, values.alias("_a"))
+    b = new.select(*[F.col(k).alias(f"_{k}") for k in keys], values.alias("_b"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     met = a.join(b, same, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
     change = F.when(F.col("_a").isNull(), "appeared").when(F.col("_b").isNull(), "disappeared").otherwise("modified")
-    differ = F.filter(F.array(*[F.lit(c) for c in sorted(relevant)]), lambda c: ~F.col("before")[c].eqNullSafe(F.col("after")[c]))
+    listed = F.array(*[F.lit(c) for c in names])
+    differ = F.filter(F.transform(listed, lambda c, i: F.when(~F.col("_a")[i].eqNullSafe(F.col("_b")[i]), c)), lambda c: c.isNotNull())
     key = [F.when(F.col("_a").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
-    return met.select(*key, change.alias("change"), F.when(change == "modified", differ).alias("fields"), "before", "after")
+    said = lambda side: F.when(F.col(side).isNotNull(), F.map_from_arrays(listed, F.col(side)))
+    return met.select(*key, change.alias("change"), F.when(change == "modified", differ).alias("fields"), said("_a").alias("before"), said("_b").alias("after"))
 
 
 def schema_change(seen: dict[str, str] | None, df: DataFrame, relevant: list[str]) -> tuple[list[str], list[str], list[str]]:
@@ -139,7 +144,7 @@ def run(state: DataFrame | None, new: DataFrame, keys: list[str], relevant: list
     fresh = one_per_key(new, keys, relevant).drop("fingerprint")
     if state is None:
         return Outcome("reference", None, changes(fresh.limit(0), fresh, keys, relevant).limit(0), fresh, {}, warnings)
-    found = changes(state, fresh, keys, relevant)
+    found = materialize(changes(state, fresh, keys, relevant))  # counted here and used by the caller
     counts = {r["change"]: r["count"] for r in found.groupBy("change").count().collect()}  # three rows at most
     motive = exceeded(counts, state.count(), limits.effective(earlier_runs))
     return Outcome("quarantined" if motive else "accepted", motive, found, state if motive else fresh, counts, warnings)
