@@ -39,6 +39,8 @@ from signalmill.llm.common import materialize, table
 
 LEVELS = ("domain", "language", "origin")
 BUCKETS = 4096
+#: The leaves' table, some 300 bytes for each, is broadcast up to so many.
+FEW_LEAVES = 50_000
 
 
 @dataclass(frozen=True)
@@ -147,6 +149,8 @@ def plan(df: DataFrame, weights: Weights = WEIGHTS, epochs: int = EPOCHS, percen
 def _epochs(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     """Rows of LEVELS, key and tokens, once for each epoch that takes them."""
     told = leaves.where("budget > 0").select(*LEVELS, "whole", "need", "last", "before")
+    if leaves.count() <= FEW_LEAVES:  # beyond that Spark shuffles, and splits hot leaves
+        told = F.broadcast(told)
     where = place(seed, F.col("whole"), F.col("key"))
     known = rows.join(told, list(LEVELS)).withColumn("place", F.when(F.col("last").isNotNull(), where))
     times = F.col("whole") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)
@@ -165,8 +169,8 @@ def mix(df: DataFrame, seed: int = SEED, key: str = "doc_id", **options) -> Data
 
 def apply_mix(df: DataFrame, seed: int = SEED, key: str = "doc_id", domain: Column | None = None, language: str = "lang", origin: str = "source", tokens: Column | None = None, **options) -> DataFrame:
     """The documents taken, whole and with their own columns, once for each epoch
-    that takes them. Rows meet a row for each leaf; texts aren't shuffled where
-    Spark finds that table small enough to broadcast."""
+    that takes them. Rows meet a row for each leaf; texts aren't shuffled if the
+    leaves are counted to be few."""
     _, leaves = plan(df, seed=seed, key=key, domain=domain, language=language, origin=origin, tokens=tokens, **options)
     measure = byte_tokens() if tokens is None else tokens
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole_row")
