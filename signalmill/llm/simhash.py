@@ -157,12 +157,14 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text_column: str
     Rows that share a key stand or fall together, but of those with equal text
     one stays. Texts are shuffled once, by their key.
     """
+    named, copy = spare(df, "_named"), spare(df, "_copy")
+    name = F.coalesce(F.col(key).cast("long").cast("string"), F.lit("none"))
     found = near_duplicates(df, key, text_column, words, hot)
-    kept, copy = spare(df, "_kept"), spare(df, "_copy")
-    stay = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(kept)).distinct()
-    rows = df.join(stay, F.col(key).cast("long").eqNullSafe(F.col(kept)), "left_semi")
-    one = F.row_number().over(W.partitionBy(F.col(key).cast("long"), F.xxhash64(text_or_empty(text_column))).orderBy(F.lit(0)))
-    return rows.withColumn(copy, one).where(F.col(copy) == 1).drop(copy)
+    stay = found.where(F.col(key).eqNullSafe(F.col("component"))).select(name.alias(named)).distinct()
+    # The join and the window share their partitioning by name.
+    rows = df.withColumn(named, name).join(stay, named, "left_semi")
+    one = F.row_number().over(W.partitionBy(named, F.xxhash64(text_or_empty(text_column))).orderBy(F.lit(0)))
+    return rows.withColumn(copy, one).where(F.col(copy) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
