@@ -21,9 +21,9 @@ and the measure of tokens (a quarter of the UTF-8 bytes, rounded up).
 
 Defined results: null domains, languages and sources are nodes of empty name; a
 null or empty text has no tokens and isn't selected; a node without a weight of
-its own has its level's default; with weight 0 it gets nothing; rows of equal key stand at one place of the order, and
-if the prefix ends there each is cut to what is left before it; a null key
-stands as an empty one; an empty table or budget gives an empty result; other
+its own has its level's default; with weight 0 it gets nothing; rows of equal key
+stand at one place of the order, and if the prefix ends there each is cut to what
+is left before it; a null key stands as an empty one; an empty table or budget gives an empty result; other
 columns are ignored by :func:`mix` and kept by :func:`apply_mix`.
 """
 
