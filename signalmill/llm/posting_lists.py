@@ -168,15 +168,16 @@ def _usable(vector: Column, size: int) -> Column:
 
 def distinct_vectors(df: DataFrame, key: str, vector_column: str, k: int) -> tuple[DataFrame, int]:
     """(vector, keys) of each distinct vector with its k + 1 smallest keys,
-    written once, and the number of components. Keys beyond those are cut before
-    the shuffle, where Spark limits the rank by group."""
+    written once, and the number of components. Repeated rows go first, so that
+    they take no places; keys beyond those are cut before the next shuffle,
+    where Spark limits the rank by group."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector_column).cast("array<double>").alias("vector")).where("key is not null and vector is not null")
     sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     size = sizes["size"] if sizes else 0
-    rows = rows.where(_usable(F.col("vector"), size))
+    rows = rows.where(_usable(F.col("vector"), size)).dropDuplicates(["key", "vector"])
     rank = F.row_number().over(W.partitionBy("vector").orderBy("key"))
     few = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    return materialize(few.groupBy("vector").agg(F.array_sort(F.collect_set("key")).alias("keys"))), size
+    return materialize(few.groupBy("vector").agg(F.array_sort(F.collect_list("key")).alias("keys"))), size
 
 
 def fit(vectors: DataFrame, k: int = K, target: float = TARGET, sample: int = SAMPLE) -> CentroidGraph | None:

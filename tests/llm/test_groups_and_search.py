@@ -206,6 +206,17 @@ def test_op9_on_many_lists_and_awkward_vectors(spark, monkeypatch):
     assert sorted(r.vec_id for r in few.collect()) == [21, 22]
 
 
+def test_op9_counts_distinct_keys_of_a_vector(spark):
+    shared, other = [1.0, 2.0, 0.5], [0.5, 0.1, 0.2]
+    made = [(i, shared) for i in range(30)] * 2 + [(0, shared)] * 30 + [(i, other) for i in range(40, 70)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(3)
+    want = brute_nearest(made, 20)
+    got = defaultdict(list)
+    for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for _, i in found] for q, found in want.items()}
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
