@@ -62,3 +62,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 10
     assert entry.oracle_sql().keys() <= entry.queries().keys() and QUERIES.keys() <= entry.queries().keys()
+
+
+def test_every_detected_name_is_resolved(spark, sf):
+    from signalmill.plans.views import dirty_names
+
+    asked = [r.query_id for r in dirty_names(spark, sf).collect()]
+    assert sorted(r.query_id for r in QUERIES["resolved_names"](spark, sf).collect()) == sorted(asked)
