@@ -15,6 +15,8 @@ from signalmill.functions.text import first_word, words
 from signalmill.operators.relational import top
 
 LIMIT, FRAGMENT, FREQUENT = 2000, 6, 5000
+#: Rows of either side of a tile of pairs.
+TILE = 128
 
 
 def prefixes_of_words(names: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -34,6 +36,28 @@ def by_prefix(names: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataF
     return asked.join(listed, "prefix").select("query_id", "id", "name", "rank")
 
 
+def in_tiles(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id: str, most: int = TILE) -> DataFrame:
+    """All pairs of rows that share ``by``. Both sides of a value are dealt out
+    in tiles of about ``most`` rows each, so none goes to one task whole."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda rows, name: rows.groupBy(by).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = count(left, "_down").join(count(right, "_across"), by)
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = [by, "_row", "_col"]
+    a = left.join(sizes, by).select("*", part(left_id, "_down").alias("_row"), every("_across").alias("_col")).drop("_down", "_across")
+    b = right.join(sizes, by).select("*", every("_down").alias("_row"), part(right_id, "_across").alias("_col")).drop("_down", "_across")
+    # a given number of partitions, as pairs are many where rows are few
+    return a.repartition(tasks, *tile).join(b.repartition(tasks, *tile), tile).drop("_row", "_col")
+
+
+def all_by_prefix(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): all names that start with the query's first word."""
+    asked = queries.where("name <> ''").select("query_id", first_word(F.col("name")).alias("prefix"))
+    spread = names.where("name <> ''").withColumn("first", first_word(F.col("name"))).join(prefixes_of_words(names.where("name <> ''"), asked), "first")
+    return in_tiles(asked, spread.select("prefix", "id"), "prefix", "query_id", "id").select("query_id", "id")
+
+
 def by_fragment(names: DataFrame, queries: DataFrame, limit: int = LIMIT, length: int = FRAGMENT) -> DataFrame:
     """The same for names that hold the query's first ``length`` characters
     anywhere: names meet fragments by their n-grams, an equi-join."""

@@ -189,6 +189,19 @@ def test_duplicates_merge_into_the_oldest(spark):
     assert {(r.a, r.b) for r in links.collect()} >= {(1, 2), (1, 3)}
 
 
+def test_links_of_provinces_need_no_common_first_word(spark):
+    made = [(i, f"alpha {i:04d}", "laval", ["QC"]) for i in range(600)] + [(1000, "les toitures du nord", "laval", ["QC"]), (1001, "toitures du nord", "laval", ["ON"]), (1002, "alpha zz 77", "laval", ["QC"]), (1003, "alpha zz 77", "laval", ["ON"])]
+    pool = spark.createDataFrame(made, "company_id int, name string, city string, provinces array<string>")
+    found = {(r.a, r.b): r.score for r in dedup.cross_province(pool).collect()}
+    assert (1000, 1001) in found and found[1002, 1003] == 100.0
+
+
+def test_pairs_of_a_frequent_first_word_are_all_met(spark):
+    made = [(i, f"alpha {i * 7919 % 9973:04d}", None) for i in range(600)] + [(1002, "alpha zzzzzzzz", None), (1003, "alpha zzzzzzzz", None)]
+    pool = spark.createDataFrame(made, "company_id int, name string, city string")
+    assert (1002, 1003, 100.0) in {tuple(r) for r in dedup.candidate_pairs(pool).collect()}
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 51), (51, 52), (52, 50), (7, 7)], "a int, b int")
     got = {r.node: r.component for r in graph.components(pairs, "a", "b").collect()}
