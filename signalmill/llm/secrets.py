@@ -76,6 +76,11 @@ def _looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied
 
 
+def _looks_generated(value: Column) -> Column:
+    """The same, with the whole value's characters counted."""
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+
+
 def scan(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """(row, key, owner, repository, hits), written once: the only pass over the texts."""
     unknown = F.lit("")
@@ -88,7 +93,9 @@ def scan(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: C
 
 
 def spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(row, kind, start, end, value_hash, owners, repositories, live), one for each span.
+    """(row, kind, start, end, value_hash, owners, repositories, live, owned), one
+    for each span. ``owned`` is what redaction goes by: base spans whose value few
+    owners hold, whatever it looks like, and added ones that look generated too.
 
     Values are hashed before they are shuffled. Owners are counted by distinct
     (hash, owner, repository) first, so a value in a third of the rows is summed
@@ -101,10 +108,10 @@ def spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     measured = F.when(F.col("kind") == 0, F.length("value")).otherwise(F.length("hit"))
     enough = F.element_at(F.array(*[F.lit(LEAST[k]) for k in KINDS]), F.col("kind") + 1)
     placed = each.withColumn("end", end).withColumn("value", value).where(measured >= enough)
-    hashed = placed.select("row", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.xxhash64("value").alias("value_hash"), _looks_live(F.col("value")).alias("mixed"), "owner", "repository")
+    hashed = placed.select("row", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.xxhash64("value").alias("value_hash"), _looks_live(F.col("value")).alias("mixed"), ((F.col("kind") < len(BASE_KINDS)) | _looks_generated(F.col("value"))).alias("secret"), "owner", "repository")
     held = hashed.select("value_hash", "owner", "repository").distinct().groupBy("value_hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    live = F.col("mixed") & (F.col("owners") <= max_owners)
-    return hashed.join(held, "value_hash").select("row", "kind", "start", "end", "value_hash", "owners", "repositories", live.alias("live"))
+    few = F.col("owners") <= max_owners
+    return hashed.join(held, "value_hash").select("row", "kind", "start", "end", "value_hash", "owners", "repositories", (F.col("mixed") & few).alias("live"), (F.col("secret") & few).alias("owned"))
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -119,7 +126,8 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text_column: str = "text",
 
 
 def redact(df: DataFrame, text_column: str = "text", key: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """The rows with live credentials replaced in the text; the columns stay.
+    """The rows with credentials that few owners hold replaced in the text; the
+    columns stay.
 
     Rows without any candidate are passed on as they are; only the others, few
     in any corpus, are joined to their verdicts by key and value hash.
@@ -129,7 +137,7 @@ def redact(df: DataFrame, text_column: str = "text", key: str = "doc_id", mark:
     for kind in KINDS:
         some = some | _may_match(text, kind)
     scanned = scan(df.where(some), key, text_column)
-    live = spans(scanned, max_owners).where("live").join(scanned.select("row", "key"), "row")
+    live = spans(scanned, max_owners).where("owned").join(scanned.select("row", "key"), "row")
     holder, secret = spare(df, "_holder"), spare(df, "_secret")
     lists = live.groupBy(F.col("key").alias(holder)).agg(F.collect_set("value_hash").alias(secret))
     rows = df.where(some).join(lists, F.col(key).cast("long").eqNullSafe(F.col(holder)), "left").drop(holder)
