@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts may be long, so batches are kept small.
@@ -17,21 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the memory of an Arrow batch of whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the memory of an Arrow batch of whole texts, unless the session has
+    a bound of its own. Spark reads the setting when a query runs, so it stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) in (0, 10_000):  # Spark's default
+        spark.conf.set(setting, str(ARROW_ROWS))
+
+
+def parts_of(spark: SparkSession, total: int, part_bytes: int, least_bytes: int = 1 << 20) -> int:
+    """Partitions for so many bytes: of ``part_bytes`` each, or smaller ones if
+    that leaves the cluster's cores without work, but not below ``least_bytes``."""
+    return max(1, -(-total // part_bytes), min(spark.sparkContext.defaultParallelism, -(-total // least_bytes)))
+
+
+def one_task_each(manifest: DataFrame, order: str, most: int = 100_000) -> DataFrame:
+    """A manifest's rows dealt to tasks by ranges of ``order``: a task for each
+    file, up to ``most`` tasks. A range partitioning with a given number isn't
+    coalesced, however few bytes the rows have, and equal parts don't collide."""
+    return manifest.repartitionByRange(min(most, max(1, manifest.count())), order)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (a
-    local session, as in tests) is a temporary folder of this machine used.
+    It is the cluster's ``spark.checkpoint.dir``, or the folder given to
+    ``setCheckpointDir``. Only a local session, as in tests, may do without: it
+    gets a temporary folder. A cluster has no folder to fall back on.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="signalmill-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

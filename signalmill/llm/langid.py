@@ -1,15 +1,17 @@
 """Operator 3: language identification by a bidirectional gated recurrent network.
 
 The network reads bytes and gives every position of a text language
-probabilities; a document's are the mean over its positions. It reads word by
-word: its states start anew at each word, in both directions, so equal words get
-equal labels and a worker need not read a recent word again. White space and
-words without a letter (numbers, punctuation) have no say in the mean; words
-beyond ``PIECE`` bytes are read in pieces, all of them.
+probabilities, white space and marks included; a document's are the mean over
+its characters (of a character's bytes the first counts). A text is read in windows of up to ``BODY`` bytes. Each window is
+read together with the ``MARGIN`` bytes before and after it, so that both
+directions know the words around a position; beyond the ends of the text stand
+zero bytes. Where windows begin depends on the text alone, so equal texts get
+equal results.
 
 It is trained in numpy, on a bounded sample: per language the ``TRAIN_DOCUMENTS``
-labelled documents of smallest hash, of each a window of ``TRAIN_CHARS``
-characters. Prediction covers every document and whole texts.
+labelled documents of smallest hash (fewer if there are many languages, so that
+``TRAIN_ROWS`` bounds them all), of each ``TRAIN_WINDOWS`` windows spread evenly over
+the whole text. Prediction covers every document and whole texts.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0,
 as is every text if nothing could be learned; ties go to the first language in
@@ -20,7 +22,6 @@ empty result; label columns and others are ignored when predicting.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,110 +35,97 @@ from signalmill.llm.common import table, text_or_empty, tune
 from signalmill.llm.gru import ByteNetwork
 
 UNDETERMINED = "und"
-#: Bounds of the training sample.
-TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WORDS = 250, 2000, 60_000
-PIECE = 40
-#: Common punctuation, read as white space.
-MARKS = ".,;:!?\"()"
-#: Words whose labels a worker remembers, and words read at once.
-MEMO_WORDS, READ_AT_ONCE = 400_000, 4096
+#: Bounds of the training sample: documents of a language, documents of all
+#: languages together (at least one of each), windows of a document and their bytes.
+TRAIN_DOCUMENTS, TRAIN_ROWS, TRAIN_WINDOWS, TRAIN_BYTES = 250, 20_000, 6, 128
+#: Bytes that a window labels at most, bytes read before and after it, the step of
+#: window sizes, and windows read at once.
+BODY, MARGIN, STEP, READ_AT_ONCE = 224, 16, 32, 2048
 
 
 def remainder(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 4
 
 
-def training_sample(df: DataFrame, key: str = "doc_id", text_column: str = "text", label: str = "lang", documents: int = TRAIN_DOCUMENTS) -> pd.DataFrame:
-    """(label, text) of at most ``documents`` rows per label, brought to the
-    driver: a fixed bound for each label, whatever the corpus. Keys are chosen
-    first, without texts, by a rank that Spark limits before it shuffles."""
+def training_sample(df: DataFrame, key: str = "doc_id", text_column: str = "text", label: str = "lang", documents: int = TRAIN_DOCUMENTS, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS, size: int = TRAIN_BYTES) -> pd.DataFrame:
+    """(label, window) from at most ``documents`` rows per label and ``rows`` in
+    all, brought to the driver: ``windows`` pieces of bytes of each, evenly spread
+    from the text's start to its end. Keys are chosen first, without texts, by a
+    rank that Spark limits before it shuffles."""
     learned = df.where(F.col(label).isNotNull() & (remainder(key) != 2))
     rank = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
-    keys = learned.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label")).withColumn("rank", rank).where(F.col("rank") <= documents)
-    chosen = sorted({r.key for r in keys.select("key").collect()})
+    keys = learned.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"))
+    labels = keys.select("label").distinct().count()
+    few = min(documents, max(1, rows // max(1, labels)))
+    chosen = sorted({r.key for r in keys.withColumn("rank", rank).where(F.col("rank") <= few).select("key").collect()})
     if not chosen:
-        return pd.DataFrame({"label": [], "text": []})
-    rows = learned.where(F.col(key).isin(chosen)).select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.substring(text_or_empty(text_column), 1, TRAIN_CHARS).alias("text"))
-    return rows.dropDuplicates().orderBy("key", "label", "text").limit(len(chosen) * 4).toPandas()[["label", "text"]]
+        return pd.DataFrame({"label": [], "window": []})
+    data = F.encode(text_or_empty(text_column), "UTF-8")
+    spare = F.greatest(F.octet_length(data) - size, F.lit(0))
+    places = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.floor(spare * k / max(1, windows - 1)).cast("int"))
+    cut = F.transform(F.array_distinct(places), lambda at: F.substring(data, at + 1, F.lit(size)))
+    found = learned.where(F.col(key).isin(chosen)).select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), cut.alias("cut")).dropDuplicates()
+    return found.orderBy("key", "label", "cut").limit(len(chosen) * 4).select("label", F.explode("cut").alias("window")).where(F.octet_length("window") > 0).toPandas()
 
 
-def words_of(text: str) -> list[str]:
-    text = text.lower()
-    for mark in MARKS:
-        text = text.replace(mark, " ")
-    return text.split()
-
-
-def pieces(word: str) -> list[bytes]:
-    data = word.encode()
-    return [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-
-
-def train(sample: pd.DataFrame, hidden: int = 10, words: int = TRAIN_WORDS) -> ByteNetwork | None:
-    """A network fitted to the sample's words, each with its document's label;
+def train(sample: pd.DataFrame, hidden: int = 8) -> ByteNetwork | None:
+    """A network fitted to the sample's windows, each with its document's label;
     None if there is nothing to learn."""
     labels = sorted(set(sample["label"]))
     if not labels:
         return None
-    seen: Counter = Counter()
-    for label, text in zip(sample["label"], sample["text"], strict=True):
-        seen.update((p, label) for w in words_of(text) if any(map(str.isalpha, w)) for p in pieces(w))
-    share = max(1, words // len(labels))
-    made, targets = [], []
-    for k, label in enumerate(labels):
-        own = sorted((-n, p) for (p, of), n in seen.items() if of == label)[:share]
-        for n, p in own:
-            times = 1 + int(np.log2(-n))
-            made += [p] * times
-            targets += [k] * times
-    if not made:
+    place = {label: k for k, label in enumerate(labels)}
+    rows = [(bytes(w).decode("utf-8", "replace"), bytes(w), place[label]) for label, w in zip(sample["label"], sample["window"], strict=True)]
+    rows = [(w, k) for text, w, k in rows if any(map(str.isalpha, text))]
+    if not rows:
         return None
-    return ByteNetwork(labels, hidden).fit(made, np.array(targets))
-
-
-class Reader:
-    """Labels texts with a network and remembers recent words."""
-
-    def __init__(self, network: ByteNetwork):
-        self.network = network
-        self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, len(network.labels) + 1))
-
-    def _read(self, words: list[str]) -> None:
-        """Appends each word's sums of position probabilities, and its length."""
-        sums = np.zeros((len(words), len(self.network.labels) + 1))
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, w in enumerate(words):
-            if any(map(str.isalpha, w)):
-                for p in pieces(w):
-                    own = by_length.setdefault(len(p), ([], []))
-                    own[0].append(i)
-                    own[1].append(p)
-        for length, (at, data) in sorted(by_length.items()):
-            for k in range(0, len(at), READ_AT_ONCE):
-                some = np.frombuffer(b"".join(data[k : k + READ_AT_ONCE]), np.uint8).reshape(-1, length)
-                p = self.network.positions(some).sum(0, dtype=np.float64)
-                own, p = at[k : k + READ_AT_ONCE], np.concatenate([p, np.full((len(p), 1), length)], 1)
-                if length < PIECE:  # a word has one piece of each such length
-                    sums[own] += p
-                else:
-                    np.add.at(sums, own, p)
-        self.place.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.rows = np.concatenate([self.rows, sums])
-
-    def probabilities(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Pooled probabilities of each text; None without a letter."""
-        split = [words_of(t) for t in texts]
-        if len(self.place) > MEMO_WORDS:
-            self.place, self.rows = {}, self.rows[:0]
-        fresh = sorted(set().union(*split) - self.place.keys())
-        if fresh:
-            self._read(fresh)
-        out: list[np.ndarray | None] = []
-        for words in split:
-            total = self.rows[[self.place[w] for w in words]].sum(0) if words else np.zeros(1)
-            out.append(total[:-1] / total[-1] if total[-1] else None)
-        return out
+    return ByteNetwork(labels, hidden).fit([w for w, _ in rows], np.array([k for _, k in rows]))
+
+
+def cuts(length: int) -> tuple[int, int]:
+    """(windows of a text of so many bytes, bytes that each labels)."""
+    count = max(1, -(-length // BODY))
+    return count, -(-(-(-length // count)) // STEP) * STEP
+
+
+def probabilities(network: ByteNetwork, texts: list[str]) -> list[np.ndarray | None]:
+    """Label probabilities of each text, the mean over its characters; None for a
+    text without a letter. Memory is bounded by the texts and a block of windows."""
+    sums = np.zeros((len(texts), len(network.labels)))
+    lengths = np.ones(len(texts), np.int64)
+    jobs: dict[int, list[tuple[int, int, int, np.ndarray]]] = {}
+    lettered = [any(map(str.isalpha, t)) for t in texts]
+    for i, text in enumerate(texts):
+        if not lettered[i]:
+            continue
+        data = text.encode()
+        lengths[i] = len(text)
+        count, body = cuts(len(data))
+        padded = np.zeros(count * body + 2 * MARGIN, np.uint8)
+        padded[MARGIN : MARGIN + len(data)] = np.frombuffer(data, np.uint8)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, body + 2 * MARGIN)[::body]
+        jobs.setdefault(body, []).append((i, count, len(data), windows))
+    for body, own in sorted(jobs.items()):
+        owner = np.repeat([i for i, *_ in own], [count for _, count, *_ in own])
+        filled = np.concatenate([np.clip(length - np.arange(count) * body, 0, body) for _, count, length, _ in own])
+        at, held = 0, []
+
+        def label(rows: np.ndarray, start: int, body=body, owner=owner, filled=filled) -> None:
+            p = network.positions(rows)[MARGIN : MARGIN + body]
+            first = (rows[:, MARGIN : MARGIN + body].T & 0xC0) != 0x80
+            there = first & (np.arange(body)[:, None] < filled[start : start + len(rows)])
+            np.add.at(sums, owner[start : start + len(rows)], np.einsum("tnk,tn->nk", p, there.astype(np.float32)))
+
+        for *_, windows in own:
+            for k in range(0, len(windows), READ_AT_ONCE):
+                held.append(windows[k : k + READ_AT_ONCE])
+                if sum(map(len, held)) >= READ_AT_ONCE:
+                    rows = np.concatenate(held)
+                    label(rows, at)
+                    at, held = at + len(rows), []
+        if held:
+            label(np.concatenate(held), at)
+    return [s / n if there else None for s, n, there in zip(sums, lengths, lettered, strict=True)]
 
 
 def predict(df: DataFrame, network: ByteNetwork | None, key: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -145,14 +133,13 @@ def predict(df: DataFrame, network: ByteNetwork | None, key: str = "doc_id", tex
     network (some 100 kB) goes with the task."""
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(network) if network else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             names, scores = [], []
-            for p in reader.probabilities(texts) if reader else [None] * len(texts):
+            for p in probabilities(network, texts) if network else [None] * len(texts):
                 rounded = None if p is None else np.round(p, 5)
                 names.append(UNDETERMINED if p is None else network.labels[int(rounded.argmax())])
-                scores.append(0.0 if p is None else float(rounded.max()))
+                scores.append(0.0 if p is None else min(1.0, float(rounded.max())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), text_or_empty(text_column).alias("text"))
@@ -173,10 +160,9 @@ def confident(df: DataFrame, network: ByteNetwork | None, text_column: str = "te
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(network) if network else None
         for texts in batches:
             listed = [t or "" for t in texts]
-            p = reader.probabilities(listed) if reader else [None] * len(listed)
+            p = probabilities(network, listed) if network else [None] * len(listed)
             yield pd.Series([x is not None and float(x.max()) >= least_score for x in p], dtype=bool)
 
     return df.where(known(F.col(text_column)))

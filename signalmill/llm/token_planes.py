@@ -32,10 +32,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalmill.llm.bpe import Encoder, Vocabulary, byte_letters, tokenizer_file
-from signalmill.llm.common import materialize, new_folder, open_shared, table, text_or_empty, tune
+from signalmill.llm.common import materialize, new_folder, one_task_each, open_shared, parts_of, table, text_or_empty, tune
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
+#: Bytes of text of a file.
+FILE_BYTES = 64 << 20
 END_ID = 0
 
 
@@ -180,7 +182,8 @@ def write_ids(df: DataFrame, vocabulary_path: str, folder: str, key: str = "doc_
     """Writes the ids of all texts, each with the end id, and returns the files'
     manifest, itself written once: file number, path, documents, ids.
 
-    Rows are range-partitioned and sorted by key, a file for each partition. A
+    Rows are range-partitioned and sorted by key, a file for each partition;
+    without ``partitions`` their number follows from the bytes of the texts. A
     task writes under a name of its own and renames at its end, so a repeated
     task leaves one whole file.
     """
@@ -200,18 +203,18 @@ def write_ids(df: DataFrame, vocabulary_path: str, folder: str, key: str = "doc_
             yield pa.RecordBatch.from_pylist([{"file": number, "path": sink.path, "documents": len(writer.keys), "ids": ids}], pa.schema([("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
     rows = df.select(F.col(key).cast("long").alias("key"), text_or_empty(text_column).alias("text"))
-    dealt = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-    return materialize(dealt.sortWithinPartitions("key", "text").mapInArrow(write, FILES))
+    partitions = partitions or parts_of(df.sparkSession, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, FILE_BYTES)
+    return materialize(rows.repartitionByRange(partitions, "key").sortWithinPartitions("key", "text").mapInArrow(write, FILES))
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, read from the files.
 
     The files' offsets are a running sum over the manifest, a row for each file.
-    A task reads one file at a time and holds one block of it.
+    Every file has a task, which holds one block of it at a time.
     """
     offset = F.coalesce(F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("path", offset.cast("long").alias("offset"))
+    files = manifest.select("file", "path", offset.cast("long").alias("offset"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +233,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         at += count
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return one_task_each(files, "file").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

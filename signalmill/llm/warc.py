@@ -1,9 +1,10 @@
 """Operator 7: dictionary-compressed web archives.
 
 A task writes one archive: WARC records of a run of pages in key order. A
-Zstandard dictionary is built from the archive's first records (a bounded,
-documented sample), embedded in a leading skippable frame, and every record is
-then compressed in a frame of its own with it, so any record can be read alone.
+Zstandard dictionary is built from a sample of the archive's records, drawn by
+hash from all of them and bounded, embedded in a leading skippable frame, and
+every record is then compressed in a frame of its own with it, so any record can
+be read alone.
 
 Pages with equal payloads are archived once: the one with the smallest key is
 the response, the others are revisits that name it and keep its HTTP header.
@@ -12,8 +13,8 @@ Defined results: a null html counts as an empty payload, a null url is written
 as ``urn:page:<key>``; payloads of any length are written whole; of rows with
 equal key and payload the first is the response and the others revisit it; a
 null key counts as larger than any other and is never named by a revisit; with
-fewer records than a dictionary needs, their bytes serve as a raw one; an empty
-table gives no archive and an empty result; other columns are ignored.
+fewer records than a dictionary needs, the bytes of those drawn serve as a raw
+one, maybe an empty one; an empty table gives no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import materialize, new_folder, open_shared, table, tune
+from signalmill.llm.common import materialize, new_folder, one_task_each, open_shared, parts_of, table, tune
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and
 #: the profile of a revisit of an identical payload.
@@ -38,6 +39,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A dictionary is built from at most so many records and bytes of an archive.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 20, 16 << 10
+#: Bytes of html of an archive.
+FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -96,20 +99,24 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO)
 
 
-def write_archive(sink, records: Iterator[bytes], level: int = 3) -> int:
-    """Writes records to a stream; returns their number."""
-    sample, held = [], 0
-    for data in records:
-        sample.append(data)
-        held += len(data)
-        if len(sample) >= SAMPLE_RECORDS or held >= SAMPLE_BYTES:
-            break
-    if not sample:
-        return 0
+def write_archive(sink, records: Iterator[bytes], sample: list[bytes] | None = None, level: int = 3) -> int:
+    """Writes records to a stream; returns their number. Without a ``sample`` the
+    dictionary is built from the first records."""
+    ahead: list[bytes] = []
+    if sample is None:
+        held = 0
+        for data in records:
+            ahead.append(data)
+            held += len(data)
+            if len(ahead) >= SAMPLE_RECORDS or held >= SAMPLE_BYTES:
+                break
+        sample = ahead
+        if not ahead:
+            return 0
     learned = build_dictionary([s[: SAMPLE_BYTES // 8] for s in sample])
     sink.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(learned).to_bytes(4, "little") + learned)
     compress, count = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(learned), write_checksum=True).compress, 0
-    for data in chain(sample, records):
+    for data in chain(ahead, records):
         sink.write(compress(data))
         count += 1
     return count
@@ -165,36 +172,46 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url_column: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
 
+        rows = (tuple(v.as_py() for v in row) for batch in batches for row in zip(*batch.columns, strict=True))
+        sample, held, head = [], 0, None
+        for head in rows:  # the drawn copies stand first
+            if not head[-1]:
+                break
+            if len(sample) < 2 * SAMPLE_RECORDS and held < SAMPLE_BYTES:
+                data = (head[4] or "").encode()
+                sample.append(record(head[0], head[3], data, payload_digest(data), None, False)[: SAMPLE_BYTES // 8])
+                held += len(sample[-1])
+        if head is None or head[-1]:
+            return
+
         def records() -> Iterator[bytes]:
             known, before = {}, None
-            for batch in batches:
-                for row in zip(*batch.columns, strict=True):
-                    k, digest, first, url, html, large = (v.as_py() for v in row)
-                    if first is not None:
-                        known = {(k, digest): first}
-                        continue
-                    payload = (html or "").encode()
-                    refers = known.get((k, digest))
-                    if refers is None and large and k is not None and before == (k, digest):
-                        refers = k
-                    before = (k, digest)
-                    yield record(k, url, payload, payload_digest(payload), refers, refers is not None)
-
-        made = records()
-        head = next(made, None)
-        if head is None:
-            return
+            for k, digest, first, url, html, large, _ in chain([head], rows):
+                if first is not None:
+                    known = {(k, digest): first}
+                    continue
+                payload = (html or "").encode()
+                refers = known.get((k, digest))
+                if refers is None and large and k is not None and before == (k, digest):
+                    refers = k
+                before = (k, digest)
+                yield record(k, url, payload, payload_digest(payload), refers, refers is not None)
+
         number = task.partitionId()
         with open_shared(f"{folder}/pages-{number:06d}.warc.zst", task.taskAttemptId()) as sink:
-            count = write_archive(sink.open(), chain([head], made))
+            count = write_archive(sink.open(), records(), sample)
         yield pa.RecordBatch.from_pylist([{"file": number, "path": sink.path, "records": count}], pa.schema([("file", pa.int32()), ("path", pa.string()), ("records", pa.int64())]))
 
     none = F.lit(None)
-    pages = df.select(F.col(key).cast("long").alias("key"), _digest(html_column).alias("digest"), none.cast("long").alias("first"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), (_size(html_column) >= least_bytes).alias("large"))
-    said = repeated_payloads(df, key, html_column, least_bytes).select("key", "digest", "first", none.cast("string").alias("url"), none.cast("string").alias("html"), F.lit(True).alias("large"))
-    both = pages.unionByName(said)
-    dealt = both.repartitionByRange(partitions, "key") if partitions else both.repartitionByRange("key")
-    return materialize(dealt.sortWithinPartitions("key", "digest", F.col("first").asc_nulls_last(), "url").mapInArrow(write, "file int, path string, records long"))
+    pages = df.select(F.col(key).cast("long").alias("key"), _digest(html_column).alias("digest"), none.cast("long").alias("first"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), (_size(html_column) >= least_bytes).alias("large"), F.lit(False).alias("drawn"))
+    said = repeated_payloads(df, key, html_column, least_bytes).select("key", "digest", "first", none.cast("string").alias("url"), none.cast("string").alias("html"), F.lit(True).alias("large"), F.lit(False).alias("drawn"))
+    count, total = df.agg(F.count("*"), F.sum(_size(html_column))).first()
+    partitions = partitions or parts_of(df.sparkSession, total or 0, FILE_BYTES)
+    share = min(1.0, SAMPLE_RECORDS * partitions / max(1, count))
+    drawn = pages.where(F.pmod(F.xxhash64("key", "url", "digest"), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("drawn", F.lit(True))
+    both = pages.unionByName(said).unionByName(drawn)
+    order = [F.desc("drawn"), "key", "digest", F.col("first").asc_nulls_last(), "url"]
+    return materialize(both.repartitionByRange(partitions, "key").sortWithinPartitions(*order).mapInArrow(write, "file int, path string, records long"))
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -220,7 +237,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             rows = []
                     yield _batch(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return one_task_each(manifest.select("file", "path"), "file").select("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -162,6 +162,26 @@ def test_archive_has_one_frame_for_each_record(tmp_path):
     assert list(warc.read_archive(io.BytesIO(data), piece=7)) == made
 
 
+def test_every_file_is_read_by_a_task_of_its_own(spark, sf, tmp_path):
+    import public_tokenizers
+
+    from signalmill.llm import token_planes
+
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    manifest = warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet"), f"file://{tmp_path}/warc", partitions=7)
+    assert manifest.count() == 7
+    tasks = warc.read_warc(manifest).select(F.spark_partition_id().alias("task"), "page_id").groupBy("task").count().count()
+    assert tasks == 7
+    ids = token_planes.write_ids(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/ids", partitions=5)
+    assert token_planes.read_ids(ids).select(F.spark_partition_id().alias("task")).distinct().count() == 5
+
+
+def test_small_payloads_are_never_revisits(spark, tmp_path):
+    made = warc.read_warc(warc.write_warc(pages(spark), f"file://{tmp_path}/warc", least_bytes=8)).collect()
+    assert {r.page_id: r.record_type for r in made if r.page_id in (2, 9)} == {2: "response", 9: "response"}
+    assert {r.page_id: r.refers_to for r in made if r.payload_bytes == 11 and r.page_id == 5} == {5: 3}
+
+
 def brute_nearest(rows, k):
     usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float) != 0)]
     size = Counter(len(v) for _, v in usable).most_common(1)[0][0]
