@@ -255,3 +255,30 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, cases.empty(spark), sf).count() == 0
+
+
+def test_op9_compares_vectors_of_each_length(spark):
+    draw = np.random.default_rng(4)
+    made = [(i, [float(x) for x in draw.normal(size=size)]) for i, size in enumerate([6] * 200 + [3] * 120 + [2] * 45)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    want = {}
+    for size in (6, 3, 2):
+        want |= brute_nearest([r for r in made if len(r[1]) == size], 20)
+    monkey = dict(tile_rows=40, tile_queries=3)
+    got = defaultdict(list)
+    for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0, **monkey).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = sum(len({i for _, i in want[q]} & set(got[q])) for q in want)
+    assert got.keys() == want.keys() and hits / sum(map(len, want.values())) >= 0.9
+    vectors = posting_lists.distinct_vectors(df, "vec_id", "embedding", 20)
+    indexes, _ = posting_lists.fit_each(vectors)
+    assert all(len(i.centroids) > 1 for i in indexes.values())  # no length is searched by one list
+    saved = posting_lists.MOST_INDEXES
+    posting_lists.MOST_INDEXES = 1
+    try:  # the other lengths are compared exactly
+        found = defaultdict(list)
+        for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0, **monkey).orderBy("query_id", "rank").collect():
+            found[r.query_id].append(r.vec_id)
+    finally:
+        posting_lists.MOST_INDEXES = saved
+    assert all(found[q] == [i for _, i in want[q]] for q in want if q >= 200)
