@@ -32,6 +32,9 @@ class BoostedTrees:
         size = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.full(size, -1), np.zeros(size), np.zeros(size)
         node = np.zeros(len(gradient), int)
+        width = max(map(len, edges)) + 1
+        offset = np.arange(len(edges)) * width
+        cuttable = np.arange(width) < np.array([len(e) for e in edges])[:, None]
         for k in range(size):
             here = np.flatnonzero(node == k)
             if not len(here):
@@ -40,15 +43,15 @@ class BoostedTrees:
             value[k] = -self.rate * g / (h + self.least)
             if k >= size // 2:
                 continue
-            best = 1e-6
-            for f, e in enumerate(edges):
-                if not len(e):
-                    continue
-                left_g = np.bincount(bins[here, f], gradient[here], len(e) + 1).cumsum()[:-1]
-                left_h = np.bincount(bins[here, f], weight[here], len(e) + 1).cumsum()[:-1]
-                gain = left_g**2 / (left_h + self.least) + (g - left_g) ** 2 / (h - left_h + self.least) - g**2 / (h + self.least)
-                if gain.max() > best:
-                    best, feature[k], cut[k] = gain.max(), f, e[gain.argmax()]
+            # one histogram for all features, a row of equal width for each
+            at = (bins[here] + offset).ravel()
+            left_g = np.bincount(at, np.repeat(gradient[here], len(edges)), offset[-1] + width).reshape(-1, width).cumsum(1)
+            left_h = np.bincount(at, np.repeat(weight[here], len(edges)), offset[-1] + width).reshape(-1, width).cumsum(1)
+            gain = left_g**2 / (left_h + self.least) + (g - left_g) ** 2 / (h - left_h + self.least) - g**2 / (h + self.least)
+            gain[~cuttable] = 0
+            f, c = divmod(int(gain.argmax()), width)
+            if gain[f, c] > 1e-6:
+                feature[k], cut[k] = f, edges[f][c]
             if feature[k] >= 0:
                 right = bins[here, feature[k]] > np.searchsorted(edges[feature[k]], cut[k], "left")
                 node[here] = 2 * k + 1 + right

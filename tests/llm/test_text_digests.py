@@ -130,6 +130,60 @@ def test_long_runs_are_scanned_in_linear_time():
         pii.candidates(text)
 
 
+def test_calibration_binds():
+    model = pii.trained()
+    made = pii.training_spans(1200, seed=99)
+    p = model.probabilities([pii.features(*m[:4]) for m in made], [m[1] for m in made])
+    assert ((p > 0.05) & (p < 0.95)).mean() > 0.2
+    limits = [model.threshold[k] for k in pii.KINDS]
+    assert len(set(limits)) > 2 and sum(0.05 < t < 0.99 for t in limits) >= 3
+    for kind in pii.KINDS:  # some candidates of every kind fall below the threshold, and few of those above are wrong
+        own = [(q, m[4]) for q, m in zip(p, made, strict=True) if m[1] == kind]
+        above = [true for q, true in own if q >= model.threshold[kind]]
+        assert len(above) < len(own) and (not above or sum(above) / len(above) >= 0.85)
+
+
+class _Drawn:
+    """A model whose probabilities depend on the span alone."""
+
+    threshold = dict.fromkeys(pii.KINDS, 0.3)
+
+    @staticmethod
+    def probabilities(rows, kinds):
+        return [round(hash((tuple(r), k)) % 10 / 10, 1) for r, k in zip(rows, kinds, strict=True)]
+
+
+def test_selection_against_brute_force():
+    import random
+
+    draw = random.Random(3)
+    piece = lambda: draw.choice(["4111 1111 1111 1111", "+33 1 23 45 67 89", "555-010-2030", "123-45-6789", "DE12 3456 7890 1234", "378282246310005", "call", "a@b.de", "2024-10-12", "12 34 56"])
+    for _ in range(60):
+        text = draw.choice([" ", "  ", ", "]).join(piece() for _ in range(draw.randint(0, 25)))
+        base = pii.base_spans(text)
+        proposed = pii.candidates(text)
+        scored = list(zip(_Drawn.probabilities([pii.features(text, *c) for c in proposed], [c[0] for c in proposed]), proposed, strict=True))
+        taken, want = [(s, e) for _, s, e in base], []
+        for q, (kind, s, e) in sorted(scored, key=lambda x: (-x[0], x[1][1], -pii.ORDER[x[1][0]], x[1])):
+            if q >= 0.3 and all(e <= a or b <= s for a, b in taken):
+                taken.append((s, e))
+                want.append((kind, s, e, q))
+        assert pii.added_spans(_Drawn, text, base) == want
+
+
+def test_a_long_contact_list_takes_linear_time():
+    import time
+
+    model, took = pii.trained(), []
+    for n in (4000, 16_000):
+        text = " ".join(f"call 555-0{i % 10}{i // 10 % 10}-{i % 9000 + 1000:04d} or a{i}@b.com" for i in range(n))
+        start = time.process_time()
+        found = pii.added_spans(model, text, pii.base_spans(text))
+        took.append(time.process_time() - start)
+        assert len(found) > n / 3
+    assert took[1] < 10 * took[0]
+
+
 def base_secrets(text: str) -> list[tuple]:
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
