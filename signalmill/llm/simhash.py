@@ -1,16 +1,21 @@
 """Operator 6: SimHash near-duplicates by multi-index hashing.
 
-A fingerprint of 64 bits is cut into segments. If two fingerprints differ in at
-most ``radius`` bits, then by the pigeonhole principle they differ in at most
-one bit in one of the first two segments, or not at all in the third. So each
-fingerprint looks up the Hamming ball of radius one around its first two
-segments and its exact third, and every match is verified by the whole distance.
+A fingerprint of 64 bits is cut into segments, each with a small radius, so that
+by the pigeonhole principle two fingerprints within ``RADIUS`` bits differ in one
+segment by its radius at most. Each fingerprint looks up the Hamming ball of that
+radius around its segment in a table of all fingerprints' segments, and every
+match is verified by the whole distance. How many segments there are, how wide
+and with which radii follows from the number of fingerprints (:func:`plan`):
+the more there are, the wider the segments, so that a look-up meets few others.
 
 Only distinct fingerprints are linked: copies meet in a grouped minimum. Buckets
 with more than ``HOT`` fingerprints are dealt out in tiles of bounded size; a
 tile returns a spanning forest of its links, never all pairs. A fingerprint has
 679,120 others within four bits, so no vertex has more links at any size of corpus.
 
+:mod:`signalmill.llm.similar` finds documents of a given similarity in the same
+way, with longer fingerprints.
+
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; rows with a null key take part
 and get the component's smallest key that isn't null; repeated keys give a row
@@ -20,6 +25,9 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,16 +38,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import materialize, spare, table, text_or_empty, tune
-from signalmill.llm.components import connected_components
+from signalmill.llm.components import connected_components, salted_join
 
 SEED = 42
 RADIUS = 4
-#: (lowest bit, bits, radius of the ball looked up) of each segment, for RADIUS.
-SEGMENTS = ((41, 23, 1), (18, 23, 1), (0, 18, 0))
 #: Fingerprints of a bucket beyond which it is dealt out in tiles of this size.
 HOT = 1024
 
 
+def ball(bits: int, radius: int) -> list[int]:
+    """Masks of at most ``radius`` of ``bits`` bits, none first."""
+    return [sum(1 << i for i in flipped) for k in range(radius + 1) for flipped in combinations(range(bits), k)]
+
+
+@lru_cache(maxsize=64)
+def plan(count: int, radius: int = RADIUS, bits: int = 64) -> tuple[tuple[int, int, int], ...]:
+    """(lowest bit, bits, radius) of each segment, for so many fingerprints: of the
+    radii whose sum, each plus one, is ``radius`` + 1, and of the widths, those
+    with the fewest look-ups and matches expected of unlike fingerprints. The last
+    bit of the table's size is rounded up, so that nearly equal tables are alike."""
+    count = 1 << max(0, count - 1).bit_length()
+
+    def cost(width: int, r: int) -> float:
+        return sum(comb(width, k) for k in range(r + 1)) * (1 + count / 2.0**width)
+
+    @lru_cache(maxsize=None)
+    def best(width: int, left: int) -> tuple[float, tuple]:
+        """The cheapest segments of so many bits whose radii, each plus one, sum to ``left``."""
+        whole = (cost(width, left - 1), ((width, left - 1),))
+        found = [whole] if sum(comb(width, k) for k in range(left)) <= 4096 else [(float("inf"), whole[1])]
+        for r in range(min(left - 1, 3)):
+            for own in range(4, width - 3):
+                if sum(comb(own, k) for k in range(r + 1)) <= 4096:
+                    rest = best(width - own, left - r - 1)
+                    found.append((cost(own, r) + rest[0], ((own, r), *rest[1])))
+        return min(found)
+
+    at, out = bits, []
+    for width, r in best(bits, radius + 1)[1]:
+        at -= width
+        out.append((at, width, r))
+    return tuple(out)
+
+
 def fingerprint(text: str, words: int = 4) -> int:
     """Signed 64-bit SimHash of the text's word shingles."""
     found = text.encode().lower().split()  # of bytes: A-Z only, ASCII white space only
@@ -73,44 +114,41 @@ def _distance(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _buckets(nodes: DataFrame, ball: bool) -> DataFrame:
-    """(bucket, flipped, fp): each fingerprint's segments or, with ``ball``,
-    what it looks up. Two segments that differ in one bit meet from the side
-    where that bit is clear."""
-    places = []
-    for k, (low, bits, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
-        masks = [0] + [1 << i for i in range(bits)] * (ball and radius)
-        for mask in masks:
-            there = value.bitwiseOR(F.lit(k << 32).cast("long")).bitwiseXOR(F.lit(mask).cast("long"))
-            place = F.struct(there.alias("bucket"), F.lit(mask != 0).alias("flipped"))
-            places.append(F.when(value.bitwiseAND(F.lit(mask).cast("long")) == 0, place) if mask else place)
-    return nodes.select("fp", F.explode(F.array_compact(F.array(*places))).alias("p")).select("p.bucket", "p.flipped", "fp")
+def _buckets(nodes: DataFrame, segments, ask: bool) -> DataFrame:
+    """(bucket, flipped, fp): each fingerprint's segments or, if it asks, what it
+    looks up."""
+
+    def places(k: int, low: int, bits: int, radius: int):
+        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else F.col("fp")
+        masks = F.array(*[F.lit(m).cast("long") for m in (ball(bits, radius) if ask else [0])])
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("segment"), value.bitwiseXOR(m).alias("value")))
+
+    each = nodes.select("fp", F.explode(F.concat(*[places(k, *of) for k, of in enumerate(segments)])).alias("p"))
+    return each.select(F.struct("p.segment", "p.value").alias("bucket"), "fp")
+
+
+def forest(ids: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``radius`` among fingerprints
+    (n, words of 64 bits): pairs of ids, each a link itself. A vertex is compared
+    with those not yet reached only, so a close group takes one comparison each."""
+    left, edges = np.arange(len(ids)), []
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            near = np.bitwise_count(prints[left] ^ prints[x]).sum(1) <= radius
+            if near.any():
+                hit = left[near]
+                edges += [(int(ids[x]), int(ids[i])) for i in hit]
+                front.extend(hit)
+                left = left[~near]
+    return edges
 
 
 def _forest(shown: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Links of one tile, as a spanning forest: (u, v) with u the first met."""
-    fps = np.unique(np.concatenate([shown.fp.to_numpy(np.int64), asked.asks.to_numpy(np.int64)]))
-    rows = np.unique(shown.fp.to_numpy(np.int64)).view(np.uint64)
-    cols = np.unique(asked.asks.to_numpy(np.int64)).view(np.uint64)
-    near = np.bitwise_count(rows[:, None] ^ cols[None, :]) <= RADIUS
-    at_row, at_col = np.searchsorted(fps, rows.view(np.int64)), np.searchsorted(fps, cols.view(np.int64))
-    left, edges = np.ones(len(rows), bool), []
-    for start in range(len(rows)):
-        if not left[start]:
-            continue
-        members, front = [], np.array([start])
-        left[start] = False
-        reached = np.zeros(len(cols), bool)
-        while len(front):
-            members.append(at_row[front])
-            fresh = near[front].any(0) & ~reached
-            reached |= fresh
-            front = np.flatnonzero(near[:, fresh].any(1) & left)
-            left[front] = False
-        found = np.unique(np.concatenate([*members, at_col[reached]]))
-        edges += [(fps[found[0]], fps[i]) for i in found[1:]]
-    return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
+    """Links of one tile, as a spanning forest."""
+    fps = np.unique(np.concatenate([shown.fp.to_numpy(np.int64), asked.asks.to_numpy(np.int64)])) if len(shown) and len(asked) else np.zeros(0, np.int64)
+    return pd.DataFrame(forest(fps, fps.view(np.uint64)[:, None], RADIUS), columns=["u", "v"], dtype=np.int64)
 
 
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
@@ -120,11 +158,12 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     Ordinary buckets are joined and each match is verified; hot ones go through
     tiles, so no task holds more than ``hot`` fingerprints of either side.
     """
-    shown, asked = _buckets(nodes, False).drop("flipped"), _buckets(nodes, True)
+    segments = plan(nodes.count())
+    shown, asked = _buckets(nodes, segments, False), _buckets(nodes, segments, True)
     full = materialize(shown.groupBy("bucket").count().where(F.col("count") > hot))
     some = not full.isEmpty()
     kept = shown.join(full, "bucket", "left_anti") if some else shown
-    met = kept.alias("s").join(asked.alias("a"), "bucket").where((_distance(F.col("s.fp"), F.col("a.fp")) <= RADIUS) & (F.col("a.flipped") | (F.col("a.fp") < F.col("s.fp"))))
+    met = kept.alias("s").join(asked.alias("a"), "bucket").where((_distance(F.col("s.fp"), F.col("a.fp")) <= RADIUS) & (F.col("a.fp") < F.col("s.fp")))
     found = met.select(F.col("a.fp").alias("u"), F.col("s.fp").alias("v"))
     if not some:
         return found
@@ -146,20 +185,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text_column: str = "text
     joined = connected_components(links(nodes.select("fp"), hot)).withColumnRenamed("node", "fp")
     joined = materialize(joined)
     groups = joined.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = joined.join(groups, "root").select("fp", "component")
+    of_fp = salted_join(joined, groups, "root").select("fp", "component")
     labels = nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return rows.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text_column: str = "text", words: int = 4, hot: int = HOT) -> DataFrame:
-    """The rows, with their own columns, of the smallest key of each component.
+    """The rows, with their own columns, of the smallest key of each component of
+    fingerprints (see :func:`least_of_each`)."""
+    return least_of_each(df, near_duplicates(df, key, text_column, words, hot), key, text_column)
+
+
+def least_of_each(df: DataFrame, found: DataFrame, key: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with their own columns, whose key is that of their component;
+    ``found`` has (key, component).
 
     Rows that share a key stand or fall together, but of those with equal text
     one stays. Texts are shuffled once, by their key.
     """
     named, copy = spare(df, "_named"), spare(df, "_copy")
     name = F.coalesce(F.col(key).cast("long").cast("string"), F.lit("none"))
-    found = near_duplicates(df, key, text_column, words, hot)
     stay = found.where(F.col(key).eqNullSafe(F.col("component"))).select(name.alias(named)).distinct()
     # The join and the window share their partitioning by name.
     rows = df.withColumn(named, name).join(stay, named, "left_semi")

@@ -37,7 +37,7 @@ from signalmill.llm.common import materialize, new_folder, one_task_each, open_s
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 #: Bytes of text of a file.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 END_ID = 0
 
 

@@ -40,7 +40,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A dictionary is built from at most so many records and bytes of an archive.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 20, 16 << 10
 #: Bytes of html of an archive.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
