@@ -1,8 +1,8 @@
 """From raw documents to encoded training text, in five stages.
 
 Each stage takes what the one before kept, as Parquet, and its decisions take
-effect: documents without a known language go, of near-duplicates the one with
-the smallest id stays, live credentials are replaced in the text, sources are
+effect: documents without a known language go, of near-duplicates (five-word
+shingles, similarity 0.8 or more) the one with the smallest id stays, live credentials are replaced in the text, sources are
 mixed to their target weights (whole documents, repeated by epoch), and what is
 left is encoded and decoded. All stages but the last return the columns of
 ``documents``; the last gives the digests of :func:`signalmill.llm.bpe.round_trip`.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import bpe, langid, mixing, secrets, simhash
+from signalmill.llm import bpe, langid, mixing, secrets, similar
 from signalmill.llm.common import new_folder, table, tune
 
 #: SQL can't express the network, the fingerprints' links or the merges; the
@@ -33,9 +33,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates."""
+    """Keeps the document of smallest id of each group whose five-word shingles
+    are similar to 0.8 or more, by SimHash and multi-index hashing."""
     tune(spark)
-    return simhash.without_near_duplicates(docs)
+    return similar.without_similar(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
