@@ -5,9 +5,9 @@ lower-cased texts) that they have in common. It is estimated from fingerprints
 of ``BITS`` bits: of two texts of similarity s about ``BITS`` * arccos(2s / (1 + s)) / pi
 bits differ. Links are the pairs whose whole distance is within that number and
 a margin of 1.65 standard deviations, so that 95 of 100 pairs at the very
-boundary are found and nearly all beyond it. With 320 bits the estimate has that
-margin on the other side too: half of the pairs at 0.73, a quarter at 0.68 and
-hardly any below 0.6 are linked as well.
+boundary are found and nearly all beyond it. With 384 bits the estimate has that
+margin on the other side too: half of the pairs at 0.74, a fifth at 0.68 and hardly
+any below 0.6 are linked as well.
 
 Fingerprints are cut into segments. The bits of a segment that differ between
 similar texts are mostly those that were hardly decided, so of each segment only
@@ -18,7 +18,9 @@ uncertain from the number of texts, so that ``RECALL`` of the pairs at the bound
 meet in some segment while unlike texts hardly meet at any size of corpus.
 
 Equal texts (of equal words) are one vertex. A bucket of many texts returns a
-spanning forest of verified links, computed in blocks of bounded size.
+spanning forest of verified links, computed in blocks of bounded size. As texts of
+a large group meet in many buckets, each text's largest bucket is linked first;
+the other buckets then return only links between what that left apart.
 
 Defined results: a null text counts as empty; texts without words are equal;
 texts shorter than a shingle are one shingle; rows with a null key take part and
@@ -42,7 +44,7 @@ from signalmill.llm.common import materialize, text_or_empty
 from signalmill.llm.components import connected_components, salted_join
 from signalmill.llm.simhash import SEED, forest, least_of_each
 
-WORDS, SIMILARITY, BITS, RECALL = 5, 0.8, 320, 0.97
+WORDS, SIMILARITY, BITS, RECALL = 5, 0.8, 384, 0.95
 #: Texts of a bucket up to which pairs are joined, and texts of a block beyond.
 FEW, BLOCK = 4, 65_536
 
@@ -68,7 +70,7 @@ def plan(count: int, similarity: float = SIMILARITY, bits: int = BITS, recall: f
     other = alike * one + np.sqrt(1 - alike**2) * draw.normal(size=one.shape)
     flipped = (one > 0) != (other > 0)
     best = None
-    for width in range(8, 49, 2):
+    for width in range(8, 49):
         ranks = [np.abs(x[:, :width]).argsort(1).argsort(1) for x in (one, other)]
         nearest = np.minimum(*ranks)
         # the uncertain bits needed until all flips of the segment are among them
@@ -81,7 +83,7 @@ def plan(count: int, similarity: float = SIMILARITY, bits: int = BITS, recall: f
             if segments * width > bits:
                 continue
             chance = 2.0 ** (2 * uncertain - width)  # that two unlike texts meet in a segment
-            cost = segments * (2**uncertain + 4 * count * chance)
+            cost = segments * (2**uncertain + count * chance)
             best = min(best or (cost, width, uncertain, segments), (cost, width, uncertain, segments))
     return best[1:]
 
@@ -158,16 +160,34 @@ def bucket_rows(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return nodes.select("node", "fp", "weak").mapInArrow(of_batch, "bucket long, node long")
 
 
+def between(edges: list[tuple[int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
+    """The links that join vertices of different labels, one for each join."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for u, v in edges:
+        a, b = find(label[u]), find(label[v])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append((u, v))
+    return kept
+
+
 def _forests(radius: int):
-    """Links of sorted (bucket, tile, node, fp) rows, group by group."""
+    """Links of sorted (bucket, tile, node, fp, label) rows, group by group."""
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # pieces of the group at hand
         last, seen = None, {}
 
         def close() -> list[tuple[int, int]]:
-            ids, prints = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            if len(ids) < 2:
+            ids, prints, labels = (np.concatenate([h[k] for h in held]) for k in range(3))
+            if len(ids) < 2 or labels.min() == labels.max():
                 return []
             name = xxhash.xxh3_128_digest(ids.tobytes())
             if name in seen:  # the same texts met in another bucket
@@ -175,13 +195,13 @@ def _forests(radius: int):
             if len(seen) > 100_000:
                 seen.clear()
             seen[name] = True
-            return forest(ids, prints, radius)
+            return between(forest(ids, prints, radius), dict(zip(ids.tolist(), labels.tolist(), strict=True)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             group = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            ids, prints = batch.column(2).to_numpy(), _prints(batch.column(3))
+            ids, prints, labels = batch.column(2).to_numpy(), _prints(batch.column(3)), batch.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1), len(ids)]
             edges: list[tuple[int, int]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -190,7 +210,7 @@ def _forests(radius: int):
                     edges += close()
                     held = []
                 last = this
-                held.append((ids[a:b], prints[a:b]))
+                held.append((ids[a:b], prints[a:b], labels[a:b]))
             yield _edges(edges)
         if held:
             yield _edges(close())
@@ -220,13 +240,26 @@ def links(nodes: DataFrame, shape: tuple[int, int, int], radius: int, few: int =
     both = pairs.join(prints.toDF("u", "fu"), "u").join(prints.toDF("v", "fv"), "v")
     apart = sum((F.bit_count(_word("fu", k).bitwiseXOR(_word("fv", k))) for k in range(1, BITS // 64)), F.bit_count(_word("fu", 0).bitwiseXOR(_word("fv", 0))))
     found = both.where(apart <= radius).select("u", "v")
-    large = met.where(F.col("n") > few).join(prints, "node")
+    large = materialize(met.where(F.col("n") > few))
+    if large.isEmpty():
+        return found
+    largest = large.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("m")).select("m.bucket", "node", "m.n")
+    first = materialize(_linked(largest.withColumn("label", F.col("node")), prints, radius, block))
+    labels = connected_components(first).withColumnRenamed("root", "_root")
+    labelled = materialize(large.join(labels, "node", "left").withColumn("label", F.coalesce("_root", "node")).drop("_root"))
+    apart_ = labelled.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
+    rest = _linked(labelled.join(apart_, "bucket", "left_semi"), prints, radius, block)
+    return found.unionByName(first).unionByName(rest).distinct()
+
+
+def _linked(rows: DataFrame, prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """(u, v) links between labels of (bucket, node, n, label) rows, in each bucket."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o) * blocks + F.greatest(own, o))
-    tiled = large.select("bucket", F.explode(F.array_distinct(tiles)).alias("tile"), "node", "fp")
+    tiled = rows.join(prints, "node").select("bucket", F.explode(F.array_distinct(tiles)).alias("tile"), "node", "fp", "label")
     grouped = tiled.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "node")
-    return found.unionByName(grouped.mapInArrow(_forests(radius), "u long, v long")).distinct()
+    return grouped.mapInArrow(_forests(radius), "u long, v long")
 
 
 def _word(column: str, k: int):
