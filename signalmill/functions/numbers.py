@@ -55,3 +55,17 @@ def freshness(at: Column, as_of: datetime | Column, half_life_days: float = 120.
     now = F.lit(as_of) if isinstance(as_of, datetime) else as_of
     seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
     return F.greatest(F.lit(floor), F.pow(F.lit(0.5), F.greatest(F.lit(0.0), seconds / 1e6) / 86400.0 / half_life_days))
+
+
+# Units of durations, in seconds.
+UNITS = {1: ("s", "sec", "second", "seconds"), 60: ("min", "m", "minute", "minutes"), 3600: ("h", "hr", "hour", "hours"), 86400: ("d", "day", "days"), 604800: ("w", "week", "weeks")}
+
+
+def duration(said: Column) -> Column:
+    """``1h 30min`` in seconds; null for an empty, unending or unknown one."""
+    pattern = r"(\d+(?:\.\d+)?)\s*([a-zA-Z]+)"
+    seconds = F.create_map(*[F.lit(x) for n, names in UNITS.items() for name in names for x in (name, float(n))])
+    values = F.transform(F.regexp_extract_all(said, F.lit(pattern), F.lit(1)), lambda v: v.cast("double"))
+    units = F.transform(F.regexp_extract_all(said, F.lit(pattern), F.lit(2)), lambda u: F.try_element_at(seconds, F.lower(u)))
+    total = F.aggregate(F.zip_with(values, units, lambda v, u: v * u), F.lit(0.0), lambda a, x: a + x)
+    return F.when((F.trim(said) != "infinity") & (F.size(values) > 0), total)

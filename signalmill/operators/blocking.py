@@ -15,6 +15,7 @@ from signalmill.functions.text import first_word, words
 from signalmill.operators.relational import top
 
 LIMIT, FRAGMENT, FREQUENT = 2000, 6, 5000
+NO_LIMIT = (1 << 31) - 1
 #: Rows of either side of a tile of pairs.
 TILE = 128
 
@@ -27,12 +28,12 @@ def prefixes_of_words(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return each.join(wanted.select("prefix").distinct(), "prefix")
 
 
-def by_prefix(names: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
+def by_prefix(names: DataFrame, queries: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     """(query_id, id, name, rank): names that start with the query's first word,
-    in the order of name and id, up to ``limit``."""
+    in the order of name and id, up to ``limit``; all without one."""
     asked = queries.where("name <> ''").select("query_id", first_word(F.col("name")).alias("prefix"))
     spread = names.where("name <> ''").withColumn("first", first_word(F.col("name"))).join(prefixes_of_words(names.where("name <> ''"), asked), "first")
-    listed = top(spread.select("prefix", "id", "name"), ["prefix"], [F.col("name"), F.col("id")], limit)
+    listed = top(spread.select("prefix", "id", "name"), ["prefix"], [F.col("name"), F.col("id")], limit or NO_LIMIT)
     return asked.join(listed, "prefix").select("query_id", "id", "name", "rank")
 
 
@@ -58,7 +59,7 @@ def all_by_prefix(names: DataFrame, queries: DataFrame) -> DataFrame:
     return in_tiles(asked, spread.select("prefix", "id"), "prefix", "query_id", "id").select("query_id", "id")
 
 
-def by_fragment(names: DataFrame, queries: DataFrame, limit: int = LIMIT, length: int = FRAGMENT) -> DataFrame:
+def by_fragment(names: DataFrame, queries: DataFrame, limit: int | None = LIMIT, length: int = FRAGMENT) -> DataFrame:
     """The same for names that hold the query's first ``length`` characters
     anywhere: names meet fragments by their n-grams, an equi-join."""
     asked = queries.where("name <> ''").select("query_id", F.substring("name", 1, length).alias("fragment"))
@@ -66,7 +67,7 @@ def by_fragment(names: DataFrame, queries: DataFrame, limit: int = LIMIT, length
     lengths = sorted(r[0] for r in asked.select(F.length("fragment")).distinct().collect())  # `length` values at most
     grams = F.array_distinct(F.concat(*[gram(n) for n in lengths])) if lengths else F.array().cast("array<string>")
     each = names.where("name <> ''").select("id", "name", F.explode(grams).alias("fragment")).join(asked.select("fragment").distinct(), "fragment")
-    listed = top(each, ["fragment"], [F.col("name"), F.col("id")], limit)
+    listed = top(each, ["fragment"], [F.col("name"), F.col("id")], limit or NO_LIMIT)
     return asked.join(listed, "fragment").select("query_id", "id", "name", "rank")
 
 

@@ -47,6 +47,41 @@ def overridden(values: DataFrame, defaults: dict[str, float], plan: str = "plan"
     return values.withColumns({k: F.coalesce(F.when(own, F.col(k)), F.lit(v)) for k, v in defaults.items()})
 
 
+def active_channels(channels: DataFrame) -> DataFrame:
+    """Channels in use by their priority; of equal ones by their id."""
+    return channels.where("active").orderBy("priority", "channel")
+
+
+def client_categories(companies: DataFrame, synonyms: DataFrame, k: int = 3) -> DataFrame:
+    """(company_id, category, hits, rank): categories of client by the sector's
+    label, for companies that have one."""
+    named = companies.where("sector is not null").select(F.col("company_id").alias("text_id"), F.col("sector").alias("text"))
+    return suggestions(named, synonyms, k).withColumnRenamed("text_id", "company_id")
+
+
+def new_synonyms(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Synonyms (category, synonym) that the category lacks in any case; per cent
+    signs and underscores stand for themselves, and of equal ones the first in
+    order stays."""
+    key = lambda: F.lower(F.trim("synonym"))
+    missing = fresh.withColumn("_key", key()).join(known.select("category", key().alias("_key")).distinct(), ["category", "_key"], "left_anti")
+    return top(missing, ["category", "_key"], [F.col("synonym")], 1, "_rank").select("category", "synonym")
+
+
+def dashboard(notes: DataFrame, usage: str | None = None, territory: str | None = None, scope: str | None = None) -> DataFrame:
+    """Notifications (created_at, usage, city, region, off_profile) as a user sees
+    them: by a part of the usage, a territory that is the city or region, and the
+    user's own scope; on profile first, then the newest."""
+    same = lambda c, v: F.coalesce(F.lower(F.trim(c)) == v.strip().lower(), F.lit(False))
+    kept = notes
+    if usage:
+        kept = kept.where(F.contains(F.lower("usage"), F.lit(usage.lower())))
+    for place in (territory, scope):
+        if place:
+            kept = kept.where(same("city", place) | same("region", place))
+    return kept.orderBy("off_profile", F.desc("created_at"))
+
+
 def stale(enriched_at: Column, as_of: datetime, days: int = STALE_DAYS) -> Column:
     """Whether an enrichment is missing or too old."""
     return enriched_at.isNull() | (enriched_at < F.lit(as_of) - F.make_dt_interval(F.lit(days)))

@@ -30,6 +30,13 @@ class Weighting:
     grade_aa: float = 50.0
 
 
+#: Weightings ready for three uses.
+PRESETS = {
+    "surety": Weighting(most_velocity=40.0, per_signal=15.0),
+    "early_financing": Weighting(absence=30.0),
+    "acquisition": Weighting(secondary=40.0, main=70.0, keyword=100.0, absence=5.0, most_velocity=35.0, per_signal=12.0),
+}
+
 GRADES = {"A": 0, "AA": 1, "AAA": 2}
 LEAST_GRADE = {"low": "AAA", "medium": "AA", "high": "A"}  # by sensitivity
 
@@ -47,16 +54,16 @@ def in_territory(city: Column, region: Column, territory: Column) -> Column:
 
 
 def in_territories(place: Column, allowed: list[str]) -> Column:
-    """Membership of a source's territories: no list or no place passes."""
+    """Membership of a source's territories: no list or no place passes. Places are
+    compared by their letters and digits alone, in normal form; a territory is
+    also known by what is left of it without its letters beyond ASCII."""
     if not allowed:
         return F.lit(True)
-    from signalmill.functions.text import ACCENTED, PLAIN
+    from signalmill.functions.text import normalise, normalised
 
-    folded = F.lower(F.trim(place))
-    keys = {a.strip().lower() for a in allowed}
-    plain = {k.translate(str.maketrans(ACCENTED, PLAIN)) for k in keys}
-    spaced = {"".join(" " if c in ACCENTED else c for c in k) for k in keys}
-    return place.isNull() | (F.trim(place) == "") | folded.isin(*sorted(keys | plain | spaced))
+    key = lambda name: normalised(name).replace(" ", "")
+    keys = {key(a) for a in allowed} | {key("".join(c for c in a if c.isascii())) for a in allowed}
+    return place.isNull() | (F.trim(place) == "") | F.replace(normalise(place), F.lit(" "), F.lit("")).isin(*sorted(keys))
 
 
 def match_needs(signals: DataFrame, types: DataFrame, needs: DataFrame) -> DataFrame:

@@ -94,6 +94,31 @@ def compare_populations(rows: DataFrame, bucket: str, member: Column) -> DataFra
     return told.withColumn("difference", F.round(F.col("inside_share") - F.col("outside_share"), 4)).withColumn("times", F.round(F.col("inside_share") / F.nullif(F.col("outside_share"), F.lit(0.0)), 4))
 
 
+def absent_profile(rows: DataFrame, bucket: str, absent: Column) -> DataFrame:
+    """(bucket, absent_share, present_share, difference): each value's share among
+    absent and present rows in per cent, the greatest difference first, ties by
+    the value."""
+    counts = rows.groupBy(F.coalesce(F.col(bucket).cast("string"), F.lit("(none)")).alias("bucket")).agg(F.count_if(absent).alias("_a"), F.count_if(~absent).alias("_p"))
+    whole = counts.agg(F.sum("_a").alias("_wa"), F.sum("_p").alias("_wp"))  # one row
+    share = lambda n, w: F.coalesce(100.0 * F.col(n) / F.nullif(F.col(w), F.lit(0)), F.lit(0.0))
+    told = counts.join(F.broadcast(whole), F.lit(True)).select("bucket", share("_a", "_wa").alias("absent_share"), share("_p", "_wp").alias("present_share"))
+    return told.withColumn("difference", F.col("absent_share") - F.col("present_share")).orderBy(F.desc(F.abs("difference")), "bucket")
+
+
+def most_common(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(value, n): the ``k`` most frequent values; of equally frequent ones the
+    first in order."""
+    return rows.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
+
+
+def calibration_alarm(rows: DataFrame, kept: Column) -> DataFrame:
+    """(source, kept, dropped, alarm): an alarm for sources of which a territory's
+    filter kept nothing while it dropped rows, so it likely speaks another
+    language than the data."""
+    told = rows.groupBy("source").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"))
+    return told.withColumn("alarm", (F.col("kept") == 0) & (F.col("dropped") > 0))
+
+
 def crosstab(rows: DataFrame, line: str, column: str, values: list[str]) -> DataFrame:
     """Shares (hundredths) of each column value within a line."""
     counts = rows.groupBy(line).pivot(column, values).count()

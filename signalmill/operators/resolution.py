@@ -32,7 +32,7 @@ class Rule:
     city_bonus: float = 5.0
 
 
-def best_names(queries: DataFrame, candidates: DataFrame, score: Column | None = None) -> DataFrame:
+def best_names(queries: DataFrame, candidates: DataFrame, score=None) -> DataFrame:
     """(query_id, id, name, score): of an id's names the most similar one; equally
     similar ones by name. ``candidates`` has (query_id, id, name)."""
     pairs = candidates.distinct().join(queries.select("query_id", F.col("name").alias("asked")), "query_id")
@@ -64,7 +64,7 @@ def decide(queries: DataFrame, candidates: DataFrame, rule: Rule = Rule()) -> Da
     return told.select("query_id", F.when(F.col("family") == RETAINED, F.col("top_id")).alias("id"), "best", "second", "gap", "family")
 
 
-def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = None, rule: Rule = Rule(), limit: int = blocking.LIMIT, frequent: int = blocking.FREQUENT) -> DataFrame:
+def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = None, rule: Rule = Rule(), limit: int | None = blocking.LIMIT, frequent: int = blocking.FREQUENT) -> DataFrame:
     """Decisions of three passes, with ``pass``: names in force that share the
     first word (or, if there are none, a fragment); those that hold the rarest
     word too; and all of that over retired names as well. ``names`` has (id,

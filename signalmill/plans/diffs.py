@@ -45,11 +45,11 @@ def one_per_key(spark, sf_dir):
     return kept.groupBy("l_linenumber").agg(F.count("*").alias("keys"))
 
 
-_JOURNAL = "journal AS (SELECT concat('s', o_custkey % 20) AS source, CASE WHEN o_orderstatus = 'F' THEN 'quarantined' ELSE 'accepted' END AS status, CAST(month(o_orderdate) AS VARCHAR) AS cycle, o_totalprice / 10000 AS appeared_percent, o_totalprice / 20000 AS disappeared_percent, o_totalprice / 40000 AS modified_percent FROM orders WHERE o_orderkey % 9 = 0)"
+_JOURNAL = "journal AS (SELECT concat('s', o_custkey % 20) AS source, CASE WHEN o_orderstatus = 'F' THEN 'quarantined' ELSE 'accepted' END AS status, CAST(month(o_orderdate) AS VARCHAR) AS cycle, o_totalprice / 10000 AS appeared_percent, o_totalprice / 20000 AS disappeared_percent, o_totalprice / 40000 AS modified_percent FROM orders)"
 
 
 def _journal(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 20).cast("string")).alias("source"), F.when(F.col("o_orderstatus") == "F", "quarantined").otherwise("accepted").alias("status"), F.month("o_orderdate").cast("string").alias("cycle"), (F.col("o_totalprice") / 10000).alias("appeared_percent"), (F.col("o_totalprice") / 20000).alias("disappeared_percent"), (F.col("o_totalprice") / 40000).alias("modified_percent"))
 
 

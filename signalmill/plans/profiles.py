@@ -50,7 +50,7 @@ def overridden_weights(spark, sf_dir):
 
 def stale_customers(spark, sf_dir):
     """Customers whose last order is missing or older than 400 days."""
-    last = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(last, "c_custkey", "left")
     return c.groupBy("c_mktsegment").agg(F.count_if(profiles.stale(F.col("last"), datetime(2001, 8, 1), 400)).alias("stale"), F.count("*").alias("n"))
 
@@ -92,7 +92,8 @@ def company_cities(spark, sf_dir):
 def directory_overlap(spark, sf_dir):
     """Part names found in a directory whose cells hold two."""
     p = table(spark, sf_dir, "part")
-    directory = p.where("p_partkey % 37 = 0").select(F.col("p_partkey").alias("entry"), F.concat(F.upper("p_name"), F.lit(" // "), "p_brand").alias("names"))
+    listed = p.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey")), "p_partkey", "left_semi")
+    directory = listed.select(F.col("p_partkey").alias("entry"), F.concat(F.upper("p_name"), F.lit(" // "), "p_brand").alias("names"))
     return profiles.overlapping_directories(directory, p.select(F.col("p_partkey").alias("id"), text.normalise(F.col("p_name")).alias("name")))
 
 
@@ -112,10 +113,10 @@ SQL = {
     "verified_orders": "SELECT CASE WHEN o_custkey % 10 = 0 THEN 'no identity' WHEN o_orderstatus = 'F' THEN 'struck off' WHEN NOT o_totalprice > 50000 THEN 'inactive' ELSE 'passes' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "scoped_customers": "WITH a(account) AS (VALUES ('asia'), (' nation_3'), ('admin')) SELECT account, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN a ON account = 'admin' OR lower(n_name) = trim(account) OR lower(r_name) = trim(account) GROUP BY account",
     "overridden_weights": "SELECT plan, CASE WHEN plan = 'full' AND c_custkey % 2 = 0 THEN 45.0 ELSE 60.0 END AS main, CASE WHEN plan = 'full' THEN 10.0 ELSE 15.0 END AS absence, count(*) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'full' ELSE 'plus' END AS plan FROM customer) GROUP BY 1, 2, 3",
-    "stale_customers": "SELECT c_mktsegment, count(CASE WHEN last IS NULL OR last < TIMESTAMP '2001-08-01' - INTERVAL 400 DAYS THEN 1 END) AS stale, count(*) AS n FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey) ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    "stale_customers": "SELECT c_mktsegment, count(CASE WHEN last IS NULL OR last < TIMESTAMP '2001-08-01' - INTERVAL 400 DAYS THEN 1 END) AS stale, count(*) AS n FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "run_outcomes": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderkey % 11 = 0 THEN 'undecided' WHEN o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAYS THEN 'interrupted' ELSE 'running' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "dominant_signals": f"WITH {SIGNALS},{_SCORED} SELECT company_id, signal_id, base, concat('Company ', company_id, ' ', CASE signal_type {_SAYS} END, '.') AS opening FROM (SELECT s.company_id, s.signal_id, s.base, s.signal_type, row_number() OVER (PARTITION BY s.company_id ORDER BY s.base DESC, s.signal_id) AS r FROM scored s) WHERE r = 1",
     "suggested_categories": "WITH known(category, synonym) AS (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in _SYNONYMS) + "), plain AS (SELECT doc_id, concat(' ', trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ') AS t FROM documents), hits AS (SELECT doc_id AS text_id, category, count(*) AS hits FROM plain JOIN known ON contains(t, concat(' ', synonym, ' ')) GROUP BY doc_id, category) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY hits DESC, category) AS rank FROM hits) WHERE rank <= 3",
     "company_cities": "WITH m AS (SELECT o_custkey AS company_id, l_suppkey % 4 AS source_rank, concat('City', l_suppkey % 7) AS city FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1), f AS (SELECT company_id, city, concat('s', source_rank) AS source, row_number() OVER (PARTITION BY company_id ORDER BY source_rank, city) AS r FROM m), v AS (SELECT company_id, string_agg(city, ',' ORDER BY city) AS variants FROM (SELECT DISTINCT company_id, city FROM m) GROUP BY company_id) SELECT f.company_id, city, source, variants FROM f JOIN v ON f.company_id = v.company_id WHERE r = 1",
-    "directory_overlap": "WITH d AS (SELECT p_partkey AS entry, p_name AS name FROM part WHERE p_partkey % 37 = 0) SELECT DISTINCT p_partkey AS id, entry FROM part JOIN d ON p_name = name",
+    "directory_overlap": "WITH d AS (SELECT p_partkey AS entry, p_name AS name FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)) SELECT DISTINCT p_partkey AS id, entry FROM part JOIN d ON p_name = name",
 }

@@ -17,12 +17,12 @@ def exact_names(spark, sf_dir):
 
 def prefix_lookup(spark, sf_dir):
     """The first 50 registry names from each detected name's first word on."""
-    return blocking.by_prefix(registry_names(spark, sf_dir).select("id", "name"), dirty_names(spark, sf_dir).where("query_id % 200 = 7"), 50)
+    return blocking.by_prefix(registry_names(spark, sf_dir).select("id", "name"), dirty_names(spark, sf_dir), 50)
 
 
 def fragment_lookup(spark, sf_dir):
     """The same by the first six characters anywhere in the name."""
-    return blocking.by_fragment(registry_names(spark, sf_dir).select("id", "name"), dirty_names(spark, sf_dir).where("query_id % 400 = 7"), 50)
+    return blocking.by_fragment(registry_names(spark, sf_dir).select("id", "name"), dirty_names(spark, sf_dir), 50)
 
 
 def big_orders_of_known(spark, sf_dir):
@@ -174,12 +174,11 @@ def first_terminal(spark, sf_dir):
 
 
 def claims(spark, sf_dir):
-    """Who keeps an id: claims of customers on nations' suppliers by date, three
-    and more cancel each other."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
-    asked = o.select((F.col("o_custkey") * 31 + F.col("o_orderkey") * 17).alias("mixed"), F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("since"))
-    n = 1200
-    return resolution.collisions(asked.select((F.col("mixed") % n).alias("id"), "query_id", "since")).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("query_id").alias("queries"))
+    """Who keeps an id: claims of orders on their customer's place of a month, by
+    date; three and more cancel each other."""
+    o = table(spark, sf_dir, "orders")
+    asked = o.select((F.col("o_custkey") * 12 + F.month("o_orderdate")).alias("id"), F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("since"))
+    return resolution.collisions(asked).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("query_id").alias("queries"))
 
 
 def repeated_text_sources(spark, sf_dir):
@@ -194,8 +193,8 @@ _WORDS = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word
 
 SQL = {
     "exact_names": f"WITH {NAMES} SELECT a.query_id, n.id, n.name FROM asked a JOIN names n ON regexp_replace(a.name, ' inc$', '') = n.name WHERE NOT n.retired",
-    "prefix_lookup": f"WITH {NAMES}, met AS (SELECT a.query_id, n.id, n.name, row_number() OVER (PARTITION BY a.query_id ORDER BY n.name, n.id) AS rank FROM asked a JOIN names n ON starts_with(n.name, split_part(a.name, ' ', 1)) WHERE a.query_id % 200 = 7) SELECT * FROM met WHERE rank <= 50",
-    "fragment_lookup": f"WITH {NAMES}, met AS (SELECT a.query_id, n.id, n.name, row_number() OVER (PARTITION BY a.query_id ORDER BY n.name, n.id) AS rank FROM asked a JOIN names n ON contains(n.name, substr(a.name, 1, 6)) WHERE a.query_id % 400 = 7) SELECT * FROM met WHERE rank <= 50",
+    "prefix_lookup": f"WITH {NAMES}, met AS (SELECT a.query_id, n.id, n.name, row_number() OVER (PARTITION BY a.query_id ORDER BY n.name, n.id) AS rank FROM asked a JOIN names n ON starts_with(n.name, split_part(a.name, ' ', 1))) SELECT * FROM met WHERE rank <= 50",
+    "fragment_lookup": f"WITH {NAMES}, met AS (SELECT a.query_id, n.id, n.name, row_number() OVER (PARTITION BY a.query_id ORDER BY n.name, n.id) AS rank FROM asked a JOIN names n ON contains(n.name, substr(a.name, 1, 6))) SELECT * FROM met WHERE rank <= 50",
     "big_orders_of_known": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)",
     "without_orders": "SELECT c_custkey, c_acctbal FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01')",
     "both_words": f"WITH {NAMES}, {_WORDS} SELECT id FROM index_ WHERE word = 'red' INTERSECT SELECT id FROM index_ WHERE word = 'economy'",
@@ -221,6 +220,6 @@ SQL = {
     "until_known": f"WITH {SIGNALS}, a AS (SELECT company_id, signal_id, CASE WHEN signal_id % 3 <> 0 THEN 1 ELSE 0 END AS known FROM signals), b AS (SELECT *, sum(1 - known) OVER (PARTITION BY company_id ORDER BY signal_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM a), c AS (SELECT *, sum(known) OVER (PARTITION BY company_id, island ORDER BY signal_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS length FROM b), d AS (SELECT company_id, max(CASE WHEN length = 5 THEN signal_id END) AS stop FROM c GROUP BY company_id) SELECT c.company_id, c.signal_id FROM c JOIN d ON c.company_id = d.company_id WHERE d.stop IS NULL OR c.signal_id >= d.stop",
     "longest_streaks": f"WITH {SIGNALS}, a AS (SELECT company_id, signal_id, signal_type, sum(CASE WHEN signal_type = 'tender' THEN 1 ELSE 0 END) OVER (PARTITION BY company_id ORDER BY signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS era FROM signals), b AS (SELECT company_id, era, count(CASE WHEN signal_type <> 'tender' THEN 1 END) AS n FROM a GROUP BY company_id, era) SELECT company_id, max(n) AS streak FROM b GROUP BY company_id",
     "first_terminal": f"WITH {SIGNALS}, a AS (SELECT company_id, CAST(detected_at AS DATE) AS day, min(CASE WHEN signal_type IN ('tender', 'ranking') THEN signal_id END) AS first FROM signals GROUP BY 1, 2) SELECT a.company_id, a.day, s.signal_type AS outcome FROM a LEFT JOIN signals s ON a.first = s.signal_id",
-    "claims": "WITH a AS (SELECT (o_custkey * 31 + o_orderkey * 17) % 1200 AS id, o_orderkey AS query_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS since FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY since ASC NULLS LAST, query_id) AS r FROM a), c AS (SELECT query_id, CASE WHEN n > 2 THEN 'nobody' WHEN r = 1 THEN 'kept' ELSE 'refused' END AS outcome FROM b) SELECT outcome, count(*) AS n, CAST(sum(query_id) AS BIGINT) AS queries FROM c GROUP BY outcome",
+    "claims": "WITH a AS (SELECT o_custkey * 12 + month(o_orderdate) AS id, o_orderkey AS query_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS since FROM orders), b AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY since ASC NULLS LAST, query_id) AS r FROM a), c AS (SELECT query_id, CASE WHEN n > 2 THEN 'nobody' WHEN r = 1 THEN 'kept' ELSE 'refused' END AS outcome FROM b) SELECT outcome, count(*) AS n, CAST(sum(query_id) AS BIGINT) AS queries FROM c GROUP BY outcome",
     "repeated_text_sources": "SELECT length(text) AS length, count(*) AS n, count(DISTINCT conv_id) AS conversations, min(turn) AS first FROM conversations GROUP BY length(text) HAVING count(*) > 1",
 }

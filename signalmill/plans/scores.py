@@ -67,8 +67,8 @@ def velocity(spark, sf_dir):
 
 
 def absence(spark, sf_dir):
-    """Companies without a financing signal, over those of few signals."""
-    s = signals(spark, sf_dir).where("k % 10 = 3")
+    """Companies without a financing signal on a day of signals."""
+    s = signals(spark, sf_dir).withColumn("company_id", F.concat_ws("/", F.col("company_id").cast("string"), F.date_format("detected_at", "yyyy-MM-dd")))
     return relevance.absence_bonus(s, "financing")
 
 
@@ -98,8 +98,8 @@ def sensitivity_gates(spark, sf_dir):
 
 
 def feedback(spark, sf_dir):
-    """The weight that rejections (here errors on one of five days) leave."""
-    s = signals(spark, sf_dir).where("signal_type = 'ranking' and dayofmonth(detected_at) % 5 = 0")
+    """The weight that rejections (here errors of small value) leave."""
+    s = signals(spark, sf_dir).where("signal_type = 'ranking' and value < 200000")
     return s.groupBy("company_id").agg(F.count("*").alias("rejections")).select("company_id", "rejections", F.round(relevance.feedback_weight(F.col("rejections")), 4).alias("weight"))
 
 
@@ -139,7 +139,7 @@ SQL = {
     "confidence": f"WITH {SIGNALS},{_SCORED},{_CONFIDENCE} SELECT company_id, round(best, 6) AS best, types, corroboration, round(raw, 1) AS score, {_LEVEL} AS level FROM confidence",
     "freshness_by_day": f"WITH {SIGNALS} SELECT CAST(detected_at AS DATE) AS day, count(*) AS n, round(avg({_AGE}), 6) AS freshness FROM signals GROUP BY CAST(detected_at AS DATE)",
     "velocity": f"WITH {SIGNALS},{_VELOCITY} SELECT company_id, densest, velocity FROM velocity",
-    "absence": f"WITH {SIGNALS} SELECT company_id, CASE WHEN max(CASE WHEN signal_type = 'financing' THEN 1 ELSE 0 END) = 1 THEN 0.0 ELSE 15.0 END AS absence FROM signals WHERE k % 10 = 3 GROUP BY company_id",
+    "absence": f"WITH {SIGNALS} SELECT concat(company_id, '/', strftime(detected_at, '%Y-%m-%d')) AS company_id, CASE WHEN max(CASE WHEN signal_type = 'financing' THEN 1 ELSE 0 END) = 1 THEN 0.0 ELSE 15.0 END AS absence FROM signals GROUP BY 1",
     "relevance_scores": f"""WITH {SIGNALS},{_VELOCITY},
 spheres(signal_type, sphere, is_main) AS (VALUES {_SPHERE_ROWS}), needs(need_id, sphere, weight) AS (VALUES {_NEED_ROWS}),
 absent AS (SELECT company_id, CASE WHEN max(CASE WHEN signal_type = 'financing' THEN 1 ELSE 0 END) = 1 THEN 0.0 ELSE 15.0 END AS absence FROM signals GROUP BY company_id),
@@ -150,7 +150,7 @@ SELECT company_id, need_id, base, round(raw, 4) AS relevance, CASE WHEN raw >= 8
     "sensitivity_gates": f"""WITH {SIGNALS},{_SCORED},{_CONFIDENCE}, levels AS (SELECT {_LEVEL} AS level FROM confidence),
 gates(sensitivity, level) AS (VALUES ('low', 'high'), ('medium', 'high'), ('medium', 'medium'), ('high', 'high'), ('high', 'medium'), ('high', 'low'))
 SELECT sensitivity, count(*) AS companies FROM gates JOIN levels ON gates.level = levels.level GROUP BY sensitivity""",
-    "feedback": f"WITH {SIGNALS} SELECT company_id, count(*) AS rejections, round(greatest(0.4, 1.0 - 0.15 * count(*)), 4) AS weight FROM signals WHERE signal_type = 'ranking' AND day(detected_at) % 5 = 0 GROUP BY company_id",
+    "feedback": f"WITH {SIGNALS} SELECT company_id, count(*) AS rejections, round(greatest(0.4, 1.0 - 0.15 * count(*)), 4) AS weight FROM signals WHERE signal_type = 'ranking' AND value < 200000 GROUP BY company_id",
     "brand_weights": "SELECT p_type, p_brand, n, round(100.0 * n / max(n) OVER (PARTITION BY p_type), 1) AS weight FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand)",
     "tender_steps": f"SELECT score, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT o_totalprice, {_steps('o_totalprice * 3', scores.TENDER)} AS score FROM orders) GROUP BY score",
     "densest_orders": "SELECT o_custkey, max(n) AS densest FROM (SELECT o_custkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 60 DAYS FOLLOWING) AS n FROM orders) GROUP BY o_custkey",

@@ -73,9 +73,10 @@ def registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, name, city) of detected names: some of the registry's, damaged
-    by a rule (a word dropped, a word added, or a letter doubled)."""
-    n = registry_names(spark, sf_dir).where("id % 50 = 7")
+    """(query_id, name, city) of detected names: one for each supplier, the
+    registry's name of the same number, damaged by a rule (a word dropped, a word
+    added, or a letter doubled)."""
+    n = registry_names(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id")
     dropped = F.regexp_replace("name", " [^ ]+$", "")
     name = F.when(F.col("id") % 3 == 0, dropped).when(F.col("id") % 3 == 1, F.concat("name", F.lit(" inc"))).otherwise(F.regexp_replace("name", "l", "ll"))
     return n.select(F.col("id").alias("query_id"), name.alias("name"), F.concat(F.lit("city"), (F.col("id") % 5).cast("string")).alias("city"))
@@ -86,7 +87,7 @@ names AS (SELECT p_partkey AS id, concat_ws(' ', p_name, lower(p_type), replace(
 asked AS (
   SELECT id AS query_id, concat('city', id % 5) AS city,
          CASE id % 3 WHEN 0 THEN regexp_replace(name, ' [^ ]+$', '') WHEN 1 THEN concat(name, ' inc') ELSE replace(name, 'l', 'll') END AS name
-  FROM names WHERE id % 50 = 7)"""
+  FROM names JOIN supplier ON s_suppkey = id)"""
 
 
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import parse_date, quarter_date
-from signalmill.functions.text import city_and_province, city_in_parentheses, normalise
+from signalmill.functions.text import city_and_province, composed_address, normalise
 from signalmill.operators.relational import latest
 from signalmill.sources.signals import date, fields, header_aliases, not_in_the_future, number, reference, signals, since, text
 
@@ -54,7 +54,7 @@ def contract_awards(spark: SparkSession, path: str, start: datetime | None = Non
     outer = ", ".join(f"{k} {v}" for k, v in RELEASE.items())
     raw = spark.read.json(path, schema=f"releases array<struct<{inner}>>, {outer}", multiLine=True)
     raw = raw.where(covers(F.col("_metadata.file_name"), start))
-    one = F.struct(*[c for c in raw.columns if c != "releases"])
+    one = F.struct(*RELEASE)
     release = raw.select(F.explode(F.when(F.col("releases").isNotNull(), F.col("releases")).otherwise(F.array(one))).alias("r"))
     each = release.select("r", F.explode("r.awards").alias("a")).select("r", "a", F.explode("a.suppliers").alias("s"))
     party = F.try_element_at(F.filter("r.parties", lambda p: p["id"] == F.col("s.id")), F.lit(1))
@@ -256,6 +256,60 @@ def flat_registry(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[text(rows, c).alias(r) for r, c in role.items()]).where("id is not null")
 
 
+# Headers of the federal register's French file, and its active states.
+CORPORATION_HEADERS = {"id": ["numero_de_societe"], "name": ["denomination_sociale_version_1"], "status": ["statut"], "street": ["rue"], "city": ["municipalite_ville"], "province": ["province_territoire"], "postal_code": ["code_postal"]}
+ACTIVE = ("active", "actif", "active corporation")
+
+
+def french_active_resources(resources: DataFrame) -> DataFrame:
+    """Files of a catalogue (name, language array) of active corporations in
+    French: ``inactive`` holds ``active`` and is left out, and a file without a
+    language stays."""
+    name = F.lower(F.coalesce("name", F.lit("")))
+    said = F.coalesce("language", F.array().cast("array<string>"))
+    return resources.where(F.contains(name, F.lit("active")) & ~F.contains(name, F.lit("inactive")) & ((F.size(said) == 0) | F.array_contains(said, "fr")))
+
+
+def federal_corporations(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, status, address, law) of federal corporations, a snapshot for
+    :func:`signalmill.operators.diff.run`; rows without a number or name go, the
+    law is null where the file has no such column."""
+    rows = csv(spark, path)
+    role = header_aliases(rows.columns, CORPORATION_HEADERS)
+    try:
+        law = text(rows, header_aliases(rows.columns, {"law": ["regime_legislatif"]})["law"])
+    except ValueError:  # an optional column
+        law = F.lit(None).cast("string")
+    col = lambda r: text(rows, role[r])
+    address = F.nullif(F.array_join(F.array_compact(F.array(col("street"), col("city"), col("province"), col("postal_code"))), ", "), F.lit(""))
+    return rows.select(col("id").alias("id"), col("name").alias("name"), col("status").alias("status"), address.alias("address"), law.alias("law")).where("id is not null and name is not null")
+
+
+def inspect_zip(spark: SparkSession, path: str) -> DataFrame:
+    """(member, bytes, header, first): the CSV members of a zip with their sizes,
+    titles and first rows, read in tasks."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    with system.open_input_file(place) as f, zipfile.ZipFile(f) as z:
+        members = [(i.filename, i.file_size) for i in z.infolist() if i.filename.lower().endswith(".csv")]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv as plain_csv
+
+        for batch in batches:
+            shown = []
+            for member in batch["member"]:
+                source, inside = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                with source.open_input_file(inside) as f, zipfile.ZipFile(f) as z, z.open(member) as data:
+                    lines = plain_csv.reader(io.TextIOWrapper(data, "utf-8-sig", "replace"))
+                    shown.append((next(lines, []), next(lines, [])))
+            yield pd.DataFrame({"member": batch["member"], "bytes": batch["bytes"], "header": [h for h, _ in shown], "first": [r for _, r in shown]})
+
+    rows = spark.createDataFrame(members, "member string, bytes long")
+    return rows.repartition(max(1, len(members)), "member").mapInPandas(look, "member string, bytes long, header array<string>, first array<string>")
+
+
 def unzip(spark: SparkSession, path: str, folder: str) -> list[str]:
     """Unpacks a zip into a shared folder, a task for each member, and returns the
     members' names. Their contents stream through tasks, never the driver."""
@@ -290,18 +344,25 @@ REGISTRY_COLUMNS = {
 
 def linked_registry(companies: DataFrame, names: DataFrame, sites: DataFrame) -> DataFrame:
     """A registry of three linked tables as (id, name, name_normalised, status,
-    address, city, province, sector): the elected name, the main site or the
-    first one. Companies without a name go. Joins on the id, no table in memory."""
+    address, city, province, postal_code, sector): the elected name, the
+    company's own address or that of its main site, or the first one. Companies
+    without a name go; a third address line may be missing. Joins on the id, no
+    table in memory."""
     from signalmill.operators.resolution import elect_name
 
     named = names.select(F.col("NEQ").alias("id"), F.trim("NOM_ASSUJ").alias("name"), F.col("STAT_NOM").alias("status"), F.col("TYP_NOM_ASSUJ").alias("kind"), F.col("DAT_INIT_NOM_ASSUJ").alias("since"), F.monotonically_increasing_id().alias("line")).where("name <> ''")
     main = F.struct(F.when(F.col("IND_ETAB_PRINC") == "O", 0).otherwise(1), F.col("NO_SUF_ETAB"))
-    site = sites.groupBy(F.col("NEQ").alias("id")).agg(F.min_by(F.struct(F.col("LIGN1_ADR").alias("a"), F.col("LIGN2_ADR").alias("b"), F.col("DESC_ACT_ECON_ETAB").alias("s")), main).alias("site"))
+
+    def place(rows: DataFrame, head: str) -> Column:
+        return composed_address(*[text(rows, f"{head}LIGN{k}_ADR") for k in (1, 2, 3, 4)])
+
+    sector = lambda c: F.nullif(F.trim(c), F.lit("-"))
+    site = sites.groupBy(F.col("NEQ").alias("id")).agg(F.min_by(F.struct(place(sites, "").alias("p"), sector(F.col("DESC_ACT_ECON_ETAB")).alias("s")), main).alias("site"))
     status = decode_status(F.col("COD_STAT_IMMAT"))
-    own = companies.select(F.col("NEQ").alias("id"), status.alias("status"), F.col("ADR_DOMCL_LIGN1_ADR").alias("a"), F.col("ADR_DOMCL_LIGN2_ADR").alias("b"), F.col("DESC_ACT_ECON_ASSUJ").alias("s"))
+    own = companies.select(F.col("NEQ").alias("id"), status.alias("status"), place(companies, "ADR_DOMCL_").alias("own"), sector(F.col("DESC_ACT_ECON_ASSUJ")).alias("s"))
     met = own.join(elect_name(named).select("id", "name"), "id").join(site, "id", "left")
-    place = city_in_parentheses(F.coalesce("b", "site.b"))
-    return met.select("id", "name", normalise(F.col("name")).alias("name_normalised"), "status", F.coalesce("a", "site.a").alias("address"), place["city"].alias("city"), place["province"].alias("province"), F.coalesce("s", "site.s").alias("sector"))
+    parts = [F.coalesce(F.col(f"own.{c}"), F.col(f"site.p.{c}")).alias(c) for c in ("address", "city", "province", "postal_code")]
+    return met.select("id", "name", normalise(F.col("name")).alias("name_normalised"), "status", *parts, F.coalesce("s", "site.s").alias("sector"))
 
 
 def decode_status(code: Column) -> Column:

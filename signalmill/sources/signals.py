@@ -82,9 +82,8 @@ def check_columns(df: DataFrame, wanted: list[str]) -> None:
 
 def header_aliases(columns: list[str], aliases: dict[str, list[str]]) -> dict[str, str]:
     """Role to column: the first alias that is part of a header, in normalised form."""
-    from signalmill.functions.text import ACCENTED, PLAIN
+    from signalmill.functions.text import normalised as plain
 
-    plain = lambda s: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in s.translate(str.maketrans(ACCENTED, PLAIN)).lower()).split())
     found, lacking = {}, []
     for role, names in aliases.items():
         hit = next((c for a in names for c in columns if plain(a.replace("_", " ")) in plain(c.replace("_", " "))), None)
