@@ -50,7 +50,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     executor costs one round. Self links are ignored, repeated links count once,
     and an empty table gives an empty one.
     """
-    stars = materialize(_small_star(edges.where("u <> v").select("u", "v")))
+    found = materialize(edges.where("u <> v").select("u", "v").distinct())  # read three times below
+    stars = materialize(_small_star(found))
     for _ in range(MOST_ROUNDS):
         after = materialize(_small_star(_large_star(stars)))
         if _state(after) == _state(stars):
