@@ -45,6 +45,9 @@ PATTERN = {
 #: Literals without which a pattern can't match; a search for them is cheaper.
 HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",), "hex": (), "token": ("gh", "xox", "sk_", "AIza", "eyJ"), "quoted": ()}
 MAX_OWNERS = 2
+#: Texts with credentials to replace up to which their places are broadcast: some
+#: hundred bytes each.
+FEW = 200_000
 LEAST = {"assign": 8, "access": 16, "hex": 32, "token": 16, "quoted": 22}
 
 
@@ -81,15 +84,17 @@ def _looks_generated(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
-def scan(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """(row, key, owner, repository, hits), written once: the only pass over the texts."""
+def scan(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, named=None) -> DataFrame:
+    """(row, key, owner, repository, hits), written once: the only pass over the
+    texts; with ``named`` also a name made of the text."""
     unknown = F.lit("")
     owner = F.coalesce((F.col("source") if owner is None else owner).cast("string"), unknown)
     repository = F.coalesce((F.concat_ws("/", "source", "lang") if repository is None else repository).cast("string"), unknown)
     text = F.col("text")
     hits = F.concat(*[F.coalesce(_matches(text, k), F.array().cast("array<struct<kind:int,place:int,gap:int,hit:string>>")) for k in KINDS])
-    rows = df.select(F.col(key).cast("long").alias("key"), owner.alias("owner"), repository.alias("repository"), text_or_empty(text_column).alias("text"))
-    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "repository", hits.alias("hits")))
+    name = named(text_or_empty(text_column)) if named else F.lit(None).cast("string")
+    rows = df.select(F.col(key).cast("long").alias("key"), owner.alias("owner"), repository.alias("repository"), name.alias("name"), text_or_empty(text_column).alias("text"))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "repository", "name", hits.alias("hits")))
 
 
 def spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -108,10 +113,10 @@ def spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     measured = F.when(F.col("kind") == 0, F.length("value")).otherwise(F.length("hit"))
     enough = F.element_at(F.array(*[F.lit(LEAST[k]) for k in KINDS]), F.col("kind") + 1)
     placed = each.withColumn("end", end).withColumn("value", value).where(measured >= enough)
-    hashed = placed.select("row", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.xxhash64("value").alias("value_hash"), _looks_live(F.col("value")).alias("mixed"), ((F.col("kind") < len(BASE_KINDS)) | _looks_generated(F.col("value"))).alias("secret"), "owner", "repository")
+    hashed = placed.select("row", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.xxhash64("value").alias("value_hash"), F.length("value").alias("value_length"), _looks_live(F.col("value")).alias("mixed"), ((F.col("kind") < len(BASE_KINDS)) | _looks_generated(F.col("value"))).alias("secret"), "owner", "repository")
     held = hashed.select("value_hash", "owner", "repository").distinct().groupBy("value_hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
     few = F.col("owners") <= max_owners
-    return hashed.join(held, "value_hash").select("row", "kind", "start", "end", "value_hash", "owners", "repositories", (F.col("mixed") & few).alias("live"), (F.col("secret") & few).alias("owned"))
+    return hashed.join(held, "value_hash").select("row", "kind", "start", "end", "value_hash", "value_length", "owners", "repositories", (F.col("mixed") & few).alias("live"), (F.col("secret") & few).alias("owned"))
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -125,38 +130,38 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text_column: str = "text",
     return scanned.select("row", "key").join(grouped, "row", "left").select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"))
 
 
-def redact(df: DataFrame, text_column: str = "text", key: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(df: DataFrame, text_column: str = "text", key: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS, few: int = FEW) -> DataFrame:
     """The rows with credentials that few owners hold replaced in the text; the
     columns stay.
 
-    Rows without any candidate are passed on as they are; only the others, few
-    in any corpus, are joined to their verdicts by key and value hash.
+    The patterns run once over each text. What is left to replace are places:
+    those of the credentials (of an assignment its value), joined to the rows by
+    key and text. Up to ``few`` texts they are broadcast, so that no text moves;
+    beyond, rows without a candidate are passed on and the others are joined.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text, named, places = F.coalesce(F.col(text_column), F.lit("")), spare(df, "_holder"), spare(df, "_secret")
+    name = lambda key_column, t: F.concat_ws("/", F.coalesce(key_column.cast("long").cast("string"), F.lit("none")), F.xxhash64(t).cast("string"), F.length(t).cast("string"))
+    scanned = scan(df, key, text_column, named=lambda t: name(F.col(key), t))
+    owned = spans(scanned, max_owners).where("owned").join(scanned.select("row", "name"), "row")
+    cut = F.struct(F.when(F.col("kind") == KINDS.index("assign"), F.col("end") - F.col("value_length")).otherwise(F.col("start")).alias("start"), "end")
+    lists = materialize(owned.groupBy(F.col("name").alias(named)).agg(F.array_sort(F.collect_set(cut)).alias(places)))
+    met = lambda rows, found: rows.withColumn(named, name(F.col(key), text)).join(found, named, "left").drop(named)
+    changed = F.when(F.col(places).isNotNull(), _without(F.col(text_column), F.col(places), mark)).otherwise(F.col(text_column))
+    if lists.count() <= few:
+        return met(df, F.broadcast(lists)).withColumn(text_column, changed).drop(places)
     some = F.lit(False)
     for kind in KINDS:
         some = some | _may_match(text, kind)
-    scanned = scan(df.where(some), key, text_column)
-    live = spans(scanned, max_owners).where("owned").join(scanned.select("row", "key"), "row")
-    holder, secret = spare(df, "_holder"), spare(df, "_secret")
-    lists = live.groupBy(F.col("key").alias(holder)).agg(F.collect_set("value_hash").alias(secret))
-    rows = df.where(some).join(lists, F.col(key).cast("long").eqNullSafe(F.col(holder)), "left").drop(holder)
-    for kind in KINDS:
-        text = F.col(text_column)
-        here = F.col(secret).isNotNull() & _may_match(text, kind)
-        rows = rows.withColumn(text_column, F.when(here, _replaced(text, kind, mark, F.col(secret))).otherwise(text))
-    return df.where(~some).unionByName(rows.drop(secret))
-
-
-def _replaced(text: Column, kind: str, mark: str, secret: Column) -> Column:
-    gaps, hits = F.split(text, PATTERN[kind], -1), F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0))
+    return df.where(~some).unionByName(met(df.where(some), lists).withColumn(text_column, changed).drop(places))
 
-    def shown(hit: Column) -> Column:
-        value = F.regexp_extract(hit, ASSIGN, 2) if kind == "assign" else F.substring(hit, F.lit(2), F.length(hit) - 2) if kind == "quoted" else hit
-        head = F.substring(hit, F.lit(1), F.length(hit) - F.length(value)) if kind == "assign" else F.lit("")
-        return F.when(F.array_contains(secret, F.xxhash64(value)), F.concat(head, F.lit(mark))).otherwise(hit)
 
-    return F.array_join(F.concat(F.zip_with(F.slice(gaps, 1, F.size(hits)), F.transform(hits, shown), lambda g, h: F.concat(g, h)), F.slice(gaps, -1, 1)), "")
+def _without(text: Column, places: Column, mark: str) -> Column:
+    """The text with sorted places replaced by the mark; overlapping ones are one."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    begin = lambda a, p: F.greatest(a["at"], p["start"])
+    piece = lambda a, p: F.substring(text, (a["at"] + 1).cast("int"), F.greatest(F.lit(0), begin(a, p) - a["at"]).cast("int"))
+    step = lambda a, p: F.when(p["end"] <= a["at"], a).otherwise(F.struct(F.concat(a["text"], piece(a, p), F.when(p["start"] >= a["at"], F.lit(mark)).otherwise(F.lit(""))).alias("text"), F.greatest(a["at"], p["end"]).cast("long").alias("at")))
+    return F.aggregate(places, start, step, lambda a: F.concat(a["text"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
 
 
 def spelled(spans: Column) -> Column:
