@@ -7,8 +7,9 @@ hashed; per host the distinct documents of each hash are counted; lines in more
 documents than the host's limit are removed, and a document of which too little
 is left is rejected.
 
-The limit is a share of the host's documents with a least number, so that a
-corpus ten times as large is judged alike.
+The limit is a share of the host's documents between a least and a greatest
+number: a small host isn't judged by a few documents, and on a host of any size a
+line in more than ``MOST_DOCUMENTS`` documents is boilerplate.
 
 ``documents`` has no url: its host is ``source``, a parameter.
 
@@ -36,7 +37,7 @@ from signalmill.llm.common import materialize, spare, table, text_or_empty, tune
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; hundredths of words in repeated windows
-LEAST_DOCUMENTS, SHARE = 10, 0.01  # a line is frequent above both
+LEAST_DOCUMENTS, SHARE, MOST_DOCUMENTS = 10, 0.01, 40  # a line is frequent above the share, within these bounds
 LEAST_LEFT = 0.5  # share of a document's words that must be left
 
 DIGIT = re.compile(r"[0-9]")
@@ -104,9 +105,9 @@ def measure(df: DataFrame, key: str = "doc_id", text_column: str = "text", host:
     return rows.mapInArrow(of_batch, f"key long, host string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<struct<line: long, words: int>>")
 
 
-def frequent_lines(measured: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
+def frequent_lines(measured: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """(host, line, documents) of lines in more documents than the host's limit."""
-    hosts = measured.groupBy("host").agg(F.greatest(F.lit(least_documents).cast("double"), F.count("*") * F.lit(share)).alias("limit"))
+    hosts = measured.groupBy("host").agg(F.greatest(F.lit(least_documents).cast("double"), F.least(F.lit(most_documents).cast("double"), F.count("*") * F.lit(share))).alias("limit"))
     counted = measured.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
     return counted.join(hosts, "host").where("documents > limit").select("host", "line", "documents")
 
@@ -166,7 +167,7 @@ marked AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, i AS p FROM twice UN
 lines AS (SELECT r, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 again AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 plain AS (SELECT r, host, regexp_replace(array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') AS line, sum(words) AS words FROM lines GROUP BY 1, 2, 3),
-hosts AS (SELECT host, greatest(10, count(*) * 0.01) AS most FROM d GROUP BY host),
+hosts AS (SELECT host, greatest(10, least(40, count(*) * 0.01)) AS most FROM d GROUP BY host),
 often AS (SELECT p.host, p.line FROM plain p JOIN hosts h ON p.host = h.host GROUP BY p.host, p.line, h.most HAVING count(*) > h.most),
 gone AS (SELECT p.r, CAST(sum(p.words) AS BIGINT) AS n FROM plain p JOIN often o ON p.host = o.host AND p.line = o.line GROUP BY p.r),
 told AS (

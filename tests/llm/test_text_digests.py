@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from signalmill.llm import bpe, mixing, pii, quality, secrets, token_planes
@@ -246,7 +247,7 @@ def test_op8(spark, tables, name):
     for doc_id, text, host in docs:
         counts = brute_quality(text)
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in text.split("\n") if held[host, quality.normalised(x)] > max(quality.LEAST_DOCUMENTS, quality.SHARE * hosts[host]))
+        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in text.split("\n") if held[host, quality.normalised(x)] > max(quality.LEAST_DOCUMENTS, min(quality.MOST_DOCUMENTS, quality.SHARE * hosts[host])))
         want[(doc_id, *counts, failed, not failed and counts[0] - gone >= quality.LEAST_LEFT * counts[0])] += 1
     got = quality.op8_quality(spark, tables[name]).select("doc_id", *quality.COUNTS, "base_failed", "kept").collect()
     assert Counter(map(tuple, got)) == want
@@ -262,6 +263,47 @@ def test_frequent_lines_are_removed(spark):
     assert quality.without_frequent_lines(odd).columns == odd.columns
 
 
+def test_a_line_in_fifty_documents_of_a_large_host_is_frequent(spark):
+    df = spark.range(100_000).selectExpr("id AS doc_id", "concat('own line ', id, ' ', repeat(chr(cast(97 + id % 26 as int)), cast(id % 97 as int)), sha2(cast(id as string), 256), CASE WHEN id % 2000 = 7 THEN '\\nShared line of many' ELSE '' END) AS text", "'big' AS source")
+    found = quality.frequent_lines(quality.measure(df)).collect()
+    assert [(r.host, r.documents) for r in found] == [("big", 50)]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_redaction_keeps_everything_else(spark, few):
+    import random
+
+    draw, made = random.Random(5), []
+    for i in range(120):
+        parts = []
+        for _ in range(draw.randint(0, 6)):
+            secret = "".join(draw.choice("abcdefghij0123456789") for _ in range(draw.randint(8, 40)))
+            parts.append(draw.choice(["word été", f"password={secret}", f"Token: '{secret}'", f"x{secret}y", f'"{secret}{secret}"', "AKIA" + secret.upper(), f"{i:032x}"]))
+        made.append((i % 100, " ".join(parts), "en", f"o{i}"))  # some keys have two texts
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    got = Counter((r.doc_id, r.text) for r in secrets.redact(df, few=few).collect())
+    scanned = secrets.scan(df)
+    texts = {r.row: r for r in scanned.join(df.withColumn("row", F.monotonically_increasing_id()), "row").select("row", "doc_id", "text").collect()}
+    owned = defaultdict(set)
+    for r in secrets.spans(scanned).where("owned").collect():
+        owned[r.row].add((r.end - r.value_length if r.kind == 0 else r.start, r.end))
+    want = Counter()
+    for row, r in texts.items():
+        gone = {p for s, e in owned[row] for p in range(s, e)}
+        out, p = "", 0
+        starts = sorted(owned[row])
+        while p < len(r.text):
+            if p in gone:
+                end = max(e for s, e in starts if s <= p < e)
+                while any(s < end < e for s, e in starts):
+                    end = max(e for s, e in starts if s < end)
+                out, p = out + "<SECRET>", end
+            else:
+                out, p = out + r.text[p], p + 1
+        want[r.doc_id, out] += 1
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["sf", "odd", "none"])
 def test_op5_matches_its_sql(spark, tables, name):
     import duckdb
