@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from signalmill.operators.storage import materialize
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order; its columns stay. Spark limits
@@ -52,15 +54,35 @@ def until_known_run(rows: DataFrame, known: DataFrame, ref: str, order: list[Col
     return told.withColumn("_stopped", F.coalesce(stopped, F.lit(0))).where("_stopped = 0").drop("_known", "_fresh", "_length", "_stopped")
 
 
+def in_order(rows: DataFrame, keys: list[str], order: list[Column], amount: Column | None = None) -> DataFrame:
+    """Adds each row's place in its group's order (from 0), the group's size, and
+    the running and whole sums of an amount.
+
+    Rows are dealt to tasks by ranges of group and order and written once; the
+    sums of whole ranges, a row for each range and group, give what lies before a
+    range. So a group that holds a third of the rows is spread over tasks.
+    """
+    dealt = rows.withColumn("_amount", F.lit(1) if amount is None else amount).repartitionByRange(*[F.col(k) for k in keys], *order)
+    dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()))
+    own = W.partitionBy(*keys, "_range").orderBy(*order)
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    sums = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_c"), F.sum("_amount").alias("_s"))
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = sums.select(*keys, "_range", zero("_c").alias("_c0"), zero("_s").alias("_s0"), F.sum("_c").over(whole).alias("_n"), F.sum("_s").over(whole).alias("_total"))
+    placed = dealt.withColumn("_own", F.row_number().over(own) - 1).withColumn("_run", F.sum("_amount").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    met = placed.alias("p").join(sums.alias("s"), [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_range"]])
+    return met.select(*[F.col(f"p.`{c}`") for c in rows.columns], (F.col("_own") + F.col("_c0")).alias("_place"), "_n", (F.col("_run") + F.col("_s0")).alias("_running"), "_total")
+
+
 def spread_sample(rows: DataFrame, order: list[Column], k: int, keys: list[str]) -> DataFrame:
     """k rows of each group at equal steps of its order: the places
     floor(i * n / k); the whole group if it has no more than k."""
-    group = W.partitionBy(*keys)
-    placed = rows.withColumn("_place", F.row_number().over(group.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(group))
+    placed = in_order(rows, keys, order)
     # A place is taken if it is the first at or after a multiple of n / k.
     i = F.ceil(F.col("_place") * k / F.col("_n"))
     taken = (F.col("_n") <= k) | ((i < k) & (F.floor(i * F.col("_n") / k) == F.col("_place")))
-    return placed.where(taken).drop("_place", "_n")
+    return placed.where(taken).drop("_place", "_n", "_running", "_total")
 
 
 def consecutive(rows: DataFrame, keys: list[str], order: list[Column], counted: Column, resets: Column) -> DataFrame:

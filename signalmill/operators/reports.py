@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signalmill.operators.relational import latest
+from signalmill.operators.relational import in_order, latest
+from signalmill.operators.storage import materialize
 
 UNSTATED, UNCLASSED = "(unstated)", "(unclassed)"
 
@@ -48,7 +49,9 @@ def field_inventory(rows: DataFrame, group: str, fields: str, width: int = 200)
     """(group, field, filled, values): how often each key of a map column has a
     value, and how many different ones."""
     each = rows.select(group, F.explode(fields).alias("field", "value")).where("value is not null and value <> ''")
-    return each.groupBy(group, "field").agg(F.count("*").alias("filled"), F.count_distinct(F.left("value", F.lit(width))).alias("values"))
+    # equal values are summed where they lie; counting distinct ones beside all would repeat every row
+    values = each.groupBy(group, "field", F.left("value", F.lit(width)).alias("_value")).agg(F.count("*").alias("_n"))
+    return values.groupBy(group, "field").agg(F.sum("_n").alias("filled"), F.count("*").alias("values"))
 
 
 def funnel(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
@@ -70,9 +73,8 @@ def hierarchy(rows: DataFrame, code: str, widths: list[int]) -> DataFrame:
 
 def pareto(counts: DataFrame, keys: list[str], name: str, n: str = "n") -> DataFrame:
     """Adds ``running`` and ``share`` (hundredths): the most frequent first, ties by name."""
-    order = W.partitionBy(*keys).orderBy(F.desc(n), name).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum(n).over(W.partitionBy(*keys))
-    return counts.withColumn("running", F.sum(n).over(order)).withColumn("share", F.round(100.0 * F.col("running") / total, 2))
+    told = in_order(counts, keys, [F.desc(n), F.col(name)], F.col(n))
+    return told.withColumn("running", F.col("_running")).withColumn("share", F.round(100.0 * F.col("_running") / F.col("_total"), 2)).drop("_place", "_n", "_running", "_total")
 
 
 def names_for_share(counts: DataFrame, keys: list[str], name: str, percent: float) -> DataFrame:
@@ -88,9 +90,9 @@ def compare_populations(rows: DataFrame, bucket: str, member: Column) -> DataFra
     how a bucket's share differs between members and the rest."""
     inside, outside = F.coalesce(member, F.lit(False)), ~F.coalesce(member, F.lit(False))
     per = rows.groupBy(bucket).agg(F.count_if(inside).alias("inside"), F.count_if(outside).alias("outside"))
-    everyone = W.partitionBy(F.lit(0))
-    share = lambda c: F.round(100.0 * F.col(c) / F.nullif(F.sum(c).over(everyone), F.lit(0)), 4)
-    told = per.withColumn("inside_share", share("inside")).withColumn("outside_share", share("outside"))
+    whole = F.broadcast(per.agg(F.sum("inside").alias("_inside"), F.sum("outside").alias("_outside")))  # one row
+    share = lambda c: F.round(100.0 * F.col(c) / F.nullif(F.col(f"_{c}"), F.lit(0)), 4)
+    told = per.join(whole, F.lit(True)).withColumn("inside_share", share("inside")).withColumn("outside_share", share("outside")).drop("_inside", "_outside")
     return told.withColumn("difference", F.round(F.col("inside_share") - F.col("outside_share"), 4)).withColumn("times", F.round(F.col("inside_share") / F.nullif(F.col("outside_share"), F.lit(0.0)), 4))
 
 
@@ -153,7 +155,7 @@ def digest(notes: DataFrame, values: DataFrame, k: int = 10) -> DataFrame:
     """The first k pending notifications by score and greatest value, nulls last,
     then by id, with the backlog's size. Spark keeps k rows per task to rank them."""
     most = values.groupBy("note_id").agg(F.max("value").alias("value"))
-    pending = notes.where("sent_at is null")
+    pending = materialize(notes.where("sent_at is null"))  # counted and ranked
     backlog = pending.agg(F.count("*").alias("backlog"))
     tops = pending.join(most, "note_id", "left").orderBy(F.desc("score"), F.desc_nulls_last("value"), "note_id").limit(k)
     return tops.join(F.broadcast(backlog), F.lit(True))

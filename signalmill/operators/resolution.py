@@ -64,12 +64,13 @@ def decide(queries: DataFrame, candidates: DataFrame, rule: Rule = Rule()) -> Da
     return told.select("query_id", F.when(F.col("family") == RETAINED, F.col("top_id")).alias("id"), "best", "second", "gap", "family")
 
 
-def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = None, rule: Rule = Rule(), limit: int | None = blocking.LIMIT, frequent: int = blocking.FREQUENT) -> DataFrame:
+def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = None, rule: Rule = Rule(), limit: int | None = blocking.LIMIT, frequent: int = blocking.FREQUENT, score=None) -> DataFrame:
     """Decisions of three passes, with ``pass``: names in force that share the
     first word (or, if there are none, a fragment); those that hold the rarest
     word too; and all of that over retired names as well. ``names`` has (id,
     name, retired). A pass takes what the one before didn't retain, and what was
-    found before stays a candidate."""
+    found before stays a candidate. ``score`` is a column of ``asked`` and
+    ``name``, the weighted similarity by default."""
     left, done, found = queries, None, None
     for number in (1, 2, 3):
         known = names.where("not retired").select("id", "name") if number < 3 else names.select("id", "name")
@@ -84,7 +85,7 @@ def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = Non
         if found is not None:
             started = started.unionByName(found.join(left.select("query_id"), "query_id", "left_semi"))
         found = materialize(started.distinct())
-        told = materialize(decide(left, ranked(left, best_names(left, found), cities, rule), rule).withColumn("pass", F.lit(number)))
+        told = materialize(decide(left, ranked(left, best_names(left, found, score), cities, rule), rule).withColumn("pass", F.lit(number)))
         retained = told.where(F.col("family") == RETAINED) if number < 3 else told
         done = retained if done is None else done.unionByName(retained)
         left = left.join(retained.select("query_id"), "query_id", "left_anti")

@@ -63,6 +63,12 @@ def resolved_names(spark, sf_dir):
     return told.select("query_id", "id", F.round("best", 4).alias("best"), "family", "pass")
 
 
+def resolved_by_edits(spark, sf_dir):
+    """The same three passes by edits."""
+    told = resolution.resolve(dirty_names(spark, sf_dir), registry_names(spark, sf_dir), cities(spark, sf_dir), score=edit_score(F.col("asked"), F.col("name")))
+    return told.select("query_id", "id", F.round("best", 4).alias("best"), "family", "pass")
+
+
 def address_tie_breaks(spark, sf_dir):
     """Ties between suppliers of a nation, broken by postal codes and cities."""
     s = table(spark, sf_dir, "supplier")
@@ -119,6 +125,26 @@ def duplicate_companies(spark, sf_dir):
     return dedup.candidate_pairs(pool).select("older", "younger", F.round("score", 4).alias("score"))
 
 
+def _by_edits(a, b, city_a, city_b):
+    return dedup.pair_score(a, b, city_a, city_b, edit_score)
+
+
+def duplicates_by_edits(spark, sf_dir):
+    """Pairs of detected names alike enough to be noted, by edits."""
+    pool = dirty_names(spark, sf_dir).select(F.col("query_id").alias("company_id"), "name", "city")
+    return dedup.candidate_pairs(pool, 60.0, _by_edits).select("older", "younger", F.round("score", 4).alias("score"))
+
+
+def merged_chains(spark, sf_dir):
+    """What merges into what: suppliers are like the first of their ten, and less
+    so like their neighbour; the tenth is like its neighbour alone."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").where("s_suppkey > 0 and s_suppkey % 10 <> 1")
+    first = s.select((k - (k - 1) % 10).alias("older"), k.alias("younger"), F.when(k % 10 == 0, 94.0).otherwise(100.0 - k % 10 / 10).alias("score"))
+    beside = s.where("s_suppkey % 10 <> 2").select((k - 1).alias("older"), k.alias("younger"), F.lit(95.0).alias("score"))
+    return dedup.merges(first.unionByName(beside))
+
+
 def merged_companies(spark, sf_dir):
     """What merges into what."""
     pool = dirty_names(spark, sf_dir).select(F.col("query_id").alias("company_id"), "name", "city")
@@ -131,6 +157,12 @@ def province_links(spark, sf_dir):
     return dedup.link_bonus(dedup.cross_province(pool))
 
 
+def province_links_by_edits(spark, sf_dir):
+    """The same by edits."""
+    pool = dirty_names(spark, sf_dir).select(F.col("query_id").alias("company_id"), "name", "city", F.array(F.concat(F.lit("P"), (F.col("query_id") % 3).cast("string"))).alias("provinces"))
+    return dedup.link_bonus(dedup.cross_province(pool, 50.0, score=edit_score))
+
+
 def order_components(spark, sf_dir):
     """Groups of customers joined by orders of the same day and priority."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), "o_orderdate", "o_orderpriority")
@@ -143,7 +175,7 @@ def sources_of_companies(spark, sf_dir):
     return dedup.sources_of(signals(spark, sf_dir).where("value > 700000")).select("company_id", F.array_join("sources", ",").alias("sources"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (rarest_words, rare_word_candidates, index_self_test, reserved_candidates, ranked_candidates, decided_names, resolved_names, address_tie_breaks, moved_tie_breaks, contradiction_causes, status_tie_breaks, guarded_claims, changed_identities, elected_names, duplicate_companies, merged_companies, province_links, order_components, sources_of_companies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (rarest_words, rare_word_candidates, index_self_test, reserved_candidates, ranked_candidates, decided_names, resolved_names, resolved_by_edits, duplicates_by_edits, merged_chains, province_links_by_edits, address_tie_breaks, moved_tie_breaks, contradiction_causes, status_tie_breaks, guarded_claims, changed_identities, elected_names, duplicate_companies, merged_companies, province_links, order_components, sources_of_companies)}
 
 _INDEX = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names), frequency AS (SELECT word, count(*) AS ids FROM index_ GROUP BY word)"
 _KNOWN = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names WHERE NOT retired), frequency AS (SELECT word, count(*) AS ids FROM index_ GROUP BY word)"
@@ -176,6 +208,17 @@ SELECT a.query_id, CASE WHEN a.outcome = 'broken' THEN 'code' WHEN b.outcome = '
   CASE WHEN a.outcome = 'broken' OR b.outcome = 'broken' THEN 'broken' WHEN b.outcome = 'all excluded' THEN 'all excluded' ELSE c.outcome END AS outcome
 FROM a JOIN b ON a.query_id = b.query_id JOIN c ON a.query_id = c.query_id)"""
 
+def _pass(number: int, asked: str) -> str:
+    """SQL of one pass's decisions, and of the queries that it leaves."""
+    return f"""s{number} AS (SELECT k.query_id, k.id, q.city, max({EDIT_SCORE.format(a="q.name", b="k.name")}) AS edits FROM k{number} k JOIN {asked} q ON q.query_id = k.query_id GROUP BY 1, 2, 3),
+t{number} AS (SELECT query_id, id, CASE WHEN city = concat('city', id % 5) THEN least(100.0, edits + 5) ELSE edits END AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY edits DESC, id) AS c FROM s{number}) WHERE c <= 5),
+r{number} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t{number}),
+o{number} AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS top, max(CASE WHEN rank = 1 THEN score END) AS best, max(CASE WHEN rank = 2 THEN score END) AS second, count(*) AS n FROM r{number} GROUP BY query_id),
+e{number} AS (SELECT q.query_id, o.top, o.best, CASE WHEN o.best IS NULL THEN 'no candidate' WHEN o.best < 92 THEN 'too weak' WHEN o.best - coalesce(o.second, 0) >= 8 OR o.n = 1 THEN 'retained' ELSE 'ambiguous' END AS family FROM {asked} q LEFT JOIN o{number} o ON o.query_id = q.query_id),
+d{number} AS (SELECT query_id, CASE WHEN family = 'retained' THEN top END AS id, best, family FROM e{number}),
+left{number} AS (SELECT q.* FROM {asked} q JOIN d{number} d ON d.query_id = q.query_id WHERE d.family <> 'retained')"""
+
+
 SQL = {
     "rarest_words": f"WITH {NAMES}, {_INDEX}, {_RARE} SELECT query_id, word, ids, second, second_ids FROM rare",
     "rare_word_candidates": f"WITH {NAMES}, {_INDEX}, {_RARE} SELECT query_id, id FROM met",
@@ -191,6 +234,20 @@ SELECT query_id, id FROM main UNION ALL SELECT query_id, id FROM extra""",
 tops AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS top_id, max(CASE WHEN rank = 1 THEN score END) AS best, max(CASE WHEN rank = 2 THEN score END) AS second, count(*) AS n FROM ranked GROUP BY query_id),
 told AS (SELECT a.query_id, t.top_id, t.best, t.best - coalesce(t.second, 0) AS gap, CASE WHEN t.best IS NULL THEN 'no candidate' WHEN t.best < 92 THEN 'too weak' WHEN t.best - coalesce(t.second, 0) >= 8 OR t.n = 1 THEN 'retained' ELSE 'ambiguous' END AS family FROM asked a LEFT JOIN tops t ON a.query_id = t.query_id)
 SELECT query_id, CASE WHEN family = 'retained' THEN top_id END AS id, round(best, 4) AS best, round(gap, 4) AS gap, family FROM told""",
+    "resolved_by_edits": f"""WITH {NAMES}, {_KNOWN.replace("index_", "known_").replace("frequency", "known_frequency")}, {_INDEX},
+{_RARE.replace("spoken", "spoken2").replace("ranked_words", "ranked2").replace("rare AS", "rare2 AS").replace("FROM rare r", "FROM rare2 r").replace("met AS", "met2 AS").replace("frequency f", "known_frequency f").replace("index_ i", "known_ i").replace("index_ j", "known_ j").replace("r.ids <= 40", "r.ids <= 5000")},
+{_RARE.replace("r.ids <= 40", "r.ids <= 5000")},
+c1 AS (SELECT a.query_id, n.id, n.name FROM asked a JOIN names n ON starts_with(n.name, split_part(a.name, ' ', 1)) WHERE NOT n.retired),
+f1 AS (SELECT a.query_id, n.id, n.name FROM asked a JOIN names n ON contains(n.name, substr(a.name, 1, 6)) WHERE NOT n.retired AND a.query_id NOT IN (SELECT query_id FROM c1)),
+k1 AS (SELECT * FROM c1 UNION SELECT * FROM f1), {_pass(1, "asked")},
+k2 AS (SELECT k.* FROM k1 k JOIN left1 l ON l.query_id = k.query_id UNION SELECT m.query_id, n.id, n.name FROM met2 m JOIN names n ON n.id = m.id JOIN left1 l ON l.query_id = m.query_id WHERE NOT n.retired), {_pass(2, "left1")},
+k3 AS (SELECT k.* FROM k2 k JOIN left2 l ON l.query_id = k.query_id UNION SELECT l.query_id, n.id, n.name FROM left2 l JOIN names n ON starts_with(n.name, split_part(l.name, ' ', 1)) UNION SELECT m.query_id, n.id, n.name FROM met m JOIN names n ON n.id = m.id JOIN left2 l ON l.query_id = m.query_id), {_pass(3, "left2")}
+SELECT query_id, id, round(best, 4) AS best, family, 1 AS pass FROM d1 WHERE family = 'retained' UNION ALL SELECT query_id, id, round(best, 4), family, 2 FROM d2 WHERE family = 'retained' UNION ALL SELECT query_id, id, round(best, 4), family, 3 FROM d3""",
+    "duplicates_by_edits": f"WITH {NAMES}, p AS (SELECT DISTINCT least(a.query_id, b.query_id) AS older, greatest(a.query_id, b.query_id) AS younger FROM asked a JOIN asked b ON a.query_id <> b.query_id AND starts_with(b.name, split_part(a.name, ' ', 1))), s AS (SELECT older, younger, least(100.0, {EDIT_SCORE.format(a='a.name', b='b.name')} + CASE WHEN a.city = b.city THEN 5 ELSE 0 END) AS score FROM p JOIN asked a ON a.query_id = older JOIN asked b ON b.query_id = younger) SELECT older, younger, round(score, 4) AS score FROM s WHERE score >= 60",
+    "merged_chains": "SELECT s_suppkey AS company_id, CAST(s_suppkey - (s_suppkey - 1) % 10 AS BIGINT) AS kept FROM supplier WHERE s_suppkey % 10 NOT IN (0, 1)",
+    "province_links_by_edits": f"""WITH {NAMES}, s AS (SELECT a.query_id AS a, b.query_id AS b, {EDIT_SCORE.format(a='a.name', b='b.name')} AS score FROM asked a JOIN asked b ON a.query_id % 3 <> b.query_id % 3 AND a.query_id <> b.query_id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE score >= 50) WHERE r <= 3), w AS (SELECT a AS company_id, score FROM t UNION ALL SELECT b, score FROM t)
+SELECT company_id, round(least(15.0, greatest(0.0, (max(score) - 80) / 20 * 15)), 1) AS bonus FROM w GROUP BY company_id""",
     "address_tie_breaks": f"{_ADDRESS} SELECT query_id, level, winner, outcome FROM address",
     "moved_tie_breaks": f"""{_ADDRESS}, city AS (SELECT query_id, CASE WHEN outcome = 'broken' THEN winner END AS winner FROM c)
 SELECT y.query_id, CASE WHEN y.winner IS NULL AND x.winner IS NULL THEN 'still open' WHEN y.winner IS NULL THEN 'now broken' WHEN x.winner IS NULL THEN 'no longer broken' WHEN y.winner <> x.winner THEN 'other winner' WHEN x.level <> 'city' THEN 'same winner by another level' ELSE 'unchanged' END AS move

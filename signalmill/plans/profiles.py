@@ -108,6 +108,11 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (allowed_by_plan, kept_field
 _SAYS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (("tender", "has just won a contract"), ("financing", "has just been financed"), ("hiring", "is hiring"), ("registry", "is opening or moving"), ("ranking", "is among the fastest growing")))
 
 SQL = {
+    "site_pages": r"""WITH l AS (SELECT url AS site, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["\x27]([^"\x27#]+)', 1) AS all_ FROM pages), e AS (SELECT site, unnest(all_) AS url, unnest(range(len(all_))) AS place FROM l),
+f AS (SELECT site, url, min(place) AS place FROM e GROUP BY 1, 2), o AS (SELECT *, regexp_extract(site, '^https?://(?:www\.)?([^/]+)', 1) AS h, regexp_extract(url, '^https?://(?:www\.)?([^/]+)', 1) AS g FROM f),
+k AS (SELECT site, url, place, CASE WHEN regexp_matches(url, '(?i)^/t') THEN 't' WHEN regexp_matches(url, '(?i)^/a') THEN 'a' WHEN regexp_matches(url, '(?i)^/[eiou]') THEN 'vowel' END AS category FROM o WHERE g = '' OR g = h),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, category ORDER BY place) AS r FROM k WHERE category IS NOT NULL) WHERE r = 1)
+SELECT site, url, category FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY place) AS q FROM p) WHERE q <= 2""",
     "allowed_by_plan": "WITH p AS (SELECT CASE WHEN c_acctbal > 6000 THEN 2 WHEN c_acctbal > 2000 THEN 1 ELSE 0 END AS i FROM customer), names(i, plan) AS (VALUES (0, 'basic'), (1, 'plus'), (2, 'full')) SELECT a.plan, b.plan AS least, count(*) AS n FROM p JOIN names a ON p.i = a.i JOIN names b ON b.i <= p.i GROUP BY a.plan, b.plan",
     "kept_fields": f"WITH {SIGNALS} SELECT signal_type, CASE signal_type WHEN 'tender' THEN 'goods,k' WHEN 'ranking' THEN 'rank' ELSE 'change,goods,growth,k,nature,rank' END AS fields, count(*) AS n FROM signals GROUP BY signal_type",
     "verified_orders": "SELECT CASE WHEN o_custkey % 10 = 0 THEN 'no identity' WHEN o_orderstatus = 'F' THEN 'struck off' WHEN NOT o_totalprice > 50000 THEN 'inactive' ELSE 'passes' END AS outcome, count(*) AS n FROM orders GROUP BY 1",

@@ -201,6 +201,10 @@ SQL = {
     "company_numbers": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN concat(lpad(CAST(c_custkey * 7 % 10000 AS VARCHAR), 4, '0'), ' ', lpad(CAST(c_custkey * 13 % 10000 AS VARCHAR), 4, '0')) END AS number, CASE WHEN c_custkey % 2 = 0 THEN 'numbered' ELSE 'no neighbour' END AS class FROM customer",
     "whole_phrases": "SELECT lang, count(CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') THEN 1 END) AS the, count(CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])of the($|[^\\p{L}\\p{N}_])') THEN 1 END) AS of_the, count(CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])zzz($|[^\\p{L}\\p{N}_])') THEN 1 END) AS none FROM (SELECT lang, lower(text) AS t FROM documents) GROUP BY lang",
     "keyword_hits": f"SELECT doc_id, concat_ws(',', CASE WHEN contains(t, 'the') THEN 'The' END, CASE WHEN contains(t, 'ion') THEN 'ion' END, CASE WHEN contains(t, 'ete') THEN 'été' END, CASE WHEN contains(t, 'the') THEN 'the' END, {_CHANGE}) AS hits FROM (SELECT doc_id, {_FIRST_LINE} AS t FROM documents)",
+    "page_contacts": r"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+s AS (SELECT page_id, html, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS seen FROM b)
+SELECT page_id, nullif(regexp_extract(seen, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+'), '') AS email, nullif(regexp_extract(seen, '(\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}'), '') AS phone,
+CAST(nullif(regexp_extract(seen, '(?i)(\d{1,5})\s*(\+)?\s*(employ[ée]s|employees)', 1), '') AS INTEGER) AS staff, CAST(len(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["\x27]([^"\x27#]+)', 1))) AS INTEGER) AS links, length(seen) AS length FROM s""",
     "parsed_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS value, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter FROM orders",
     "amounts": f"SELECT o_orderkey, concat(replace(replace(CASE WHEN o_totalprice = floor(o_totalprice) THEN format('{{:,}}', CAST(o_totalprice AS BIGINT)) ELSE format('{{:,.2f}}', o_totalprice) END, ',', '\u00a0'), '.', ','), '\u00a0$') AS amount, {_DAY} AS day FROM orders",
     "percentages": "SELECT c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 4 > 0 THEN 100.0 ELSE 0.0 END ELSE 100.0 * (c_custkey % 4) / (c_custkey % 3 * 10) END, 4) AS percent FROM customer",

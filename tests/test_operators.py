@@ -256,3 +256,20 @@ def test_reports(spark):
     assert [(r.note_id, r.value, r.backlog) for r in reports.digest(notes, values, 2).collect()] == [(2, 9.0, 3), (3, None, 3)]
     assert one(spark, reports.classify(F.col("a"), [("x", "foo"), ("y", "o")]), "FOO") == "x" and one(spark, reports.classify(F.col("a"), []), " ") == reports.UNSTATED
     assert one(spark, reports.band_overlaps(F.col("a"), F.lit(10), F.lit(None).cast("int")), "5-19") is True and one(spark, reports.band_overlaps(F.col("a"), F.lit(10), F.lit(None).cast("int")), None) is False
+
+
+def test_merges_go_on_to_the_end(spark):
+    star = [(0, k, 95.0 + k % 5) for k in range(1, 200)] + [(500, 501, 99.0), (501, 502, 98.0), (500, 502, 96.0), (600, 601, 94.9)]
+    got = {r.company_id: r.kept for r in dedup.merges(spark.createDataFrame(star, "older long, younger long, score double")).collect()}
+    assert got == {**{k: 0 for k in range(1, 200)}, 501: 500, 502: 500}
+    chain = spark.createDataFrame([(k, k + 1, 99.0 - k / 100) for k in range(60)], "older long, younger long, score double")
+    assert {r.company_id: r.kept for r in dedup.merges(chain).collect()} == {k: k - 1 for k in range(1, 61, 2)}  # each left one has no pair any more
+
+
+def test_places_over_ranges_are_those_of_one_window(spark):
+    from signalmill.operators.relational import in_order
+
+    rows = spark.createDataFrame([("hot", i, i % 7) for i in range(500)] + [(None, i, 1) for i in range(5)] + [("one", 0, 3)], "g string, i int, n int").repartition(5)
+    got = {(r.g, r.i): (r._place, r._n, r._running, r._total) for r in in_order(rows, ["g"], [F.desc("i")], F.col("n")).collect()}
+    assert len(got) == 506 and got["hot", 499] == (0, 500, 499 % 7, sum(i % 7 for i in range(500))) and got["one", 0] == (0, 1, 3, 3)
+    assert all(got["hot", i][0] == 499 - i and got["hot", i][2] == sum(j % 7 for j in range(i, 500)) for i in range(500)) and got[None, 0] == (4, 5, 5, 5)
