@@ -110,3 +110,28 @@ def similarity(a: Column, b: Column) -> Column:
         return pd.Series([weighted_ratio(x, y) if x and y else 0.0 for x, y in zip(left, right, strict=True)], dtype=float)
 
     return score(a, b)
+
+
+#: Characters of normalised names.
+CHARACTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letters(name: Column) -> Column:
+    """How often each of CHARACTERS stands in a normalised name."""
+    return F.transform(F.split(F.lit(",".join(CHARACTERS)), ","), lambda c: F.length(name) - F.length(F.replace(name, c, F.lit(""))))
+
+
+def may_reach(a: Column, b: Column, letters_a: Column, letters_b: Column, least: float) -> Column:
+    """Whether the similarity of two normalised names can reach ``least``, by
+    Spark's own functions: names that share or repeat a word may, and others only
+    with enough letters in common, as a common subsequence has no more than those
+    and a window of the longer name that hangs over its end may be as short."""
+    words = [F.split(x, " ") for x in (a, b)]
+    shared = F.arrays_overlap(*words)
+    for own in words:
+        shared = shared | (F.size(F.array_distinct(own)) < F.size(own))
+    common = F.aggregate(F.zip_with(letters_a, letters_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    whole = 200.0 * common / (short + long)
+    part = F.when(long >= PARTIAL_FROM * short, PARTIAL_SHARE * 200.0 * common / (short + common)).otherwise(0.0)
+    return shared | (F.greatest(whole, part) >= least)

@@ -273,3 +273,22 @@ def test_places_over_ranges_are_those_of_one_window(spark):
     got = {(r.g, r.i): (r._place, r._n, r._running, r._total) for r in in_order(rows, ["g"], [F.desc("i")], F.col("n")).collect()}
     assert len(got) == 506 and got["hot", 499] == (0, 500, 499 % 7, sum(i % 7 for i in range(500))) and got["one", 0] == (0, 1, 3, 3)
     assert all(got["hot", i][0] == 499 - i and got["hot", i][2] == sum(j % 7 for j in range(i, 500)) for i in range(500)) and got[None, 0] == (4, 5, 5, 5)
+
+
+def test_bounds_drop_no_pair_that_reaches_the_score(spark):
+    import random
+
+    draw = random.Random(2)
+    words = ["ferme", "nord", "inc", "abc", "construction", "le", "x9", "gestion", "tremblay", "du"]
+    names = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 6))) for _ in range(60)] + ["".join(draw.choice("abcde ") for _ in range(draw.randint(2, 25))).strip() or "a" for _ in range(60)]
+    pairs = [(a, b, fuzzy.weighted_ratio(a, b)) for a in names for b in names]
+    df = spark.createDataFrame(pairs, "a string, b string, score double")
+    a, b = F.col("a"), F.col("b")
+    told = df.withColumn("may", fuzzy.may_reach(a, b, fuzzy.letters(a), fuzzy.letters(b), 80.0)).collect()
+    assert all(r.may for r in told if r.score >= 80) and sum(not r.may for r in told) > len(told) / 4
+
+
+def test_scores_of_known_pairs():
+    # fixed values of the published scorer's documentation and of plain arithmetic
+    for a, b, want in (("this is a test", "this is a test!", 96.55), ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear", 95.0), ("abc", "abc", 100.0), ("abc", "", 0.0), ("abcd", "wxyz", 0.0), ("transport tremblay", "tremblay transport", 95.0), ("new york mets", "new york mets vs atlanta braves", 90.0)):
+        assert abs(fuzzy.weighted_ratio(a, b) - want) < 0.01, (a, b, fuzzy.weighted_ratio(a, b))
