@@ -99,6 +99,47 @@ def test_op3(spark, tmp_path):
     assert langid.op3_langid(spark, none).count() == 0
 
 
+def test_a_text_is_the_mean_over_its_characters(spark):
+    """Windows and batches against the network run over each text by itself."""
+    from signalmill.llm.gru import ByteNetwork
+
+    draw, random_text = np.random.default_rng(1), random.Random(6)
+    net = ByteNetwork(["a", "b", "c"], 8)
+    for part in (net.ahead.p, net.behind.p, net.p):
+        for name in part:
+            part[name] = draw.normal(0, 0.5, part[name].shape).astype(np.float32)
+    texts = ["", "12 34", "a", "été", "word " * 7, "x" * 224, "y" * 225, "ñandú 日本語 " * 90, "".join(random_text.choice("abc é") for _ in range(5000)), None or "Z"]
+    for text, got in zip(texts, langid.probabilities(net, texts), strict=True):
+        if not any(map(str.isalpha, text)):
+            assert got is None
+            continue
+        data = text.encode()
+        count, body = langid.cuts(len(data))
+        padded = bytes(langid.MARGIN) + data + bytes(count * body - len(data) + langid.MARGIN)
+        sums = np.zeros(3)
+        for k in range(count):
+            window = np.frombuffer(padded[k * body : k * body + body + 2 * langid.MARGIN], np.uint8)[None]
+            ahead, behind = net.ahead.run(window)[0][:, 0], net.behind.run(window[:, ::-1])[0][::-1, 0]
+            scores = np.concatenate([ahead, behind], 1) @ net.p["v"] + net.p["c"]
+            p = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+            for i in range(body):
+                at = k * body + i
+                if at < len(data) and data[at] & 0xC0 != 0x80:
+                    sums += p[langid.MARGIN + i]
+        assert np.allclose(got, sums / len(text), atol=1e-4) and abs(got.sum() - 1) < 1e-3
+
+
+def test_op3_without_labels_and_with_ties(spark, tmp_path):
+    bare = cases.frame(spark).withColumn("lang", F.lit(None).cast("string"))
+    folder = cases.as_table(spark, bare, tmp_path / "bare")
+    got = langid.op3_langid(spark, folder).collect()
+    assert len(got) == bare.count() and {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+    same = spark.createDataFrame([(i, "the very same words", label) for i in range(40) for label in ("b", "a")], "doc_id long, text string, lang string")
+    shown = {r.lang_pred for r in langid.predict(same, langid.fitted(same)).collect()}
+    assert len(shown) == 1 and shown <= {"a", "b"}
+    assert langid.training_sample(same, documents=5, rows=6).groupby("label").size().max() <= 3
+
+
 def test_network_learns_through_time():
     from signalmill.llm.gru import ByteNetwork, Direction
 
@@ -303,6 +344,28 @@ def test_segments_cover_the_radius():
     assert all(10**9 / 2**bits < 10 for _, bits, _ in simhash.plan(10**9))
 
 
+def test_op6_takes_null_keys_and_long_texts(spark):
+    long = " ".join(f"w{i % 997}" for i in range(60_000))
+    made = [(1, long), (None, long), (2, long + " end"), (3, "other words here now"), (None, "other words here now"), (None, "alone among all texts"), (4, None), (None, ""), (5, "  ")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter([(1, 1), (None, 1), (2, 1), (3, 3), (None, 3), (None, None), (4, 4), (None, 4), (5, 4)])
+
+
+def test_pipeline_takes_awkward_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = cases.frame(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns, name
+        rows = after.select("doc_id", "text").collect()
+        if name == "language":  # texts without a letter go
+            assert not [r for r in rows if not any(map(str.isalpha, r.text or ""))]
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.count() == docs.count() > 0
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -320,6 +320,13 @@ def test_op5_matches_its_sql(spark, tables, name):
     assert got == want
 
 
+def test_mixing_takes_null_and_repeated_keys(spark):
+    made = [(None, "x" * 40, "en", "s"), (None, "x" * 40, "en", "s"), (1, "y" * 40, None, None), (1, "y" * 40, None, None), (2, None, "fr", "t"), (3, "", "fr", "t"), (4, "z" * 40, "fr", "t")]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, epochs=1, budget=10_000, weights=mixing.Weights())
+    assert Counter((r.doc_id, r.language, r.origin, r.taken) for r in got.collect()) == Counter([(None, "en", "s", 10)] * 2 + [(1, "", "", 10)] * 2 + [(4, "fr", "t", 10)])
+
+
 def test_mixing_pours_shortages_over_siblings_first(spark):
     made = [(f"{d}{s}{i}", "x" * 4, d, "en", s) for d, s, n in (("p", "s1", 10), ("p", "s2", 200), ("q", "s3", 400)) for i in range(n)]
     df = spark.createDataFrame(made, "doc_id string, text string, dom string, lang string, source string")
