@@ -9,9 +9,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from signalmill.operators.diff import KINDS, Limits, run
+from signalmill.operators.diff import KINDS, Limits, read_journal, run
 from signalmill.plans.dossiers import _folder
-from signalmill.plans.views import AS_OF, SIGNALS, Query, signals, table
+from signalmill.plans.views import AS_OF, SIGNALS, SNAPSHOTS, Query, orders_after, orders_before, signals, table
 from signalmill.sources import readers, signals as schema, sinks
 from signalmill.streaming import signals as streams
 
@@ -304,6 +304,21 @@ def archived_generations(spark, sf_dir):
     return back.select("n_nationkey", "n_name", F.lit(",".join(left)).alias("left"))
 
 
+def finished_runs(spark, sf_dir):
+    """Runs carried through: what was archived, journalled and passed on."""
+    old, new = orders_before(spark, sf_dir), orders_after(spark, sf_dir)
+    folder, journal, passed = _folder(spark, "archive"), _folder(spark, "journal"), {}
+    keys, relevant = ["key"], ["holder", "priority", "status"]
+    loose, tight = Limits.of({k: {"percent": 95.0} for k in KINDS}), Limits.of({"disappeared": {"percent": 0.1, "count": 1}})
+    runs = {"first": run(None, old, keys, relevant), "second": run(old, new, keys, relevant, earlier_runs=9, limits=loose), "third": run(old, new, keys, relevant, earlier_runs=9, limits=tight)}
+    for name, out in runs.items():
+        sinks.finish_run(out, "orders", name, folder, journal, lambda found, name=name: passed.update({name: found.count()}))
+    told = read_journal(spark, journal).select("run_id", "status", "rows")
+    archived = {name: sinks.read_snapshot(spark, f"{folder}/orders", name, "key long").count() for name in ("first", "second")}
+    more = spark.createDataFrame([(n, archived.get(n), passed.get(n)) for n in runs], "run_id string, archived long, passed long")
+    return told.join(more, "run_id")
+
+
 def notification_documents(spark, sf_dir):
     """Notifications with their signals as nested documents, parsed again."""
     o = _orders(spark, sf_dir)
@@ -409,7 +424,7 @@ def streamed_batches(spark, sf_dir):
     return spark.read.parquet(out).groupBy("source").agg(F.count_distinct("source_ref").alias("refs"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (awarded_contracts, covered_files, read_federal_contracts, read_federal_grants, read_provincial_contracts, read_building_permits, read_toronto_licences, read_vancouver_licences, new_licences, read_job_board, read_aggregated_jobs, read_growth_ranking, read_embedded_ranking, read_funding_table, read_foreign_workers, read_flat_registry, read_corporations, french_resources, corporation_moves, linked_registry, registry_name_list, inspected_zip, resolved_headers, read_fallback_journal, fallback_journal_counts, archived_generations, notification_documents, written_digest, digest_subjects, written_map, mapped_fields, streamed_signals, streamed_windows, streamed_sessions, streamed_batches)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (awarded_contracts, covered_files, read_federal_contracts, read_federal_grants, read_provincial_contracts, read_building_permits, read_toronto_licences, read_vancouver_licences, new_licences, read_job_board, read_aggregated_jobs, read_growth_ranking, read_embedded_ranking, read_funding_table, read_foreign_workers, read_flat_registry, read_corporations, french_resources, corporation_moves, linked_registry, registry_name_list, inspected_zip, resolved_headers, read_fallback_journal, fallback_journal_counts, archived_generations, finished_runs, notification_documents, written_digest, digest_subjects, written_map, mapped_fields, streamed_signals, streamed_windows, streamed_sessions, streamed_batches)}
 
 _C = "customer JOIN nation ON n_nationkey = c_nationkey"
 _O = "orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"
@@ -451,6 +466,7 @@ CASE WHEN c_custkey % 2 = 0 THEN 'H1H1H1' WHEN c_custkey % 3 = 0 THEN 'G1G' END
     "read_fallback_journal": f"SELECT CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE substr(sha256(concat('[\"', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '\",\"', o_orderpriority, '\",\"', o_orderkey, '\"]')), 1, 32) END AS id, {_D} AS day, o_orderpriority AS event, CAST(o_orderkey AS VARCHAR) AS detail FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 <> 0",
     "fallback_journal_counts": "SELECT count(CASE WHEN o_orderkey % 11 = 0 THEN 1 END) AS unreadable, count(CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 = 0 THEN 1 END) AS unknown_format FROM orders",
     "archived_generations": "SELECT n_nationkey, n_name, 'run-1,run-2,run-3,run-4,run-5' AS left FROM nation WHERE n_regionkey <> 0",
+    "finished_runs": f"WITH {SNAPSHOTS}, b AS (SELECT count(*) AS n FROM before_), a AS (SELECT count(*) AS n FROM after_), c AS (SELECT count(*) AS n FROM before_ b FULL OUTER JOIN after_ a ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.holder IS DISTINCT FROM b.holder OR a.priority IS DISTINCT FROM b.priority OR a.status IS DISTINCT FROM b.status) SELECT 'first' AS run_id, 'reference' AS status, b.n AS rows, b.n AS archived, CAST(NULL AS BIGINT) AS passed FROM b UNION ALL SELECT 'second', 'accepted', a.n, a.n, c.n FROM a, c UNION ALL SELECT 'third', 'quarantined', a.n, NULL, NULL FROM a",
     "notification_documents": "SELECT c_custkey AS note_id, c_name, CAST(count(o_orderkey) AS INTEGER) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
     "written_digest": f"WITH t AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, c_name, c_acctbal AS v FROM customer QUALIFY place <= 10) SELECT CAST(place AS INTEGER) AS place, concat('&lt;', c_name, '&gt; &amp; co – 88.3 – ', {_VALUES}, ' $') AS item, concat('<', c_name, '> & co – 88.3 – ', {_VALUES}, ' $') AS line FROM t",
     "digest_subjects": f"SELECT o_orderkey, concat(o_orderkey % 3, CASE WHEN o_orderkey % 3 > 1 THEN ' prospects' ELSE ' prospect' END, ' – ', CASE WHEN day(o_orderdate) = 1 THEN '1er' ELSE CAST(day(o_orderdate) AS VARCHAR) END, ' ', CASE month(o_orderdate) {_MONTHS} END, ' ', year(o_orderdate)) AS subject FROM orders",
