@@ -51,12 +51,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and an empty table gives an empty one.
     """
     found = materialize(edges.where("u <> v").select("u", "v").distinct())  # read three times below
-    stars = materialize(_small_star(found))
+    after = materialize(_small_star(found))
+    state = _state(after)
     for _ in range(MOST_ROUNDS):
-        after = materialize(_small_star(_large_star(stars)))
-        if _state(after) == _state(stars):
+        after, before = materialize(_small_star(_large_star(after))), state
+        state = _state(after)
+        if state == before:
             break
-        stars = after
     else:
         raise RuntimeError("components didn't settle")
     roots = after.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -128,25 +128,25 @@ def _buckets(nodes: DataFrame, segments, ask: bool) -> DataFrame:
 
 
 def forest(ids: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``radius`` among fingerprints
-    (n, words of 64 bits): pairs of ids, each a link itself. A vertex is compared
-    with those not yet reached only, so a close group takes one comparison each."""
+    """What links within ``radius`` join among fingerprints (n, words of 64 bits):
+    each group's first id with each other one of it. A vertex is compared with
+    those not yet reached only, so a close group takes one comparison each."""
     left, edges = np.arange(len(ids)), []
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
+        first, front, left = int(ids[left[0]]), [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
             near = np.bitwise_count(prints[left] ^ prints[x]).sum(1) <= radius
             if near.any():
                 hit = left[near]
-                edges += [(int(ids[x]), int(ids[i])) for i in hit]
+                edges += [(first, int(i)) for i in ids[hit]]
                 front.extend(hit)
                 left = left[~near]
     return edges
 
 
 def _forest(shown: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Links of one tile, as a spanning forest."""
+    """What the links of one tile join."""
     fps = np.unique(np.concatenate([shown.fp.to_numpy(np.int64), asked.asks.to_numpy(np.int64)])) if len(shown) and len(asked) else np.zeros(0, np.int64)
     return pd.DataFrame(forest(fps, fps.view(np.uint64)[:, None], RADIUS), columns=["u", "v"], dtype=np.int64)
 

@@ -161,7 +161,7 @@ def bucket_rows(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
 
 
 def between(edges: list[tuple[int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
-    """The links that join vertices of different labels, one for each join."""
+    """The pairs that join vertices of different labels, one for each join."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -245,11 +245,12 @@ def links(nodes: DataFrame, shape: tuple[int, int, int], radius: int, few: int =
         return found
     largest = large.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("m")).select("m.bucket", "node", "m.n")
     first = materialize(_linked(largest.withColumn("label", F.col("node")), prints, radius, block))
-    labels = connected_components(first).withColumnRenamed("root", "_root")
+    # a text is in one largest bucket, so what its links join there is told by its first id
+    labels = first.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("_root"))
     labelled = materialize(large.join(labels, "node", "left").withColumn("label", F.coalesce("_root", "node")).drop("_root"))
     apart_ = labelled.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
     rest = _linked(labelled.join(apart_, "bucket", "left_semi"), prints, radius, block)
-    return found.unionByName(first).unionByName(rest).distinct()
+    return found.unionByName(first).unionByName(rest)
 
 
 def _linked(rows: DataFrame, prints: DataFrame, radius: int, block: int) -> DataFrame:
