@@ -1,11 +1,13 @@
 """Operator 12: best-fit packing of documents into sequences of fixed size.
 
 A document's ids and the end id are one piece; only longer documents are cut, at
-every ``size`` ids. Pieces are packed online, in the order of the table: a piece
-goes into the open bin with the least free space that still holds it. Open bins
-are kept by free space, with a bitset of the spaces that occur, so that the best
-one is the lowest set bit at or above the piece's length. A task holds at most
-``OPEN_BINS`` of them; where a new one is wanted beyond, the fullest closes.
+every ``size`` ids. Pieces are packed online: a piece goes into the open bin with
+the least free space that still holds it. Open bins are kept by free space, with a
+bitset of the spaces that occur, so that the best one is the lowest set bit at or
+above the piece's length. A task holds at most ``OPEN_BINS`` of them; where a new
+one is wanted beyond, the fullest closes. The table's pieces come in runs of as
+many pieces, the longest of a run first, so that short ones fill what long ones
+leave and no bin closes before its run's short pieces have come.
 
 Each task packs its part of the table by itself and is left with open bins. These
 are packed again as pieces of their own, longest first, ``FAN`` tasks' leavings to
@@ -35,7 +37,7 @@ from signalmill.llm.common import materialize, table, text_or_empty, tune
 
 SIZE = 2048
 END_ID = 0
-OPEN_BINS = 1024
+OPEN_BINS = 4096
 #: Tasks whose open bins one task packs in the next round.
 FAN = 32
 #: Entries of a worker's memory of words; it starts anew when full.
@@ -169,14 +171,29 @@ def _packed(rows: DataFrame, turn: int, size: int, most: int) -> DataFrame:
     fields = rows.schema.fields
     length = rows.columns.index("length")
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += len(batch)
+            if count >= most:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(size, most, (turn << 56) + (TaskContext.get().partitionId() << 32))
         names, schema = [], None
-        for batch in batches:
-            schema = batch.schema
+        for rows in runs(batches):
+            schema = rows.schema
             names = [*schema.names, "bin", "offset", "used"]
-            placed = [bins.place(n) for n in batch.column(length).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64()), pa.nulls(len(placed), pa.int64())], names=names)
+            lengths = rows.column(length).to_numpy()
+            numbers, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for k in np.argsort(-lengths, kind="stable").tolist():
+                numbers[k], offsets[k] = bins.place(int(lengths[k]))
+            whole = pa.Table.from_arrays([*rows.columns, pa.array(numbers), pa.array(offsets), pa.nulls(len(lengths), pa.int64())], names=names)
+            yield from whole.to_batches()
         left = bins.open()
         if left:
             empty = [pa.nulls(len(left), f.type) for f in schema]
