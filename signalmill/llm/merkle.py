@@ -89,16 +89,17 @@ def aligned(nodes: list[str], start: int, count: int) -> list[tuple[int, list[st
 
 def tops_of(levels: list[tuple[int, list[str]]]) -> list[tuple[int, int, str]]:
     """(level, index, node) of the nodes whose parent isn't there, in order of their leaves."""
-    before, after = [], []
+    before, after = [], []  # after: a list for each level
     for level, (low, nodes) in enumerate(levels):
         up, above = levels[level + 1] if level + 1 < len(levels) else (None, [])
+        after.append([])
         for k, node in enumerate(nodes):
             parent = (low + k) // ARITY
             if up is None or parent < up:
                 before.append((level, low + k, node))
             elif parent >= up + len(above):
-                after.append((level, low + k, node))
-    return before + after[::-1]
+                after[-1].append((level, low + k, node))
+    return before + [top for tops in after[::-1] for top in tops]
 
 
 def siblings(nodes: pa.Array, low: int, index: np.ndarray) -> tuple[pa.Array, pa.Array]:
