@@ -22,7 +22,8 @@ texts are read whole; numbers of sequences have gaps; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,8 +46,25 @@ MEMORY = 400_000
 
 # Fixed value: the split of the vocabulary file's pre-tokenizer.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters without white space that composition leaves alone and that change case one by one.
-PLAIN = re.compile("[!-~¡-ȿ]+").fullmatch
+#: Letters that composition leaves alone and that change case one by one (a dotted I becomes two), then signs: two pieces.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ȿ]+)([!-/:-@[-`{-~]*)").fullmatch
+#: Characters of that kind, without white space.
+PLAIN = re.compile("[!-~¡-įı-ȿ]+").fullmatch
+
+
+class _Memory(dict):
+    """What a function gives, remembered; it starts anew when full."""
+
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, key):
+        if len(self) >= MEMORY:
+            self.clear()
+        value = self.of(key)
+        if len(key) < 200:
+            self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -62,36 +80,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _merged(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= MEMORY:
-                self.pieces.clear()
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return ids
-
-    def word(self, word: bytes) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            text = word.decode()
-            if PLAIN(text) and not any(s in text for s in self.special):
-                ids = b"".join(map(self._merged, SPLIT.findall(text.lower())))
-            else:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) < 1000:
-                self.words[word] = ids
-        return ids
+        self.words = _Memory(self._word)
+        self.pieces = _Memory(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = WORD(text)
+        if plain and not self.special(text):
+            letters, signs = plain.groups()
+            return self.pieces[letters.lower()] + self.pieces[signs] if signs else self.pieces[letters.lower()]
+        if PLAIN(text) and "\x7f" not in text and not self.special(text):
+            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.word, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
