@@ -10,10 +10,10 @@ The order decides how fast a search is, never what it finds.
 Neighbours form clusters. The index has a row for each cluster: its documents,
 its terms, and for each term the documents' impacts and their greatest. The sum
 of an item's term weights times the greatest impacts bounds every score in the
-cluster. A search visits in each part of the index the cluster with the best
-bound first; the tenth best score so far over all parts is where all others
-start. Then each part visits its clusters by falling bound and stops exactly
-where the bound is below the tenth best score; equal bounds are visited, since a
+cluster. A search visits in each shard (a batch of the index's rows) the cluster
+with the best bound first; the tenth best score so far over all shards is where
+all others start. Then each shard visits its clusters by falling bound and stops
+exactly where the bound is below the tenth best score; equal bounds are visited, since a
 smaller id wins a tie. Results are mapped back from places to ids.
 
 Items are a stated set of queries, taken in blocks of ``BLOCK`` against all rows.
@@ -49,9 +49,9 @@ SAMPLE, DEPTH = 4096, 6
 #: Rounds of exchanges of a halving.
 ROUNDS = 8
 #: A cluster has at most so many documents, and at most so many postings unless one document has more.
-CLUSTER, CLUSTER_POSTINGS = 256, 1 << 17
+CLUSTER, CLUSTER_POSTINGS = 64, 1 << 16
 #: Bytes of terms of a partition that one task bisects and indexes.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 BLOCK = 1024
 
 #: Separators as spaces, A-Z lower-cased; all bytes of other characters belong to terms.
@@ -259,8 +259,9 @@ def build_index(df: DataFrame, key: str = "doc_id", text_column: str = "text", c
         if not held:
             return
         rows = pa.Table.from_batches(held)
+        held.clear()
         order = bisected(Bags([np.frombuffer(f.as_py(), np.uint16) for f in rows.column("features")]), cluster)
-        rows = rows.drop_columns(["features"]).take(pa.array(order))
+        rows = rows.select(["key", "n", "terms", "times"]).take(pa.array(order))
         lengths = np.array([len(t.as_py()) // 4 for t in rows.column("times")])
         for start, end in clusters_of(lengths, cluster, CLUSTER_POSTINGS):
             part = rows.slice(start, end - start)
@@ -299,29 +300,32 @@ class Items:
 
 
 class Cluster:
-    """A row of the index seen by a block of items."""
+    """Row ``k`` of a batch of the index seen by a block of items; postings stay in the batch."""
 
-    def __init__(self, items: Items, row: dict):
-        self.items, self.row = items, row
-        places, numbers = items.matched(row["terms"])
-        self.place_of = np.full(len(items.number), -1)
+    def __init__(self, items: Items, batch: pa.RecordBatch, k: int):
+        self.items, self.batch, self.k = items, batch, k
+        places, numbers = items.matched(batch.column("terms")[k].as_py())
+        self.place_of = np.full(len(items.number), -1, np.int32)
         self.place_of[numbers] = places
         greatest = np.zeros(len(items.number), np.int64)
-        greatest[numbers] = np.frombuffer(row["maxima"], "<u4")[places]
+        greatest[numbers] = self.ints("maxima")[places]
         self.bounds = np.add.reduceat((items.weights * greatest)[items.terms], items.starts[:-1])
-        self.opened = None
+
+    def ints(self, column: str) -> np.ndarray:
+        return np.frombuffer(self.batch.column(column)[self.k].as_buffer(), "<u4")
+
+    def keys(self) -> list:
+        return self.batch.column("keys")[self.k].as_py()
 
     def scores(self, item: int) -> np.ndarray:
         """Scores of the cluster's documents for the block's item of that place."""
-        if self.opened is None:
-            self.opened = [np.frombuffer(self.row[c], "<u4").astype(np.int64) for c in ("starts", "places", "impacts")]
-        starts, places, impacts = self.opened
-        scores = np.zeros(len(self.row["keys"]), np.int64)
+        starts, places, impacts = self.ints("starts"), self.ints("places"), self.ints("impacts")
+        scores = np.zeros(len(self.batch.column("keys")[self.k]), np.int64)
         for t in self.items.terms[self.items.starts[item] : self.items.starts[item + 1]]:
             p = self.place_of[t]
             if p >= 0:
                 of_term = slice(starts[p], starts[p + 1])
-                scores[places[of_term]] += self.items.weights[t] * impacts[of_term]
+                scores[places[of_term]] += self.items.weights[t] * impacts[of_term].astype(np.int64)
         return scores
 
 
@@ -351,18 +355,15 @@ def _visit(items, least, most: int, first_only: bool, visits=None) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Items = items.value
         best = [Best(most, max(1, s)) for s in least]
-        seeds: dict[int, tuple[int, dict]] = {}
         visited = total = 0
         for batch in batches:
-            clusters = [Cluster(block, row) for row in batch.to_pylist()]
+            clusters = [Cluster(block, batch, k) for k in range(len(batch))]
             if not clusters:
                 continue
             bounds = np.stack([c.bounds for c in clusters])
-            if first_only:  # the best cluster of the task, scored when all are known
-                top = bounds.argmax(0)
-                for item, k in enumerate(top.tolist()):
-                    if bounds[k, item] > seeds.get(item, (0, None))[0]:
-                        seeds[item] = (int(bounds[k, item]), clusters[k])
+            if first_only:
+                for item, k in enumerate(bounds.argmax(0).tolist()):
+                    best[item].add(clusters[k].scores(item), clusters[k].keys())
                 continue
             order = np.argsort(-bounds, 0, kind="stable")
             for item in range(bounds.shape[1]):
@@ -371,9 +372,7 @@ def _visit(items, least, most: int, first_only: bool, visits=None) -> callable:
                     if bounds[k, item] < best[item].least:
                         break
                     visited += 1
-                    best[item].add(clusters[k].scores(item), clusters[k].row["keys"])
-        for item, (_, cluster) in seeds.items():
-            best[item].add(cluster.scores(item), cluster.row["keys"])
+                    best[item].add(clusters[k].scores(item), clusters[k].keys())
         if visits is not None:
             visits[0].add(visited)
             visits[1].add(total)
