@@ -36,7 +36,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ SAMPLE, DEPTH = 4096, 6
 #: Rounds of exchanges of a halving.
 ROUNDS = 8
 #: A cluster has at most so many documents, and at most so many postings unless one document has more.
-CLUSTER, CLUSTER_POSTINGS = 64, 1 << 16
+CLUSTER, CLUSTER_POSTINGS = 128, 1 << 16
 #: Bytes of terms of a partition that one task bisects and indexes.
 PART_BYTES = 12 << 20
 BLOCK = 1024
@@ -140,7 +140,7 @@ def learned(bags: Bags, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
         right = halved(bags)
         on_right, on_left = bags.counts(right), bags.counts(~right)
         weights[node] = np.log2((on_right + 1) / (on_left + 1))
-        scores = bags.sums(weights[node])
+        scores = bags.sums(weights[node]) / np.maximum(1, np.diff(bags.starts))
         limits[node] = np.median(scores)
         for child, side in ((2 * node + 1, scores <= limits[node]), (2 * node + 2, scores > limits[node])):
             learn(child, bags.of(np.flatnonzero(side)))
@@ -153,7 +153,7 @@ def routed(features: np.ndarray, weights: np.ndarray, limits: np.ndarray) -> tup
     """(leaf from left to right, score at the last halving)."""
     node, score = 0, 0.0
     while node < len(limits):
-        score = float(weights[node][features].sum())
+        score = float(weights[node][features].mean())  # the mean, or long documents would go one way
         node = 2 * node + 1 + (score > limits[node])
     return node - len(limits), score
 
@@ -242,11 +242,26 @@ class LexicalIndex:
     documents: int
 
 
+def _share(rows: DataFrame, partitions: int) -> Column:
+    """The partition of a row, so that all have about as many bytes: leaves lie one
+    after another, and a leaf's documents are dealt by hash over what it spans."""
+    sizes = {r.leaf: r.bytes for r in rows.groupBy("leaf").agg(F.sum(F.octet_length("terms")).alias("bytes")).collect()}
+    total, before, spans = max(1, sum(sizes.values())), 0, []
+    for leaf, size in sorted(sizes.items()):
+        spans += [F.lit(leaf), F.struct(F.lit(before * partitions / total).alias("first"), F.lit(size * partitions / total).alias("width"))]
+        before += size
+    if not spans:
+        return F.lit(0)
+    span = F.element_at(F.create_map(*spans), F.col("leaf"))
+    return F.floor(span["first"] + span["width"] * (F.pmod(F.xxhash64("place"), F.lit(1 << 20)) / F.lit(1 << 20))).cast("int")
+
+
 def build_index(df: DataFrame, key: str = "doc_id", text_column: str = "text", cluster: int = CLUSTER, partitions: int | None = None) -> LexicalIndex:
     """Reorders the documents and writes the index to the shared folder.
 
-    Partitions are ranges of the learned order; equal documents are spread by
-    their place. A task holds one partition.
+    Partitions are ranges of the learned order with about as many bytes each;
+    documents of one leaf of it are dealt by hash, equal ones too. A task holds
+    one partition.
     """
     spark = df.sparkSession
     rows = counted(df, key, text_column)
@@ -271,8 +286,7 @@ def build_index(df: DataFrame, key: str = "doc_id", text_column: str = "text", c
             row = _cluster(part.column("key").to_pylist(), terms, times, ms)
             yield pa.RecordBatch.from_pylist([row], INDEX_SCHEMA)
 
-    keys = ["leaf", "score", "key", "place"]
-    dealt = rows.select("leaf", "score", "key", "place", "n", "terms", "times", "features").repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    dealt = rows.withColumn("share", _share(rows, partitions)).select("share", "score", "key", "place", "n", "terms", "times", "features").repartitionById(partitions, "share").sortWithinPartitions("share", "score", "key", "place")
     folder = new_folder(spark, "lexical")
     dealt.mapInArrow(index, INDEX).write.parquet(folder)
     return LexicalIndex(spark.read.parquet(folder), documents)
