@@ -135,3 +135,8 @@ def may_reach(a: Column, b: Column, letters_a: Column, letters_b: Column, least:
     whole = 200.0 * common / (short + long)
     part = F.when(long >= PARTIAL_FROM * short, PARTIAL_SHARE * 200.0 * common / (short + common)).otherwise(0.0)
     return shared | (F.greatest(whole, part) >= least)
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """Edits over the longer length, as a score from 0 to 100; Spark's own functions alone."""
+    return F.round(100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signalmill.operators import blocking, dedup, graph, resolution, tiebreak
+from signalmill.operators import blocking, dedup, edits, graph, resolution, tiebreak
 from signalmill.plans.views import EDIT_SCORE, NAMES, SIGNALS, Query, cities, dirty_names, edit_score, registry_names, signals, table
 
 
@@ -160,7 +160,13 @@ def province_links(spark, sf_dir):
 def province_links_by_edits(spark, sf_dir):
     """The same by edits."""
     pool = dirty_names(spark, sf_dir).select(F.col("query_id").alias("company_id"), "name", "city", F.array(F.concat(F.lit("P"), (F.col("query_id") % 3).cast("string"))).alias("provinces"))
-    return dedup.link_bonus(dedup.cross_province(pool, 50.0, score=edit_score))
+    return dedup.link_bonus(dedup.cross_province_by_edits(pool, 50.0))
+
+
+def names_alike(spark, sf_dir):
+    """Detected names and registry names that differ in a fifth of their characters at most."""
+    asked, known = dirty_names(spark, sf_dir).select("name"), registry_names(spark, sf_dir).select("name")
+    return edits.similar_names(asked, known, 80.0).select(F.col("a").alias("asked"), F.col("b").alias("known"), "score")
 
 
 def order_components(spark, sf_dir):
@@ -175,7 +181,7 @@ def sources_of_companies(spark, sf_dir):
     return dedup.sources_of(signals(spark, sf_dir).where("value > 700000")).select("company_id", F.array_join("sources", ",").alias("sources"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (rarest_words, rare_word_candidates, index_self_test, reserved_candidates, ranked_candidates, decided_names, resolved_names, resolved_by_edits, duplicates_by_edits, merged_chains, province_links_by_edits, address_tie_breaks, moved_tie_breaks, contradiction_causes, status_tie_breaks, guarded_claims, changed_identities, elected_names, duplicate_companies, merged_companies, province_links, order_components, sources_of_companies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (rarest_words, rare_word_candidates, index_self_test, reserved_candidates, ranked_candidates, decided_names, resolved_names, resolved_by_edits, duplicates_by_edits, merged_chains, province_links_by_edits, address_tie_breaks, moved_tie_breaks, contradiction_causes, status_tie_breaks, guarded_claims, changed_identities, elected_names, duplicate_companies, merged_companies, province_links, names_alike, order_components, sources_of_companies)}
 
 _INDEX = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names), frequency AS (SELECT word, count(*) AS ids FROM index_ GROUP BY word)"
 _KNOWN = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names WHERE NOT retired), frequency AS (SELECT word, count(*) AS ids FROM index_ GROUP BY word)"
@@ -248,6 +254,7 @@ SELECT query_id, id, round(best, 4) AS best, family, 1 AS pass FROM d1 WHERE fam
     "province_links_by_edits": f"""WITH {NAMES}, s AS (SELECT a.query_id AS a, b.query_id AS b, {EDIT_SCORE.format(a='a.name', b='b.name')} AS score FROM asked a JOIN asked b ON a.query_id % 3 <> b.query_id % 3 AND a.query_id <> b.query_id),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE score >= 50) WHERE r <= 3), w AS (SELECT a AS company_id, score FROM t UNION ALL SELECT b, score FROM t)
 SELECT company_id, round(least(15.0, greatest(0.0, (max(score) - 80) / 20 * 15)), 1) AS bonus FROM w GROUP BY company_id""",
+    "names_alike": f"WITH {NAMES}, p AS (SELECT a.name AS asked, b.name AS known, {EDIT_SCORE.format(a='a.name', b='b.name')} AS score FROM (SELECT DISTINCT name FROM asked) a JOIN (SELECT DISTINCT name FROM names) b ON length(a.name) BETWEEN 0.79 * length(b.name) AND length(b.name) / 0.79) SELECT * FROM p WHERE score >= 80",
     "address_tie_breaks": f"{_ADDRESS} SELECT query_id, level, winner, outcome FROM address",
     "moved_tie_breaks": f"""{_ADDRESS}, city AS (SELECT query_id, CASE WHEN outcome = 'broken' THEN winner END AS winner FROM c)
 SELECT y.query_id, CASE WHEN y.winner IS NULL AND x.winner IS NULL THEN 'still open' WHEN y.winner IS NULL THEN 'now broken' WHEN x.winner IS NULL THEN 'no longer broken' WHEN y.winner <> x.winner THEN 'other winner' WHEN x.level <> 'city' THEN 'same winner by another level' ELSE 'unchanged' END AS move

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalmill.functions.fuzzy import edit_similarity
+
 AS_OF = datetime(2024, 2, 15)
 TYPES = {"purchase": "tender", "click": "financing", "signup": "registry", "view": "hiring", "error": "ranking"}
 
@@ -94,9 +96,5 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("city"), (F.col("p_partkey") % 5).cast("string")).alias("city"))
 
 
-def edit_score(a: Column, b: Column) -> Column:
-    """A similarity that SQL has as well: edits over the longer length."""
-    return F.round(100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))), 4)
-
-
+edit_score = edit_similarity
 EDIT_SCORE = "round(100.0 * (1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))), 4)"
