@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from signalmill.plans import diffs, dossiers, names, profiles, relational, rollups, scores, sources, texts
+from signalmill.plans import diffs, dossiers, names, profiles, relational, rollups, scores, sources, texts, versions
 from signalmill.plans.views import Query
 
-MODULES = (scores, relational, diffs, rollups, texts, names, profiles, dossiers, sources)
+MODULES = (scores, relational, diffs, rollups, texts, names, profiles, dossiers, sources, versions)
 
 
 def queries() -> dict[str, Query]:
