@@ -72,6 +72,89 @@ def _alike(wanted: DataFrame, pool: DataFrame, score) -> DataFrame:
     return top(scored, ["query_id"], [F.desc("score"), F.col("id")], 1).select(F.col("query_id").alias("signal_id"), F.col("id").alias("company_id"), "score")
 
 
+def find_or_create_in_order(signals: DataFrame, companies: DataFrame, decisions: DataFrame, score=dedup.pair_score) -> tuple[DataFrame, DataFrame]:
+    """:func:`find_or_create` as if the signals came one by one, in the order of
+    (detected_at, signal_id): a signal also finds the dossiers that earlier
+    signals of its batch created, by an equal or a similar name. Signals without
+    a date come first; a null name counts as empty, and empty names share a dossier.
+
+    A dossier keeps the city that it was created with; what signals say of a
+    dossier is applied after the batch (:func:`captured`).
+
+    Returns (signal_id, company_id, new_name, id, how, status), where ``new_name``
+    is the name of the new dossier that the signal created or went to; and
+    (signal_id, company_id, new_name, score) of new dossiers and the one most like
+    each, from 90 on but below 95.
+    """
+    told, near = find_or_create(signals, companies, decisions, score)
+    alone = materialize(told.where("how in ('created', 'similar name')").select("signal_id", "how", "status", F.col("company_id").alias("_near")))
+    said = signals.select("signal_id", F.coalesce(normalise(F.col("name")), F.lit("")).alias("name"), F.nullif(F.lower(F.trim("city")), F.lit("")).alias("city"), F.struct("detected_at", "signal_id").alias("at")).join(alone, "signal_id")
+    pool = _alike(said.select("signal_id", "name", "city"), companies.where("id is null").select("company_id", "name", "city"), score)
+    waiting = materialize(said.join(pool.select("signal_id", F.col("company_id").alias("_pool"), F.col("score").alias("_pool_score")), "signal_id", "left"))
+    links = materialize(_links(waiting.select("name").distinct(), score))
+    made = _creators(waiting, links)
+    # What each signal finds among the dossiers created before it: its own name first, then the most similar one.
+    found = waiting.join(made.select("name", F.col("at").alias("_made")), "name", "left").withColumn("_own", F.when(F.col("_made") == F.col("at"), "self").when(F.col("_made") < F.col("at"), "equal"))
+    theirs = made.select(F.col("name").alias("other"), F.col("city").alias("_theirs"), F.col("at").alias("_since"))
+    met = waiting.select("signal_id", "name", "city", "at").join(links, "name").join(theirs, "other").where(F.col("_since") < F.col("at"))
+    met = met.withColumn("score", F.when(F.col("city") == F.col("_theirs"), F.col("close")).otherwise(F.col("far"))).where(F.col("score") >= dedup.NOTE)
+    best = top(met, ["signal_id"], [F.desc("score"), F.col("_since")], 1).select("signal_id", "other", F.col("score").alias("_new_score"))
+    found = found.join(best, "signal_id", "left")
+    # Of equally similar dossiers the older one, and those of the pool are older.
+    pooled = F.coalesce("_pool_score", F.lit(0.0)) >= F.coalesce("_new_score", F.lit(0.0))
+    reached = F.greatest(F.coalesce("_pool_score", F.lit(0.0)), F.coalesce("_new_score", F.lit(0.0)))
+    how = F.when(F.col("_own") == "self", "created").when(F.col("_own") == "equal", "equal name").otherwise("similar name")
+    found = materialize(found.withColumn("how", how).withColumn("_pooled", pooled).withColumn("_reached", reached).drop("_near"))
+    similar = F.col("how") == "similar name"
+    placed = found.select("signal_id", F.when(similar & F.col("_pooled"), F.col("_pool")).alias("company_id"), F.when(~similar, F.col("name")).when(~F.col("_pooled"), F.col("other")).alias("new_name"), F.lit(None).cast("string").alias("id"), "how", "status")
+    noted = found.where((F.col("how") == "created") & (F.col("_reached") >= dedup.NOTE)).select("signal_id", F.when(F.col("_pooled"), F.col("_pool")).alias("company_id"), F.when(~F.col("_pooled"), F.col("other")).alias("new_name"), F.col("_reached").alias("score"))
+    return told.where("how not in ('created', 'similar name')").unionByName(placed), noted
+
+
+def _links(names: DataFrame, score) -> DataFrame:
+    """(name, other, far, close): names of dossiers that a signal of a name looks
+    at, with the scores in different cities and in the same one."""
+    from signalmill.operators import blocking
+
+    met = blocking.all_by_prefix(names.select(F.col("name").alias("id"), "name"), names.select(F.col("name").alias("query_id"), "name"))
+    pairs = met.where("query_id <> id").select(F.col("query_id").alias("name"), F.col("id").alias("other")).distinct()
+    scored = pairs.withColumn("far", score(F.col("name"), F.col("other"), F.lit("x"), F.lit("y"))).withColumn("close", score(F.col("name"), F.col("other"), F.lit("x"), F.lit("x")))
+    return scored.where(F.col("close") >= dedup.NOTE)
+
+
+def _creators(signals: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, city, at): the signals that create a dossier, at most one of a name.
+
+    A signal creates one exactly if nothing before it that it would go to did: an
+    equal name, or a similar one from 95 on. That is settled in rounds. Whoever has
+    such a creator before it goes; whoever has nobody undecided before it creates.
+    The earliest one left is always among these, so each round settles someone, and
+    all signals of a name are settled once its creator is. Signals of one name and
+    city stand behind the first of them, and per name there is one creator and one
+    earliest undecided signal in all or in a city, so nothing is paired with all
+    signals of a frequent name.
+    """
+    open_ = signals.where(F.coalesce("_pool_score", F.lit(0.0)) < dedup.MERGE)
+    left = materialize(open_.groupBy("name", "city").agg(F.min("at").alias("at")))
+    merging = links.where(F.col("close") >= dedup.MERGE).select("name", "other", (F.col("far") >= dedup.MERGE).alias("anywhere"))
+    merging = materialize(merging)
+    made = left.limit(0)
+    while not left.isEmpty():
+        firsts = left.groupBy("name").agg(F.min("at").alias("_first"))
+        local = left.select(F.col("name").alias("other"), F.col("city"), F.col("at").alias("_before"))
+        asked = left.join(merging, "name")
+        before = asked.where("anywhere").drop("anywhere").join(firsts.select(F.col("name").alias("other"), F.col("_first").alias("_before")), "other")
+        before = before.unionByName(asked.where("not anywhere").drop("anywhere").join(local, ["other", "city"]).select("other", "name", "city", "at", "_before"))
+        held = before.where(F.col("_before") < F.col("at")).select("name", "at").distinct()
+        free = materialize(left.join(firsts, "name").where(F.col("at") == F.col("_first")).drop("_first").join(held, ["name", "at"], "left_anti"))
+        made = materialize(made.unionByName(free.select("name", "city", "at")))
+        rest = left.join(free.select("name").distinct(), "name", "left_anti")
+        news = free.select(F.col("name").alias("other"), F.col("city").alias("_theirs"), F.col("at").alias("_since"))
+        gone = rest.join(merging, "name").join(news, "other").where((F.col("_since") < F.col("at")) & (F.col("anywhere") | (F.col("city") == F.col("_theirs")))).select("name", "at").distinct()
+        left = materialize(rest.join(gone, ["name", "at"], "left_anti"))
+    return made
+
+
 def captured(assigned: DataFrame, fields: list[str], companies: DataFrame, keep: tuple[str, ...] = ("website",), registry: DataFrame | None = None) -> DataFrame:
     """(company_id, fields): the fields of dossiers after a batch. What a source
     says goes before what the dossier had, the latest of the batch before others;

@@ -45,6 +45,12 @@ def noted_dossiers(spark, sf_dir):
     return dossiers.find_or_create(raw, _companies(spark, sf_dir), told, _edits)[1].select("signal_id", "company_id", F.round("score", 4).alias("score"))
 
 
+def dossiers_in_order(spark, sf_dir):
+    """The same as if signals came one by one: they also find each other's dossiers."""
+    raw, told = _raw(spark, sf_dir)
+    return dossiers.find_or_create_in_order(raw, _companies(spark, sf_dir), told, _edits)[0]
+
+
 def captured_fields(spark, sf_dir):
     """Fields of dossiers after a batch: the source first, then the registry."""
     s, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -338,7 +344,7 @@ def best_of_each(spark, sf_dir):
     return top(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 1).drop("rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (found_dossiers, noted_dossiers, captured_fields, written_ids, undone_ids, undo_outcomes, deciding_forms, replay_without_city, replay_without_legal_forms, activity_ceiling, competitors, preset_grades, needs_in_territory, listed_channels, client_categories, new_synonyms, dashboard_rows, subscribers, reasons, bands_that_overlap, absent_profile, commonest_brands, calibration_alarms, ingested_signals, nearest_names, retired_names, decoded_statuses, guarded_runs, settled_quarantine, rejected_quarantine, moved_companies, joint_runs, new_sites, fingerprints, best_of_each)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (found_dossiers, noted_dossiers, dossiers_in_order, captured_fields, written_ids, undone_ids, undo_outcomes, deciding_forms, replay_without_city, replay_without_legal_forms, activity_ceiling, competitors, preset_grades, needs_in_territory, listed_channels, client_categories, new_synonyms, dashboard_rows, subscribers, reasons, bands_that_overlap, absent_profile, commonest_brands, calibration_alarms, ingested_signals, nearest_names, retired_names, decoded_statuses, guarded_runs, settled_quarantine, rejected_quarantine, moved_companies, joint_runs, new_sites, fingerprints, best_of_each)}
 
 _DOSSIERS = f"""WITH {NAMES},
 companies AS (SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 3 = 0 THEN concat('N', s_suppkey) END AS id, n.name, concat('city', s_suppkey % 5) AS city FROM supplier JOIN names n ON n.id = s_suppkey),
@@ -387,6 +393,18 @@ SELECT signal_id, holder AS company_id, CAST(NULL AS VARCHAR) AS new_name, id, C
 UNION ALL SELECT r.signal_id, coalesce(e.company_id, n.company_id), CASE WHEN e.company_id IS NULL AND n.company_id IS NULL THEN r.name END, NULL, CASE WHEN e.company_id IS NOT NULL THEN 'equal name' WHEN n.company_id IS NOT NULL THEN 'similar name' ELSE 'created' END, r.status
 FROM rest r LEFT JOIN equal e ON e.signal_id = r.signal_id LEFT JOIN near n ON n.signal_id = r.signal_id AND n.score >= 95""",
     "noted_dossiers": f"{_DOSSIERS} SELECT signal_id, company_id, round(score, 4) AS score FROM near WHERE score < 95",
+    "dossiers_in_order": f"""{_DOSSIERS.replace("WITH", "WITH RECURSIVE", 1)},
+seq AS (SELECT r.signal_id, r.name, r.city, r.status, row_number() OVER (ORDER BY r.since, r.signal_id) AS i, n.company_id AS pool_id, coalesce(n.score, 0) AS pool_score FROM rest r LEFT JOIN near n ON n.signal_id = r.signal_id WHERE r.signal_id NOT IN (SELECT signal_id FROM equal)),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(name VARCHAR, city VARCHAR, i BIGINT)[]) AS made
+  UNION ALL SELECT q.i, CASE WHEN q.pool_score < 95 AND len(list_filter(w.made, lambda m: m.name = q.name OR (starts_with(m.name, split_part(q.name, ' ', 1)) AND least(100.0, {EDIT_SCORE.format(a="q.name", b="m.name")} + CASE WHEN m.city = q.city THEN 5 ELSE 0 END) >= 95))) = 0 THEN list_append(w.made, struct_pack(name := q.name, city := q.city, i := q.i)) ELSE w.made END FROM walk w JOIN seq q ON q.i = w.i + 1),
+made AS (SELECT unnest(made, recursive := true) FROM (SELECT made FROM walk ORDER BY i DESC LIMIT 1)),
+likes AS (SELECT q.i, m.name AS other, m.i AS since, least(100.0, {EDIT_SCORE.format(a="q.name", b="m.name")} + CASE WHEN m.city = q.city THEN 5 ELSE 0 END) AS score FROM seq q JOIN made m ON m.i < q.i AND m.name <> q.name AND starts_with(m.name, split_part(q.name, ' ', 1))),
+likest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, since) AS place FROM likes WHERE score >= 90) WHERE place = 1)
+SELECT signal_id, holder AS company_id, CAST(NULL AS VARCHAR) AS new_name, id, CASE WHEN holder IS NOT NULL THEN 'holder' ELSE 'created with id' END AS how, 'resolved' AS status FROM judged WHERE kept
+UNION ALL SELECT r.signal_id, e.company_id, NULL, NULL, 'equal name', r.status FROM rest r JOIN equal e ON e.signal_id = r.signal_id
+UNION ALL SELECT q.signal_id, CASE WHEN m.i IS NULL AND q.pool_score >= coalesce(l.score, 0) THEN q.pool_id END, CASE WHEN m.i IS NOT NULL THEN q.name WHEN q.pool_score < coalesce(l.score, 0) THEN l.other END, NULL,
+  CASE WHEN m.i = q.i THEN 'created' WHEN m.i IS NOT NULL THEN 'equal name' ELSE 'similar name' END, q.status
+FROM seq q LEFT JOIN made m ON m.name = q.name AND m.i <= q.i LEFT JOIN likest l ON l.i = q.i""",
     "captured_fields": """WITH s AS (SELECT o_custkey, arg_max(concat(o_orderkey, ' street'), row(o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS address, arg_max(concat('http://', o_orderkey), row(o_orderdate, o_orderkey)) FILTER (starts_with(o_orderpriority, '1')) AS website FROM orders GROUP BY o_custkey)
 SELECT c_custkey AS company_id, coalesce(s.address, CASE WHEN c_custkey % 2 = 0 THEN 'old street' END, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END) AS address, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'http://old' END, s.website) AS website FROM customer LEFT JOIN s ON o_custkey = c_custkey""",
     "written_ids": f"{_IDS} SELECT company_id, id, status, city FROM w",
