@@ -46,12 +46,10 @@ def until_known_run(rows: DataFrame, known: DataFrame, ref: str, order: list[Col
     """Rows in order up to the first run of ``run`` known references, which stops
     the reading; ``keys`` part the rows into streams that are read alone."""
     told = rows.join(known.select(ref).distinct().withColumn("_known", F.lit(1)), ref, "left").withColumn("_known", F.coalesce("_known", F.lit(0)))
-    along = W.partitionBy(*keys).orderBy(*order)
-    told = told.withColumn("_fresh", F.sum(1 - F.col("_known")).over(along.rowsBetween(W.unboundedPreceding, 0)))
-    island = W.partitionBy(*keys, "_fresh").orderBy(*order)
-    told = told.withColumn("_length", F.sum("_known").over(island.rowsBetween(W.unboundedPreceding, 0)))
-    stopped = F.max(F.when(F.col("_length") >= run, 1).otherwise(0)).over(along.rowsBetween(W.unboundedPreceding, -1))
-    return told.withColumn("_stopped", F.coalesce(stopped, F.lit(0))).where("_stopped = 0").drop("_known", "_fresh", "_length", "_stopped")
+    placed = _streaks(told, keys, order, F.col("_known") == 1, F.col("_known") == 0)
+    stops = placed.where(F.col("streak") >= run).groupBy(*keys).agg(F.min("_place").alias("_stop"))
+    met = placed.alias("p").join(stops.alias("s"), [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "left")
+    return met.where(F.col("_stop").isNull() | (F.col("_place") <= F.col("_stop"))).select(*[F.col(f"p.`{c}`") for c in told.columns if c != "_known"])
 
 
 def in_order(rows: DataFrame, keys: list[str], order: list[Column], amount: Column | None = None) -> DataFrame:
@@ -85,12 +83,20 @@ def spread_sample(rows: DataFrame, order: list[Column], k: int, keys: list[str])
     return placed.where(taken).drop("_place", "_n", "_running", "_total")
 
 
+def _streaks(rows: DataFrame, keys: list[str], order: list[Column], counted: Column, resets: Column) -> DataFrame:
+    from signalmill.operators.ranges import carried
+
+    told = rows.withColumn("_one", F.coalesce(counted.cast("int"), F.lit(0))).withColumn("_reset", F.coalesce(resets, F.lit(False)))
+    placed = in_order(told, keys, order, F.col("_one"))
+    since = carried(placed, keys, [F.col("_place")], F.when(F.col("_reset"), F.col("_running") - F.col("_one")), "_since")
+    return since.select(*rows.columns, "_place", (F.col("_running") - F.coalesce("_since", F.lit(0))).alias("streak"))
+
+
 def consecutive(rows: DataFrame, keys: list[str], order: list[Column], counted: Column, resets: Column) -> DataFrame:
-    """Adds ``streak``: how many counted rows there were since the last reset."""
-    along = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    told = rows.withColumn("_era", F.sum(resets.cast("int")).over(along))
-    era = W.partitionBy(*keys, "_era").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return told.withColumn("streak", F.sum(counted.cast("int")).over(era)).drop("_era")
+    """Adds ``streak``: how many counted rows there were since the last reset, the
+    reset's own row included. The running count of a key is taken over ranges, and
+    what it was at the last reset is carried along, so no key is in one task."""
+    return _streaks(rows, keys, order, counted, resets).drop("_place")
 
 
 def densest_window(rows: DataFrame, keys: list[str], at: str, days: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalmill.operators import blocking, graph, relational, resolution
+from signalmill.operators import blocking, graph, ranges, relational, resolution
 from signalmill.plans.views import NAMES, SIGNALS, SNAPSHOTS, Query, dirty_names, orders_after, orders_before, registry_names, signals, table
 
 
@@ -165,6 +165,32 @@ def longest_streaks(spark, sf_dir):
     return told.groupBy("company_id").agg(F.max("streak").alias("streak"))
 
 
+def signups_before(spark, sf_dir):
+    """Each purchase with its user's latest signup until then."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    found = ranges.as_of(e.where("event_type = 'purchase'"), e.where("event_type = 'signup'"), ["user_id"], "ts", "signup", ("event_id",))
+    return found.select("event_id", F.col("signup.event_id").alias("signup_id"))
+
+
+def orders_open_together(spark, sf_dir):
+    """Pairs of a customer's orders that are open on a same day; every tenth order is open for years."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    open_ = F.when(F.col("o_orderkey") % 10 == 0, F.lit(1500)).otherwise(F.col("o_orderkey") % 200).cast("int")
+    o = o.withColumn("closed", F.col("o_orderdate") + F.make_interval(days=open_))
+    pairs = ranges.overlapping(o, o, "o_orderdate", "closed", ["o_custkey"])
+    return pairs.where("a.o_orderkey < b.o_orderkey").select(F.col("a.o_orderkey").alias("first"), F.col("b.o_orderkey").alias("second"))
+
+
+def lines_in_seasons(spark, sf_dir):
+    """Lines shipped in each nation's season; seasons overlap and have no key."""
+    n = F.col("n_nationkey").cast("int")
+    start = F.to_timestamp(F.lit("1995-01-01")) + F.make_interval(days=n * 90)
+    seasons = table(spark, sf_dir, "nation").select("n_name", start.alias("from"), (start + F.make_interval(days=n % 4 * 300)).alias("until"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("from"), F.col("l_shipdate").alias("until"), "l_quantity")
+    pairs = ranges.overlapping(seasons, lines, "from", "until")
+    return pairs.groupBy(F.col("a.n_name").alias("n_name")).agg(F.count("*").alias("lines"), F.round(F.sum("b.l_quantity"), 2).alias("quantity"))
+
+
 def first_terminal(spark, sf_dir):
     """The first final event of each company and day, null if none is."""
     s = signals(spark, sf_dir)
@@ -187,7 +213,7 @@ def repeated_text_sources(spark, sf_dir):
     return c.groupBy(F.length("text").alias("length")).agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.min("turn").alias("first")).where("n > 1")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (exact_names, prefix_lookup, fragment_lookup, big_orders_of_known, without_orders, both_words, name_words, word_counts, all_values, upserted_state, inserted_state, deleted_state, greatest_order_value, uncovered_signals, links_both_ways, latest_signal, counts_by_condition, repeated_names, prefix_by_status, date_range, same_in_any_case, previous_state, distinct_pairs, out_of_territory, spread_sample, until_known, longest_streaks, first_terminal, claims, repeated_text_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (exact_names, prefix_lookup, fragment_lookup, big_orders_of_known, without_orders, both_words, name_words, word_counts, all_values, upserted_state, inserted_state, deleted_state, greatest_order_value, uncovered_signals, links_both_ways, latest_signal, counts_by_condition, repeated_names, prefix_by_status, date_range, same_in_any_case, previous_state, distinct_pairs, out_of_territory, spread_sample, until_known, longest_streaks, signups_before, orders_open_together, lines_in_seasons, first_terminal, claims, repeated_text_sources)}
 
 _WORDS = "index_ AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS word FROM names)"
 
@@ -218,6 +244,9 @@ SQL = {
     "out_of_territory": f"WITH {SIGNALS} SELECT DISTINCT company_id FROM signals WHERE source = 'source3' AND company_id IN (SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (0, 1, 2, 3)) AND company_id NOT IN (SELECT company_id FROM signals WHERE source <> 'source3' AND value > 1150000)",
     "spread_sample": f"WITH {SIGNALS}, placed AS (SELECT signal_type, signal_id, row_number() OVER (PARTITION BY signal_type ORDER BY signal_id) - 1 AS place, count(*) OVER (PARTITION BY signal_type) AS n FROM signals), steps AS (SELECT unnest(range(12)) AS i) SELECT DISTINCT signal_type, signal_id FROM placed JOIN steps ON place = CAST(floor(i * n / 12) AS BIGINT)",
     "until_known": f"WITH {SIGNALS}, a AS (SELECT company_id, signal_id, CASE WHEN signal_id % 3 <> 0 THEN 1 ELSE 0 END AS known FROM signals), b AS (SELECT *, sum(1 - known) OVER (PARTITION BY company_id ORDER BY signal_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM a), c AS (SELECT *, sum(known) OVER (PARTITION BY company_id, island ORDER BY signal_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS length FROM b), d AS (SELECT company_id, max(CASE WHEN length = 5 THEN signal_id END) AS stop FROM c GROUP BY company_id) SELECT c.company_id, c.signal_id FROM c JOIN d ON c.company_id = d.company_id WHERE d.stop IS NULL OR c.signal_id >= d.stop",
+    "signups_before": "SELECT p.event_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts",
+    "orders_open_together": "WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderdate + to_days(CAST(CASE WHEN o_orderkey % 10 = 0 THEN 1500 ELSE o_orderkey % 200 END AS INTEGER)) AS closed FROM orders) SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderdate <= b.closed AND b.o_orderdate <= a.closed",
+    "lines_in_seasons": "SELECT n_name, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM nation JOIN lineitem ON l_shipdate BETWEEN TIMESTAMP '1995-01-01' + to_days(CAST(n_nationkey * 90 AS INTEGER)) AND TIMESTAMP '1995-01-01' + to_days(CAST(n_nationkey * 90 + n_nationkey % 4 * 300 AS INTEGER)) GROUP BY n_name",
     "longest_streaks": f"WITH {SIGNALS}, a AS (SELECT company_id, signal_id, signal_type, sum(CASE WHEN signal_type = 'tender' THEN 1 ELSE 0 END) OVER (PARTITION BY company_id ORDER BY signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS era FROM signals), b AS (SELECT company_id, era, count(CASE WHEN signal_type <> 'tender' THEN 1 END) AS n FROM a GROUP BY company_id, era) SELECT company_id, max(n) AS streak FROM b GROUP BY company_id",
     "first_terminal": f"WITH {SIGNALS}, a AS (SELECT company_id, CAST(detected_at AS DATE) AS day, min(CASE WHEN signal_type IN ('tender', 'ranking') THEN signal_id END) AS first FROM signals GROUP BY 1, 2) SELECT a.company_id, a.day, s.signal_type AS outcome FROM a LEFT JOIN signals s ON a.first = s.signal_id",
     "claims": "WITH a AS (SELECT o_custkey * 12 + month(o_orderdate) AS id, o_orderkey AS query_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS since FROM orders), b AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY since ASC NULLS LAST, query_id) AS r FROM a), c AS (SELECT query_id, CASE WHEN n > 2 THEN 'nobody' WHEN r = 1 THEN 'kept' ELSE 'refused' END AS outcome FROM b) SELECT outcome, count(*) AS n, CAST(sum(query_id) AS BIGINT) AS queries FROM c GROUP BY outcome",
