@@ -9,13 +9,14 @@ didn't retain.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalmill.functions.fuzzy import similarity
-from signalmill.functions.text import company_number
+from signalmill.functions.text import company_number, words
 from signalmill.operators import blocking
 from signalmill.operators.relational import top
 from signalmill.operators.storage import materialize
@@ -32,12 +33,22 @@ class Rule:
     city_bonus: float = 5.0
 
 
+def scored_names(queries: DataFrame, candidates: DataFrame, score=None) -> DataFrame:
+    """(query_id, id, name, score) of distinct candidates (query_id, id, name)."""
+    # A given number of partitions: pairs have few bytes and take long, so Spark would put them in too few tasks.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = candidates.join(queries.select("query_id", F.col("name").alias("asked")), "query_id").repartition(tasks, "query_id", "id")
+    return pairs.select("query_id", "id", "name", (similarity(F.col("asked"), F.col("name")) if score is None else score).alias("score"))
+
+
+def best_of(scored: DataFrame) -> DataFrame:
+    return top(scored, ["query_id", "id"], [F.col("score").desc(), F.col("name")], 1).select("query_id", "id", "name", "score")
+
+
 def best_names(queries: DataFrame, candidates: DataFrame, score=None) -> DataFrame:
     """(query_id, id, name, score): of an id's names the most similar one; equally
     similar ones by name. ``candidates`` has (query_id, id, name)."""
-    pairs = candidates.distinct().join(queries.select("query_id", F.col("name").alias("asked")), "query_id")
-    scored = pairs.withColumn("score", similarity(F.col("asked"), F.col("name")) if score is None else score)
-    return top(scored, ["query_id", "id"], [F.col("score").desc(), F.col("name")], 1).select("query_id", "id", "name", "score")
+    return best_of(scored_names(queries, candidates.distinct(), score))
 
 
 def ranked(queries: DataFrame, best: DataFrame, cities: DataFrame | None = None, rule: Rule = Rule()) -> DataFrame:
@@ -71,21 +82,28 @@ def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = Non
     name, retired). A pass takes what the one before didn't retain, and what was
     found before stays a candidate. ``score`` is a column of ``asked`` and
     ``name``, the weighted similarity by default."""
-    left, done, found = queries, None, None
+    left, done, scored = queries, None, None
     for number in (1, 2, 3):
         known = names.where("not retired").select("id", "name") if number < 3 else names.select("id", "name")
-        started = blocking.by_prefix(known, left, limit).select("query_id", "id", "name")
+        ways = []
+        if number != 2:  # the second pass has the first words of the first one, by the same names
+            ways.append(blocking.by_prefix(known, left, limit).select("query_id", "id", "name"))
         if number == 1:
-            unmatched = left.join(started.select("query_id").distinct(), "query_id", "left_anti")
-            started = started.unionByName(blocking.by_fragment(known, unmatched, limit).select("query_id", "id", "name"))
+            unmatched = left.join(ways[0].select("query_id").distinct(), "query_id", "left_anti")
+            ways.append(blocking.by_fragment(known, unmatched, limit).select("query_id", "id", "name"))
         else:
-            index = blocking.word_index(known)
+            # Only words that are asked count, and only retired names can be new where all are known.
+            asked = left.select(F.explode(words(F.col("name"))).alias("word")).distinct()
+            index = materialize(blocking.word_index(known).join(asked, "word", "left_semi"))
             wide = blocking.by_rarest_word(left, index, blocking.word_frequency(index), frequent)
-            started = started.unionByName(wide.join(known, "id").select("query_id", "id", "name"))
-        if found is not None:
-            started = started.unionByName(found.join(left.select("query_id"), "query_id", "left_semi"))
-        found = materialize(started.distinct())
-        told = materialize(decide(left, ranked(left, best_names(left, found, score), cities, rule), rule).withColumn("pass", F.lit(number)))
+            ways.append(wide.join(known, "id").select("query_id", "id", "name"))
+        found = reduce(DataFrame.unionByName, ways).distinct()
+        if scored is not None:  # what was scored stays a candidate and isn't scored again
+            scored = scored.join(left.select("query_id"), "query_id", "left_semi")
+            found = found.join(scored.select("query_id", "id", "name"), ["query_id", "id", "name"], "left_anti")
+        fresh = scored_names(left, found, score)
+        scored = materialize(fresh if scored is None else scored.unionByName(fresh))
+        told = materialize(decide(left, ranked(left, best_of(scored), cities, rule), rule).withColumn("pass", F.lit(number)))
         retained = told.where(F.col("family") == RETAINED) if number < 3 else told
         done = retained if done is None else done.unionByName(retained)
         left = left.join(retained.select("query_id"), "query_id", "left_anti")
