@@ -29,11 +29,18 @@ def _day(column: str):
     return F.date_format(column, "yyyy-MM-dd")
 
 
+PAGE_RECORDS = 5_000
+
+
 def _pages(spark, rows, record, wrap):
-    """JSON documents, one file for each nation: its records, wrapped."""
+    """JSON documents: the records of each nation, wrapped, about ``PAGE_RECORDS``
+    at most to a document, so that none grows with the table."""
     path = _folder(spark, "pages")
-    made = rows.groupBy("c_nationkey").agg(F.to_json(F.collect_list(record)).alias("all")).select("c_nationkey", wrap(F.col("all")).alias("value"))
-    made.write.partitionBy("c_nationkey").text(path)
+    pages = F.pmod(F.xxhash64("record"), F.greatest(F.lit(1), F.ceil(F.col("n") / PAGE_RECORDS)))
+    counts = rows.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    each = rows.select("c_nationkey", record.alias("record")).join(F.broadcast(counts), "c_nationkey").withColumn("page", pages)  # a row for each of 25 nations
+    made = each.groupBy("c_nationkey", "page").agg(F.to_json(F.collect_list("record")).alias("all")).select("c_nationkey", "page", wrap(F.col("all")).alias("value"))
+    made.write.partitionBy("c_nationkey", "page").text(path)
     return path
 
 
@@ -157,8 +164,8 @@ def read_aggregated_jobs(spark, sf_dir):
 
 def read_growth_ranking(spark, sf_dir):
     """A ranking as lines of text; other lines are left out."""
-    c = _customers(spark, sf_dir).where("c_custkey <= 9999")
-    line = F.when(F.col("c_custkey") % 5 == 0, F.lit("Rank  Company")).otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" "), "c_name", F.lit("   "), "n_name", F.lit(", ON  1,"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit(" %")))
+    c = _customers(spark, sf_dir)
+    line = F.when(F.col("c_custkey") % 5 == 0, F.lit("Rank  Company")).otherwise(F.concat(F.lit(" "), (F.col("c_custkey") % 9999 + 1).cast("string"), F.lit(" "), "c_name", F.lit("   "), "n_name", F.lit(", ON  1,"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit(" %")))
     path = _folder(spark, "ranking")
     c.select(line.alias("value")).write.text(path)
     return readers.growth_ranking(spark, path).select("source_ref", "name", "city", "region", F.col("fields")["growth"].alias("growth"))
@@ -256,21 +263,30 @@ def inspected_zip(spark, sf_dir):
     return seen.select("member", F.array_join("header", "|").alias("header"), F.array_join("first", "|").alias("first"), (F.col("bytes") > 0).alias("filled"), F.lit(len(members)).alias("members"), F.lit(unpacked).alias("unpacked"))
 
 
+HEADERS = (("Nom de l'Entreprise", "Code postal", "Région administrative"), ("ENTREPRISE", "code_postal", "VILLE region"), ("region", "Entreprise (nom)", "Mon Code-Postal"), ("Nom", "Code postal", "Pays"))
+ROLES = {"name": ["entreprise", "nom"], "code": ["code_postal"], "region": ["region"]}
+
+
 def resolved_headers(spark, sf_dir):
-    """Roles of columns by their titles, and what a file lacks."""
-    columns = ["Nom de l'Entreprise", "Code postal", "VILLE", "Région administrative"]
-    found = schema.header_aliases(columns, {"name": ["entreprise", "nom"], "code": ["code_postal"], "region": ["region"]})
-    lacking = []
-    for wanted in ({"id": ["neq"]}, {"city": ["ville"]}):
+    """Customers in four files of different titles, read by the roles of their
+    columns; the last file lacks one and is refused before any row is read."""
+    c = _customers(spark, sf_dir)
+    values = {"name": F.col("c_name"), "code": F.col("c_custkey").cast("string"), "region": F.col("n_name")}
+    order = (("name", "code", "region"), ("name", "code", "region"), ("region", "name", "code"), ("name", "code", "region"))
+    read, refused = None, []
+    for k, (titles, roles) in enumerate(zip(HEADERS, order, strict=True)):
+        path = _csv(spark, c.where(F.col("c_custkey") % 4 == k).select(*[values[r].alias(t) for t, r in zip(titles, roles, strict=True)]), "titles")
+        file = readers.csv(spark, path)
         try:
-            schema.header_aliases(columns, wanted)
+            role = schema.header_aliases(file.columns, ROLES)
+            schema.check_columns(file, list(role.values()))
         except ValueError as error:
-            lacking.append(str(error).split(";")[0])
-    try:
-        schema.check_columns(table(spark, sf_dir, "nation"), ["n_name", "x", "a"])
-    except ValueError as error:
-        lacking.append(str(error).split(";")[0])
-    return spark.createDataFrame([*found.items(), *(("lacking", x) for x in lacking)], "role string, column string")
+            refused.append((k, str(error).split(";")[0]))
+            continue
+        one = file.select(F.lit(k).alias("file"), *[F.col(f"`{role[r]}`").alias(r) for r in ROLES])
+        read = one if read is None else read.unionByName(one)
+    told = read.groupBy("file").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.sum(F.col("code").cast("long")).alias("codes"), F.countDistinct("region").alias("regions"))
+    return told.join(spark.createDataFrame(refused, "file int, refused string"), "file", "full_outer")
 
 
 def read_fallback_journal(spark, sf_dir):
@@ -448,7 +464,7 @@ SQL = {
     "new_licences": f"WITH {_LICENCES} SELECT source_ref, name, (SELECT count(*) FROM licences) AS keys FROM licences WHERE name >= 'Customer#000000500'",
     "read_job_board": f"SELECT concat('job_board:', o_orderkey) AS source_ref, c_name AS name, o_orderpriority AS title, n_name AS city, 'Québec' AS region, CAST(o_orderkey % 9 AS DOUBLE) AS value, {_D} AS day FROM {_O} WHERE o_orderkey % 2 = 0",
     "read_aggregated_jobs": f"SELECT concat('aggregated_jobs:', CASE WHEN o_orderkey % 3 = 1 THEN 'http://j/' ELSE '' END, o_orderkey) AS source_ref, c_name AS name, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 1 THEN concat('http://j/', o_orderkey) END AS website, CASE WHEN o_orderkey % 3 = 0 THEN {_D} END AS day FROM {_O} WHERE o_orderkey % 3 < 2",
-    "read_growth_ranking": f"SELECT concat('growth_ranking:', c_custkey, ':', {_N}) AS source_ref, c_name AS name, n_name AS city, 'ON' AS region, concat('1', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) AS growth FROM {_C} WHERE c_custkey <= 9999 AND c_custkey % 5 <> 0",
+    "read_growth_ranking": f"SELECT concat('growth_ranking:', c_custkey % 9999 + 1, ':', {_N}) AS source_ref, c_name AS name, n_name AS city, 'ON' AS region, concat('1', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) AS growth FROM {_C} WHERE c_custkey % 5 <> 0",
     "read_embedded_ranking": f"SELECT concat('embedded_ranking:', c_custkey, ':', {_N}) AS source_ref, c_name AS name, n_name AS city, 'QC' AS region, CAST(c_custkey AS VARCHAR) AS growth FROM {_C}",
     "read_funding_table": f"SELECT c_name AS name, round(o_totalprice, 2) AS value, {_D} AS day FROM {_O} WHERE o_orderkey % 6 <> 0",
     "read_foreign_workers": "SELECT n_name AS name, concat(n_nationkey, ' rue A, B') AS address, 'QC' AS region, CAST(n_nationkey AS DOUBLE) AS value, DATE '2024-07-01' AS day FROM nation WHERE n_nationkey % 5 <> 0",
@@ -462,7 +478,7 @@ CASE WHEN c_custkey % 2 = 0 THEN n_name WHEN c_custkey % 3 = 0 THEN 'Lévis' ELS
 CASE WHEN c_custkey % 2 = 0 THEN 'H1H1H1' WHEN c_custkey % 3 = 0 THEN 'G1G' END AS postal_code, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN 'Bois' ELSE 'Pain' END AS sector FROM {_C} WHERE c_custkey % 7 <> 0""",
     "registry_name_list": "WITH n AS (SELECT c_custkey AS id, 'old' AS name, TRUE AS retired FROM customer WHERE c_custkey % 7 <> 0 UNION SELECT c_custkey, 'site', FALSE FROM customer UNION SELECT c_custkey, 'main site', FALSE FROM customer WHERE c_custkey % 3 = 0 UNION SELECT s_suppkey, 'site', FALSE FROM supplier) SELECT name, retired, count(*) AS n FROM n GROUP BY 1, 2 HAVING count(*) > 1",
     "inspected_zip": "SELECT 'in/a.csv' AS member, 'key|name' AS header, (SELECT concat(n_nationkey, '|', n_name, ', x') FROM nation ORDER BY n_nationkey LIMIT 1) AS first, TRUE AS filled, 3 AS members, (SELECT count(*) FROM nation) AS unpacked UNION ALL SELECT 'b.csv', '', '', FALSE, 3, (SELECT count(*) FROM nation)",
-    "resolved_headers": "SELECT * FROM (VALUES ('name', 'Nom de l''Entreprise'), ('code', 'Code postal'), ('region', 'Région administrative'), ('lacking', 'no column for [''id'']'), ('lacking', 'missing columns: [''a'', ''x'']')) t(role, \"column\")",
+    "resolved_headers": f"SELECT CAST(c_custkey % 4 AS INTEGER) AS file, count(*) AS n, min(c_name) AS first, CAST(sum(c_custkey) AS BIGINT) AS codes, count(DISTINCT n_name) AS regions, CAST(NULL AS VARCHAR) AS refused FROM {_C} WHERE c_custkey % 4 < 3 GROUP BY 1 UNION ALL SELECT 3, NULL, NULL, NULL, NULL, 'no column for [''region'']'",
     "read_fallback_journal": f"SELECT CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE substr(sha256(concat('[\"', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '\",\"', o_orderpriority, '\",\"', o_orderkey, '\"]')), 1, 32) END AS id, {_D} AS day, o_orderpriority AS event, CAST(o_orderkey AS VARCHAR) AS detail FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 <> 0",
     "fallback_journal_counts": "SELECT count(CASE WHEN o_orderkey % 11 = 0 THEN 1 END) AS unreadable, count(CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 = 0 THEN 1 END) AS unknown_format FROM orders",
     "archived_generations": "SELECT n_nationkey, n_name, 'run-1,run-2,run-3,run-4,run-5' AS left FROM nation WHERE n_regionkey <> 0",
