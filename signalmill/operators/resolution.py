@@ -8,6 +8,7 @@ didn't retain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalmill.functions.fuzzy import similarity
-from signalmill.functions.text import company_number, words
+from signalmill.functions.text import company_number, normalise, words
 from signalmill.operators import blocking
 from signalmill.operators.relational import top
 from signalmill.operators.storage import materialize
@@ -110,6 +111,27 @@ def resolve(queries: DataFrame, names: DataFrame, cities: DataFrame | None = Non
     return done
 
 
+def decisions_under(queries: DataFrame, names: DataFrame, cities: DataFrame | None = None, rule: Rule = Rule(), *, forms: Callable[[Column], Column] | None = None, asked: Callable[[Column], Column] | None = None, limit: int | None = None, score=None) -> DataFrame:
+    """Decisions of the first pass under another rule, to be compared with those
+    under the usual one: ``forms`` gives the array of names that a registry name
+    (id, name) stands for, none if it is left out; ``asked`` what is asked instead
+    of a detected name; ``limit`` bounds the candidates of a first word."""
+    known = names if forms is None else names.select("id", F.explode(forms(F.col("name"))).alias("name")).where("name <> ''")
+    wanted = queries if asked is None else queries.withColumn("name", asked(F.col("name")))
+    found = blocking.by_prefix(known, wanted, limit).select("query_id", "id", "name")
+    return decide(wanted, ranked(wanted, best_names(wanted, found, score), cities, rule), rule)
+
+
+def of_letters(least: int) -> Callable[[Column], Column]:
+    """Leaves out names with fewer letters and digits."""
+    return lambda name: F.when(F.length(F.replace(normalise(name), F.lit(" "), F.lit(""))) >= least, F.array(name)).otherwise(F.array().cast("array<string>"))
+
+
+def several_names(name: Column) -> Column:
+    """The names of a record that holds several, parted by two strokes."""
+    return F.filter(F.transform(F.split(name, "//"), lambda n: F.trim(n)), lambda n: n != "")
+
+
 def competitors(candidates: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Candidates within the gap of the best one."""
     best = F.max("score").over(W.partitionBy("query_id"))

@@ -121,6 +121,40 @@ def replay_without_legal_forms(spark, sf_dir):
     return dossiers.replay(_decided(spark, sf_dir, True), _decided(spark, sf_dir, True, True))
 
 
+def _compared(spark, sf_dir, before: dict, after: dict, asked=None, known=None):
+    """A replay of the detected names under two rules."""
+    score = edit_score(F.col("asked"), F.col("name"))
+    asked = dirty_names(spark, sf_dir) if asked is None else asked
+    known = registry_names(spark, sf_dir).where("not retired").select("id", "name") if known is None else known
+    told = [resolution.decisions_under(asked, known, cities(spark, sf_dir), score=score, **rule) for rule in (before, after)]
+    return dossiers.replay(*told)
+
+
+def replay_with_longer_forms(spark, sf_dir):
+    """What decisions become when registry names of fewer than 26 letters don't count."""
+    return _compared(spark, sf_dir, {}, {"forms": resolution.of_letters(26)})
+
+
+def replay_without_parentheses(spark, sf_dir):
+    """What decisions become when detected names lose what is in parentheses."""
+    from signalmill.functions.text import without_parentheses
+
+    asked = dirty_names(spark, sf_dir).withColumn("name", F.when(F.col("query_id") % 2 == 0, F.concat("name", F.lit(" (old)"))).otherwise(F.col("name")))
+    return _compared(spark, sf_dir, {}, {"asked": lambda n: F.trim(without_parentheses(n))}, asked)
+
+
+def replay_without_limit(spark, sf_dir):
+    """What decisions become when more than forty candidates of a first word count."""
+    return _compared(spark, sf_dir, {"limit": 40}, {})
+
+
+def replay_of_several_names(spark, sf_dir):
+    """What decisions become when a record of several names counts as each of them."""
+    k = registry_names(spark, sf_dir).where("not retired")
+    known = k.select("id", F.when(F.col("id") % 2 == 0, F.concat("name", F.lit(" // "), F.concat("name", F.lit("s")))).otherwise(F.col("name")).alias("name"))
+    return _compared(spark, sf_dir, {}, {"forms": resolution.several_names}, known=known)
+
+
 def activity_ceiling(spark, sf_dir):
     """Companies whose activity could break a tie."""
     s = table(spark, sf_dir, "supplier")
@@ -344,7 +378,7 @@ def best_of_each(spark, sf_dir):
     return top(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 1).drop("rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (found_dossiers, noted_dossiers, dossiers_in_order, captured_fields, written_ids, undone_ids, undo_outcomes, deciding_forms, replay_without_city, replay_without_legal_forms, activity_ceiling, competitors, preset_grades, needs_in_territory, listed_channels, client_categories, new_synonyms, dashboard_rows, subscribers, reasons, bands_that_overlap, absent_profile, commonest_brands, calibration_alarms, ingested_signals, nearest_names, retired_names, decoded_statuses, guarded_runs, settled_quarantine, rejected_quarantine, moved_companies, joint_runs, new_sites, fingerprints, best_of_each)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (found_dossiers, noted_dossiers, dossiers_in_order, captured_fields, written_ids, undone_ids, undo_outcomes, deciding_forms, replay_without_city, replay_without_legal_forms, replay_with_longer_forms, replay_without_parentheses, replay_without_limit, replay_of_several_names, activity_ceiling, competitors, preset_grades, needs_in_territory, listed_channels, client_categories, new_synonyms, dashboard_rows, subscribers, reasons, bands_that_overlap, absent_profile, commonest_brands, calibration_alarms, ingested_signals, nearest_names, retired_names, decoded_statuses, guarded_runs, settled_quarantine, rejected_quarantine, moved_companies, joint_runs, new_sites, fingerprints, best_of_each)}
 
 _DOSSIERS = f"""WITH {NAMES},
 companies AS (SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 3 = 0 THEN concat('N', s_suppkey) END AS id, n.name, concat('city', s_suppkey % 5) AS city FROM supplier JOIN names n ON n.id = s_suppkey),
@@ -373,6 +407,19 @@ def _decision(ranked: str) -> str:
 FROM asked LEFT JOIN (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS top, max(CASE WHEN rank = 1 THEN score END) AS best, max(CASE WHEN rank = 2 THEN score END) AS second, count(*) AS n FROM {ranked} GROUP BY query_id) t ON t.query_id = asked.query_id"""
 
 
+def _ranked_of(p: str, asked: str, names: str, limit: int | None = None) -> str:
+    """SQL of ranked candidates of ``asked`` among ``names``, as ``{p}ranked``."""
+    return f"""{p}found AS (SELECT * FROM (SELECT a.query_id, a.name AS asked, a.city, n.id, n.name, row_number() OVER (PARTITION BY a.query_id ORDER BY n.name, n.id) AS place FROM {asked} a JOIN {names} n ON n.name <> '' AND starts_with(n.name, split_part(a.name, ' ', 1))) {f"WHERE place <= {limit}" if limit else ""}),
+{p}best AS (SELECT query_id, id, city, max({EDIT_SCORE.format(a="asked", b="name")}) AS edits FROM {p}found GROUP BY 1, 2, 3),
+{p}cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY edits DESC, id) AS c FROM {p}best) WHERE c <= 5),
+{p}ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, CASE WHEN city = concat('city', id % 5) THEN least(100.0, edits + 5) ELSE edits END AS score FROM {p}cut))"""
+
+
+def _replayed(tables: str, before: tuple, after: tuple) -> str:
+    both = _REPLAY.format(before=_decision("x_ranked"), after=_decision("y_ranked"))
+    return f"WITH {NAMES}, known AS (SELECT id, name FROM names WHERE NOT retired){tables}, {_ranked_of('x_', *before)}, {_ranked_of('y_', *after)}, {both}"
+
+
 _FULL = _RANKED.replace("WHERE place <= 2000", "")
 _PLAIN_CITY = "plain AS (SELECT query_id, id, edits AS score, row_number() OVER (PARTITION BY query_id ORDER BY edits DESC, id) AS rank FROM cut)"
 _BARE = """bare AS (SELECT a.query_id, regexp_replace(a.name, '( (inc|co))+$', '') AS asked, a.city, n.id, regexp_replace(n.name, '( (inc|co))+$', '') AS name FROM asked a JOIN names n ON starts_with(n.name, split_part(a.name, ' ', 1)) WHERE NOT n.retired),
@@ -414,6 +461,10 @@ SELECT c_custkey AS company_id, coalesce(s.address, CASE WHEN c_custkey % 2 = 0
 CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 3 THEN NULL ELSE array_to_string(list_transform(string_split(concat(p_name, ' two'), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') END AS published,
 CASE p_partkey % 4 WHEN 0 THEN 'elected name' WHEN 1 THEN p_brand WHEN 2 THEN 'before provenances' END AS provenance, CASE WHEN p_partkey % 4 IN (1, 2) THEN 'V' END AS status FROM part""",
     "replay_without_city": f"WITH {NAMES}, {_FULL}, {_PLAIN_CITY}, " + _REPLAY.format(before=_decision("ranked"), after=_decision("plain")),
+    "replay_with_longer_forms": _replayed(", longer AS (SELECT * FROM known WHERE length(replace(name, ' ', '')) >= 26)", ("asked", "known"), ("asked", "longer")),
+    "replay_without_parentheses": _replayed(", told AS (SELECT query_id, city, CASE WHEN query_id % 2 = 0 THEN concat(name, ' (old)') ELSE name END AS name FROM asked)", ("told", "known"), ("asked", "known")),
+    "replay_without_limit": _replayed("", ("asked", "known", 40), ("asked", "known")),
+    "replay_of_several_names": _replayed(", whole AS (SELECT id, CASE WHEN id % 2 = 0 THEN concat(name, ' // ', name, 's') ELSE name END AS name FROM known), each AS (SELECT * FROM known UNION ALL SELECT id, concat(name, 's') FROM known WHERE id % 2 = 0)", ("asked", "whole"), ("asked", "each")),
     "replay_without_legal_forms": f"WITH {NAMES}, {_FULL}, {_BARE}, " + _REPLAY.format(before=_decision("ranked"), after=_decision("bare_ranked")),
     "activity_ceiling": "SELECT s_nationkey AS company_id, count(CASE WHEN s_suppkey % 3 <> 0 THEN 1 END) > 0 AS own, count(CASE WHEN s_acctbal > -500 THEN 1 END) AS theirs, count(CASE WHEN s_suppkey % 3 <> 0 THEN 1 END) > 0 AND count(CASE WHEN s_acctbal > -500 THEN 1 END) = count(*) AND count(*) > 1 AS breakable FROM supplier GROUP BY s_nationkey",
     "competitors": f"WITH {NAMES}, {_RANKED} SELECT query_id, id, round(score, 4) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ranked) WHERE best - score < 8",
