@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import band
-from signalmill.operators import reports
+from signalmill.operators import reports, sketches
+from signalmill.operators.storage import shared_folder
 from signalmill.plans.views import SIGNALS, Query, signals, table
 
 
@@ -155,7 +158,32 @@ def revenue_by_nation(spark, sf_dir):
     return per.groupBy("r_name", "n_name").agg(F.round(F.sum("revenue"), 0).alias("revenue"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (synthesis, classified_documents, scan_report, provenance, exclusive_companies, field_inventory, order_funnel, buyer_coverage, code_hierarchy, code_pareto, names_for_share, order_rollup, compared_populations, status_crosstab, names_per_id, price_histogram, quantity_plateaus, read_cost, company_sizes, age_bands, sources_per_company, text_coverage, delivery_outcomes, revenue_by_nation)}
+RANKS = (0.1, 0.5, 0.9)
+
+
+def merged_sketches(spark, sf_dir):
+    """Users and values of each type from sketches stored by day: whether they lie
+    within the stated errors of what all rows give, for all days and for half of them."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("item", F.concat_ws("-", "user_id", F.get_json_object("props", "$.k")))
+    folder = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.sketched(e, ["event_type", "day"], F.col("item"), F.col("value")).write.parquet(folder)
+    told = None
+    for part, days in (("all", "true"), ("odd days", "day(day) % 2 = 1")):
+        kept = e.where(days)
+        found = sketches.merged(spark.read.parquet(folder).where(days), ["event_type"], RANKS)
+        exact = kept.groupBy("event_type").agg(F.countDistinct("item").alias("items"))
+        below = kept.join(F.broadcast(found.select("event_type", "quantiles")), "event_type")  # a row for each type
+        share = lambda i, op: F.avg((F.col("value") < F.col("quantiles")[i] if op == "<" else F.col("value") <= F.col("quantiles")[i]).cast("double"))
+        ranks = below.groupBy("event_type").agg(*[share(i, op).alias(f"{name}{i}") for i in range(len(RANKS)) for name, op in (("low", "<"), ("high", "<="))])
+        within = F.lit(True)
+        for i, rank in enumerate(RANKS):
+            within = within & (F.col(f"low{i}") <= rank + sketches.rank_error()) & (F.col(f"high{i}") >= rank - sketches.rank_error())
+        one = found.join(exact, "event_type").join(ranks, "event_type").select(F.lit(part).alias("part"), "event_type", "n", "items", (F.abs(F.col("distinct") - F.col("items")) <= F.ceil(F.col("items") * sketches.distinct_error())).alias("items_within"), within.alias("ranks_within"))
+        told = one if told is None else told.unionByName(one)
+    return told
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (synthesis, classified_documents, scan_report, provenance, exclusive_companies, field_inventory, order_funnel, buyer_coverage, code_hierarchy, code_pareto, names_for_share, order_rollup, compared_populations, status_crosstab, names_per_id, price_histogram, quantity_plateaus, read_cost, company_sizes, age_bands, sources_per_company, text_coverage, delivery_outcomes, revenue_by_nation, merged_sketches)}
 
 _FIRST = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY signal_id) AS r FROM signals) WHERE r = 1)"
 _PARTS = "counts AS (SELECT p_type, p_name, count(*) AS n FROM part GROUP BY p_type, p_name), told AS (SELECT *, sum(n) OVER (PARTITION BY p_type ORDER BY n DESC, p_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running, sum(n) OVER (PARTITION BY p_type) AS total FROM counts)"
@@ -164,6 +192,7 @@ _FUNNEL = " UNION ALL ".join(f"SELECT '{n}' AS stage, {i} AS place, count(*) AS
 _FIELDS = " UNION ALL ".join(f"SELECT source, '{name}' AS field, CAST({value} AS VARCHAR) AS value FROM signals" for name, value in (("k", "k"), ("goods", "goods"), ("change", "change"), ("nature", "nature"), ("rank", "k * 10"), ("growth", "k * 3")))
 
 SQL = {
+    "merged_sketches": "WITH e AS (SELECT *, concat(user_id, '-', json_extract_string(props, '$.k')) AS item FROM events) SELECT 'all' AS part, event_type, count(*) AS n, count(DISTINCT item) AS items, TRUE AS items_within, TRUE AS ranks_within FROM e GROUP BY event_type UNION ALL SELECT 'odd days', event_type, count(*), count(DISTINCT item), TRUE, TRUE FROM e WHERE day(ts) % 2 = 1 GROUP BY event_type",
     "synthesis": f"WITH {SIGNALS}, {_FIRST} SELECT 'signal_type' AS dimension, signal_type AS bucket, count(*) AS companies FROM firsts GROUP BY signal_type UNION ALL SELECT 'source', source, count(*) FROM firsts GROUP BY source UNION ALL SELECT 'goods', goods, count(*) FROM firsts GROUP BY goods",
     "classified_documents": "SELECT lang, CASE WHEN trim(coalesce(text, '')) = '' THEN '(unstated)' WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'licence' WHEN contains(text, '@') THEN 'contact' WHEN regexp_matches(text, '(?i)password|token') THEN 'secret' WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 'short word' ELSE '(unclassed)' END AS class, count(*) AS n FROM documents GROUP BY 1, 2",
     "scan_report": "SELECT o_orderpriority AS category, CAST(sum(CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 13 ELSE 0 END) AS BIGINT) AS new, CAST(sum(CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 5 ELSE 0 END) AS BIGINT) AS duplicates, count(CASE WHEN o_orderkey % 17 = 0 THEN 1 END) AS errors FROM orders GROUP BY o_orderpriority",
