@@ -80,12 +80,12 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (state_versions, failed_runs
 _COUNTS = "count(*) AS n, CAST(sum(key) AS BIGINT) AS keys, CAST(sum(holder) AS BIGINT) AS holders, count(priority) AS priorities, count(CASE WHEN status = 'X' THEN 1 END) AS changed"
 SQL = {
     "state_versions": f"""WITH {SNAPSHOTS}, b AS (SELECT {_COUNTS} FROM before_), a AS (SELECT {_COUNTS} FROM after_)
-SELECT 1 AS version, 'reference' AS status, n AS rows_read, b.* FROM b UNION ALL SELECT 2, 'accepted', n, a.* FROM a UNION ALL SELECT 3, 'quarantined', (SELECT n FROM b), a.* FROM a
+SELECT CAST(1 AS BIGINT) AS version, 'reference' AS status, n AS rows_read, b.* FROM b UNION ALL SELECT 2, 'accepted', n, a.* FROM a UNION ALL SELECT 3, 'quarantined', (SELECT n FROM b), a.* FROM a
 UNION ALL SELECT 4, 'written', NULL, b.* FROM b UNION ALL SELECT 5, 'undone', NULL, a.* FROM a""",
     "failed_runs": f"""WITH {SNAPSHOTS}, b AS (SELECT count(*) AS n FROM before_), a AS (SELECT count(*) AS n FROM after_),
 c AS (SELECT count(*) AS n FROM before_ b FULL OUTER JOIN after_ a ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.holder IS DISTINCT FROM b.holder OR a.priority IS DISTINCT FROM b.priority OR a.status IS DISTINCT FROM b.status),
 s AS (SELECT unnest(['state', 'changes', 'manifest', 'deliver', 'delivered']) AS step)
-SELECT step, CASE WHEN step IN ('deliver', 'delivered') THEN a.n ELSE b.n END AS seen, CASE WHEN step IN ('deliver', 'delivered') THEN 1 ELSE 0 END AS waiting, 2 AS version, a.n AS after, 2 AS versions,
+SELECT step, CASE WHEN step IN ('deliver', 'delivered') THEN a.n ELSE b.n END AS seen, CASE WHEN step IN ('deliver', 'delivered') THEN 1 ELSE 0 END AS waiting, 2 AS version, a.n AS after, CAST(2 AS BIGINT) AS versions,
        CASE WHEN step = 'delivered' THEN 2 ELSE 1 END * c.n AS passed FROM s, a, b, c""",
     "undone_versions": f"{_IDS} SELECT company_id, id AS written, status AS written_status, CASE WHEN place IS NOT NULL THEN id_before ELSE id END AS undone, CASE WHEN place IS NOT NULL THEN 'not found' ELSE status END AS undone_status FROM w",
 }
