@@ -74,13 +74,7 @@ def _value(kind: Column, hit: Column) -> Column:
 
 
 def _looks_live(value: Column) -> Column:
-    """Letters and digits mixed, and at least 8 different characters."""
-    varied = F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) >= 8
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied
-
-
-def _looks_generated(value: Column) -> Column:
-    """The same, with the whole value's characters counted."""
+    """Letters and digits mixed, and at least 8 different characters in the whole value."""
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
@@ -100,7 +94,7 @@ def scan(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: C
 def spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(row, kind, start, end, value_hash, owners, repositories, live, owned), one
     for each span. ``owned`` is what redaction goes by: base spans whose value few
-    owners hold, whatever it looks like, and added ones that look generated too.
+    owners hold, whatever it looks like, and added ones that are live.
 
     Values are hashed before they are shuffled. Owners are counted by distinct
     (hash, owner, repository) first, so a value in a third of the rows is summed
@@ -113,10 +107,10 @@ def spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     measured = F.when(F.col("kind") == 0, F.length("value")).otherwise(F.length("hit"))
     enough = F.element_at(F.array(*[F.lit(LEAST[k]) for k in KINDS]), F.col("kind") + 1)
     placed = each.withColumn("end", end).withColumn("value", value).where(measured >= enough)
-    hashed = placed.select("row", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.xxhash64("value").alias("value_hash"), F.length("value").alias("value_length"), _looks_live(F.col("value")).alias("mixed"), ((F.col("kind") < len(BASE_KINDS)) | _looks_generated(F.col("value"))).alias("secret"), "owner", "repository")
+    hashed = placed.select("row", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", F.xxhash64("value").alias("value_hash"), F.length("value").alias("value_length"), _looks_live(F.col("value")).alias("mixed"), "owner", "repository")
     held = hashed.select("value_hash", "owner", "repository").distinct().groupBy("value_hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
     few = F.col("owners") <= max_owners
-    return hashed.join(held, "value_hash").select("row", "kind", "start", "end", "value_hash", "value_length", "owners", "repositories", (F.col("mixed") & few).alias("live"), (F.col("secret") & few).alias("owned"))
+    return hashed.join(held, "value_hash").select("row", "kind", "start", "end", "value_hash", "value_length", "owners", "repositories", (F.col("mixed") & few).alias("live"), ((F.col("mixed") | (F.col("kind") < len(BASE_KINDS))) & few).alias("owned"))
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text_column: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -196,7 +190,7 @@ told AS (SELECT r, owner, kind, hits[i] AS hit, sum(length(gaps[i]) + length(hit
 valued AS (SELECT *, {value} AS value FROM told),
 large AS (SELECT r, owner, kind, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, value FROM valued WHERE (CASE WHEN kind = 0 THEN length(value) ELSE length(hit) END) >= {least}),
 held AS (SELECT value, count(DISTINCT owner) AS owners FROM large GROUP BY value),
-judged AS (SELECT l.*, h.owners, h.owners <= {MAX_OWNERS} AND regexp_matches(l.value, '[0-9]') AND regexp_matches(l.value, '[A-Za-z]') AND len(list_distinct(string_split(substr(l.value, 1, 64), ''))) >= 8 AS live FROM large l JOIN held h ON l.value = h.value),
+judged AS (SELECT l.*, h.owners, h.owners <= {MAX_OWNERS} AND regexp_matches(l.value, '[0-9]') AND regexp_matches(l.value, '[A-Za-z]') AND len(list_distinct(string_split(l.value, ''))) >= 8 AS live FROM large l JOIN held h ON l.value = h.value),
 kept AS (SELECT *, concat({name}, ':', start, ':', stop) AS span FROM judged WHERE kind < 3 OR live),
 spans AS (
   SELECT r, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex,

@@ -228,6 +228,14 @@ def test_owned_credentials_go_whatever_they_look_like(spark):
     assert all(shown[10 + i] == copied for i in range(3)) and shown[20] == made[-1][1]
 
 
+def test_variety_counts_the_whole_value(spark):
+    tail, plain = "z" * 100 + "Bcdefgh1", "z" * 100 + "b1"
+    made = [(1, f'x "{tail}" y', "en", "o1"), (2, f'x "{plain}" y', "en", "o2"), (3, f"password={tail}", "en", "o3"), (4, None, None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: [(secrets.KINDS[s.kind], s.live) for s in r.spans] for r in secrets.find_secrets(df).collect()}
+    assert found == {1: [("quoted", True)], 2: [], 3: [("assign", True)], 4: []}
+
+
 def brute_quality(text: str) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
