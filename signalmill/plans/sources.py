@@ -60,8 +60,7 @@ def _csv(spark, rows, kind: str, **options) -> str:
     return path
 
 
-def awarded_contracts(spark, sf_dir):
-    """Open-contracting releases: a signal for each supplier of each award."""
+def _awards(spark, sf_dir, part_bytes=None):
     text = lambda x: F.lit(x)
     key, supplier = F.col("o_orderkey").cast("string"), F.concat(F.lit("s"), F.col("c_custkey").cast("string"))
     parties = F.array(
@@ -72,10 +71,20 @@ def awarded_contracts(spark, sf_dir):
     award = F.struct(text("a1").alias("id"), _day("o_orderdate").alias("date"), text("active").alias("status"), F.struct(F.col("o_totalprice").alias("amount"), text("CAD").alias("currency")).alias("value"), F.array(F.struct(supplier.alias("id"), F.concat(F.lit(" "), "c_name").alias("name"))).alias("suppliers"))
     release = F.struct(F.concat(text("o"), key).alias("ocid"), _day("o_orderdate").alias("date"), F.struct(text("b").alias("id"), text("nobody").alias("name")).alias("buyer"), parties.alias("parties"), F.struct(F.col("o_orderpriority").alias("title"), items.alias("items")).alias("tender"), F.array(award).alias("awards"))
     path = _pages(spark, _orders(spark, sf_dir), release, lambda x: F.concat(F.lit('{"releases":'), x, F.lit("}")))
-    got = readers.contract_awards(spark, path)
+    got = readers.contract_awards(spark, path, part_bytes=part_bytes)
     return got.select("source_ref", "name", "value", "title", "address", "city", "region", F.to_date("detected_at").alias("day"), F.col("fields")["buyer"].alias("buyer"), F.col("fields")["classes"].alias("classes"), F.col("fields")["needs"].alias("needs"))
 
 
+def awarded_contracts(spark, sf_dir):
+    """Open-contracting releases: a signal for each supplier of each award."""
+    return _awards(spark, sf_dir)
+
+
+def awards_in_ranges(spark, sf_dir):
+    """The same with each file read by many tasks, in ranges of bytes."""
+    return _awards(spark, sf_dir, part_bytes=1 << 18)
+
+
 def covered_files(spark, sf_dir):
     """Files of releases that reach a date, by their names."""
     o = table(spark, sf_dir, "orders")
@@ -440,7 +449,7 @@ def streamed_batches(spark, sf_dir):
     return spark.read.parquet(out).groupBy("source").agg(F.count_distinct("source_ref").alias("refs"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (awarded_contracts, covered_files, read_federal_contracts, read_federal_grants, read_provincial_contracts, read_building_permits, read_toronto_licences, read_vancouver_licences, new_licences, read_job_board, read_aggregated_jobs, read_growth_ranking, read_embedded_ranking, read_funding_table, read_foreign_workers, read_flat_registry, read_corporations, french_resources, corporation_moves, linked_registry, registry_name_list, inspected_zip, resolved_headers, read_fallback_journal, fallback_journal_counts, archived_generations, finished_runs, notification_documents, written_digest, digest_subjects, written_map, mapped_fields, streamed_signals, streamed_windows, streamed_sessions, streamed_batches)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (awarded_contracts, awards_in_ranges, covered_files, read_federal_contracts, read_federal_grants, read_provincial_contracts, read_building_permits, read_toronto_licences, read_vancouver_licences, new_licences, read_job_board, read_aggregated_jobs, read_growth_ranking, read_embedded_ranking, read_funding_table, read_foreign_workers, read_flat_registry, read_corporations, french_resources, corporation_moves, linked_registry, registry_name_list, inspected_zip, resolved_headers, read_fallback_journal, fallback_journal_counts, archived_generations, finished_runs, notification_documents, written_digest, digest_subjects, written_map, mapped_fields, streamed_signals, streamed_windows, streamed_sessions, streamed_batches)}
 
 _C = "customer JOIN nation ON n_nationkey = c_nationkey"
 _O = "orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"
@@ -493,3 +502,4 @@ CASE WHEN c_custkey % 2 = 0 THEN 'H1H1H1' WHEN c_custkey % 3 = 0 THEN 'G1G' END
     "streamed_sessions": f"WITH {SIGNALS}, g AS (SELECT company_id, detected_at, CASE WHEN detected_at < lag(detected_at) OVER (PARTITION BY company_id ORDER BY detected_at) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS first FROM signals), s AS (SELECT *, sum(first) OVER (PARTITION BY company_id ORDER BY detected_at, first) AS session FROM g), w AS (SELECT company_id, session, count(*) AS n, max(detected_at) + INTERVAL 12 HOURS AS stop FROM s GROUP BY 1, 2) SELECT company_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS signals FROM w WHERE stop <= (SELECT max(detected_at) FROM signals) GROUP BY company_id",
     "streamed_batches": f"WITH {SIGNALS} SELECT 's' AS source, count(DISTINCT concat(company_id, '-', signal_type)) AS refs FROM signals",
 }
+SQL["awards_in_ranges"] = SQL["awarded_contracts"]

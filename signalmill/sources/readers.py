@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from signalmill.functions.numbers import parse_date, quarter_date
 from signalmill.functions.text import city_and_province, composed_address, normalise
 from signalmill.operators.relational import latest
+from signalmill.sources import large_json
 from signalmill.sources.signals import date, fields, header_aliases, not_in_the_future, number, reference, signals, since, text
 
 
@@ -46,16 +47,21 @@ RELEASE = {
 }
 
 
-def contract_awards(spark: SparkSession, path: str, start: datetime | None = None) -> DataFrame:
+def contract_awards(spark: SparkSession, path: str, start: datetime | None = None, part_bytes: int | None = None) -> DataFrame:
     """Open-contracting releases (an object with ``releases``, or a list of them):
     a signal for each supplier of each award. The reference names the supplier
-    too, so suppliers of one award don't hide each other."""
+    too, so suppliers of one award don't hide each other. With ``part_bytes`` a file
+    is read by many tasks, in ranges of so many bytes; else by one."""
     inner = ",".join(f"{k}:{v}" for k, v in RELEASE.items())
     outer = ", ".join(f"{k} {v}" for k, v in RELEASE.items())
-    raw = spark.read.json(path, schema=f"releases array<struct<{inner}>>, {outer}", multiLine=True)
-    raw = raw.where(covers(F.col("_metadata.file_name"), start))
-    one = F.struct(*RELEASE)
-    release = raw.select(F.explode(F.when(F.col("releases").isNotNull(), F.col("releases")).otherwise(F.array(one))).alias("r"))
+    if part_bytes:
+        each = large_json.records(spark, path, "releases", part_bytes).where(covers(F.element_at(F.split("path", "/"), -1), start))
+        release = each.select(F.from_json("value", outer).alias("r"))
+    else:
+        raw = spark.read.json(path, schema=f"releases array<struct<{inner}>>, {outer}", multiLine=True)
+        raw = raw.where(covers(F.col("_metadata.file_name"), start))
+        one = F.struct(*RELEASE)
+        release = raw.select(F.explode(F.when(F.col("releases").isNotNull(), F.col("releases")).otherwise(F.array(one))).alias("r"))
     each = release.select("r", F.explode("r.awards").alias("a")).select("r", "a", F.explode("a.suppliers").alias("s"))
     party = F.try_element_at(F.filter("r.parties", lambda p: p["id"] == F.col("s.id")), F.lit(1))
     buyer = F.coalesce(F.try_element_at(F.filter("r.parties", lambda p: F.array_contains(p["roles"], "buyer")), F.lit(1))["name"], F.col("r.buyer.name"))
