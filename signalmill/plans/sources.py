@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from signalmill.operators.diff import KINDS, Limits, read_journal, run
 from signalmill.plans.dossiers import _folder
 from signalmill.plans.views import AS_OF, SIGNALS, SNAPSHOTS, Query, orders_after, orders_before, signals, table
-from signalmill.sources import readers, signals as schema, sinks
+from signalmill.sources import readers, signals as schema, sinks, zips
 from signalmill.streaming import signals as streams
 
 
@@ -272,6 +272,43 @@ def inspected_zip(spark, sf_dir):
     return seen.select("member", F.array_join("header", "|").alias("header"), F.array_join("first", "|").alias("first"), (F.col("bytes") > 0).alias("filled"), F.lit(len(members)).alias("members"), F.lit(unpacked).alias("unpacked"))
 
 
+def _zips(spark, rows, member: str) -> str:
+    """A zip for each partition, its rows streamed into one CSV member; an archive
+    is named by its task's attempt and renamed when whole."""
+    path, titles = _folder(spark, "zips"), rows.columns
+
+    def pack(batches):
+        import csv
+
+        import pandas as pd
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        system, place = fs.FileSystem.from_uri(path)
+        system.create_dir(place, recursive=True)
+        part, whole = f"{place}/{task.taskAttemptId()}.part", f"{place}/{task.partitionId():05d}.zip"
+        with system.open_output_stream(part) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("readme.txt", "no table")
+            with z.open(member, "w") as data, io.TextIOWrapper(data, "utf-8", newline="") as text:
+                lines = csv.writer(text)
+                lines.writerow(titles)
+                for batch in batches:
+                    lines.writerows(batch.itertuples(index=False))
+        system.move(part, whole)
+        yield pd.DataFrame({"archive": [whole]})
+
+    rows.mapInPandas(pack, "archive string").count()
+    return path
+
+
+def read_zips(spark, sf_dir):
+    """Orders from members of many archives, which are not unpacked."""
+    rows = _orders(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("key"), F.concat(F.lit('é "'), "c_name", F.lit('",\n'), "n_name").alias("holder"), F.col("o_totalprice").cast("string").alias("price"), _day("o_orderdate").alias("day"))
+    got = zips.zip_members(spark, _zips(spark, rows, "in/orders.csv"), ["day", "key", "holder"], "in/*.csv")
+    return got.select("key", "holder", F.to_date("day").alias("day"), "member")
+
+
 HEADERS = (("Nom de l'Entreprise", "Code postal", "Région administrative"), ("ENTREPRISE", "code_postal", "VILLE region"), ("region", "Entreprise (nom)", "Mon Code-Postal"), ("Nom", "Code postal", "Pays"))
 ROLES = {"name": ["entreprise", "nom"], "code": ["code_postal"], "region": ["region"]}
 
@@ -449,7 +486,7 @@ def streamed_batches(spark, sf_dir):
     return spark.read.parquet(out).groupBy("source").agg(F.count_distinct("source_ref").alias("refs"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (awarded_contracts, awards_in_ranges, covered_files, read_federal_contracts, read_federal_grants, read_provincial_contracts, read_building_permits, read_toronto_licences, read_vancouver_licences, new_licences, read_job_board, read_aggregated_jobs, read_growth_ranking, read_embedded_ranking, read_funding_table, read_foreign_workers, read_flat_registry, read_corporations, french_resources, corporation_moves, linked_registry, registry_name_list, inspected_zip, resolved_headers, read_fallback_journal, fallback_journal_counts, archived_generations, finished_runs, notification_documents, written_digest, digest_subjects, written_map, mapped_fields, streamed_signals, streamed_windows, streamed_sessions, streamed_batches)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (awarded_contracts, awards_in_ranges, covered_files, read_federal_contracts, read_federal_grants, read_provincial_contracts, read_building_permits, read_toronto_licences, read_vancouver_licences, new_licences, read_job_board, read_aggregated_jobs, read_growth_ranking, read_embedded_ranking, read_funding_table, read_foreign_workers, read_flat_registry, read_corporations, french_resources, corporation_moves, linked_registry, registry_name_list, inspected_zip, read_zips, resolved_headers, read_fallback_journal, fallback_journal_counts, archived_generations, finished_runs, notification_documents, written_digest, digest_subjects, written_map, mapped_fields, streamed_signals, streamed_windows, streamed_sessions, streamed_batches)}
 
 _C = "customer JOIN nation ON n_nationkey = c_nationkey"
 _O = "orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"
@@ -502,4 +539,5 @@ CASE WHEN c_custkey % 2 = 0 THEN 'H1H1H1' WHEN c_custkey % 3 = 0 THEN 'G1G' END
     "streamed_sessions": f"WITH {SIGNALS}, g AS (SELECT company_id, detected_at, CASE WHEN detected_at < lag(detected_at) OVER (PARTITION BY company_id ORDER BY detected_at) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS first FROM signals), s AS (SELECT *, sum(first) OVER (PARTITION BY company_id ORDER BY detected_at, first) AS session FROM g), w AS (SELECT company_id, session, count(*) AS n, max(detected_at) + INTERVAL 12 HOURS AS stop FROM s GROUP BY 1, 2) SELECT company_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS signals FROM w WHERE stop <= (SELECT max(detected_at) FROM signals) GROUP BY company_id",
     "streamed_batches": f"WITH {SIGNALS} SELECT 's' AS source, count(DISTINCT concat(company_id, '-', signal_type)) AS refs FROM signals",
 }
+SQL["read_zips"] = f"SELECT CAST(o_orderkey AS VARCHAR) AS key, concat('é \"', c_name, '\",', chr(10), n_name) AS holder, {_D} AS day, 'in/orders.csv' AS member FROM {_O}"
 SQL["awards_in_ranges"] = SQL["awarded_contracts"]
