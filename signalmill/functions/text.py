@@ -216,6 +216,7 @@ def links(html: Column) -> Column:
 def contacts(text: Column) -> Column:
     """Struct of the first e-mail address, phone number and staff count."""
     first = lambda pattern, group=0: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    # The patterns of what is found.
     return F.struct(
         first(r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+").alias("email"),
         first(r"(\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}").alias("phone"),
