@@ -39,8 +39,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A dictionary is built from at most so many records and bytes of an archive.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 20, 16 << 10
-#: Bytes of html of an archive.
-FILE_BYTES = 32 << 20
+#: Bytes of html of an archive, and rows of a file of the manifest.
+FILE_BYTES, MANIFEST_ROWS = 32 << 20, 10_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -142,15 +142,22 @@ def read_archive(source, piece: int = 1 << 16) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def repeated_payloads(df: DataFrame, key: str = "page_id", html_column: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(key, digest, first) of pages whose payload has a page with a smaller key.
+def payload_digests(df: DataFrame, key: str = "page_id", html_column: str = "html") -> DataFrame:
+    """(key, digest, size) of every page, itself written once: the texts are read
+    and hashed for it a single time, whatever is asked of it later."""
+    return materialize(df.select(F.col(key).cast("long").alias("key"), _digest(html_column).alias("digest"), _size(html_column).alias("size")))
+
+
+def repeated_payloads(digests: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(key, digest, first) of pages whose payload has a page with a smaller key,
+    a row for each such page, so that a repeated key may be named repeatedly.
 
     Only keys and digests are shuffled; a payload that many pages share is
     summed where it lies, and its pages join by a join that Spark can split.
     """
-    pages = df.select(F.col(key).cast("long").alias("key"), _digest(html_column).alias("digest"), _size(html_column).alias("size")).where(F.col("size") >= least_bytes)
+    pages = digests.where(F.col("size") >= least_bytes)
     first = pages.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    return pages.select("key", "digest").distinct().join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "digest", "first")
+    return pages.select("key", "digest").join(first, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "digest", "first")
 
 
 def _digest(html_column: str):
@@ -162,8 +169,8 @@ def _size(html_column: str):
 
 
 def write_warc(df: DataFrame, folder: str, key: str = "page_id", url_column: str = "url", html_column: str = "html", least_bytes: int = 0, partitions: int | None = None) -> DataFrame:
-    """Writes archives and returns their manifest, itself written once: number,
-    path, records.
+    """Writes archives and returns their manifest, itself written once, in files
+    of many rows: number, path, records.
 
     Payloads are shuffled once, by ranges of the key; the rows that say whom a
     page revisits travel with them and are merged in the sorted partition.
@@ -203,15 +210,17 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url_column: str
         yield pa.RecordBatch.from_pylist([{"file": number, "path": sink.path, "records": count}], pa.schema([("file", pa.int32()), ("path", pa.string()), ("records", pa.int64())]))
 
     none = F.lit(None)
-    pages = df.select(F.col(key).cast("long").alias("key"), _digest(html_column).alias("digest"), none.cast("long").alias("first"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), (_size(html_column) >= least_bytes).alias("large"), F.lit(False).alias("drawn"))
-    said = repeated_payloads(df, key, html_column, least_bytes).select("key", "digest", "first", none.cast("string").alias("url"), none.cast("string").alias("html"), F.lit(True).alias("large"), F.lit(False).alias("drawn"))
-    count, total = df.agg(F.count("*"), F.sum(_size(html_column))).first()
+    digests = payload_digests(df, key, html_column)
+    count, total = digests.agg(F.count("*"), F.sum("size")).first()
     partitions = partitions or parts_of(df.sparkSession, total or 0, FILE_BYTES)
     share = min(1.0, SAMPLE_RECORDS * partitions / max(1, count))
-    drawn = pages.where(F.pmod(F.xxhash64("key", "url", "digest"), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("drawn", F.lit(True))
-    both = pages.unionByName(said).unionByName(drawn)
+    chosen = F.pmod(F.xxhash64("key", "url", "digest"), F.lit(1 << 30)) < int(share * (1 << 30))
+    pages = df.select(F.col(key).cast("long").alias("key"), _digest(html_column).alias("digest"), none.cast("long").alias("first"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), (_size(html_column) >= least_bytes).alias("large"))
+    pages = pages.withColumn("drawn", F.explode(F.array(F.lit(False), F.lit(True)))).where(~F.col("drawn") | chosen)  # page and drawn copy from one reading
+    said = repeated_payloads(digests, least_bytes).select("key", "digest", "first", none.cast("string").alias("url"), none.cast("string").alias("html"), F.lit(True).alias("large"), F.lit(False).alias("drawn"))
     order = [F.desc("drawn"), "key", "digest", F.col("first").asc_nulls_last(), "url"]
-    return materialize(both.repartitionByRange(partitions, "key").sortWithinPartitions(*order).mapInArrow(write, "file int, path string, records long"))
+    written = pages.unionByName(said).repartitionByRange(partitions, "key").sortWithinPartitions(*order).mapInArrow(write, "file int, path string, records long")
+    return materialize(written.repartition(-(-partitions // MANIFEST_ROWS)))
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:

@@ -223,6 +223,20 @@ def test_small_payloads_are_never_revisits(spark, tmp_path):
     assert {r.page_id: r.refers_to for r in made if r.payload_bytes == 11 and r.page_id == 5} == {5: 3}
 
 
+def test_pages_are_read_three_times_and_the_manifest_is_not_a_file_for_each_archive(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    manifest = warc.write_warc(pages.mapInArrow(counted, pages.schema), f"file://{tmp_path}/warc", partitions=7)
+    assert manifest.count() == 7 and manifest.rdd.getNumPartitions() == 1
+    assert reads.value == 3 * pages.count()  # for digests, for the ranges of keys, for the archives
+
+
 def brute_nearest(rows, k):
     usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float) != 0)]
     size = Counter(len(v) for _, v in usable).most_common(1)[0][0]
