@@ -426,7 +426,7 @@ def written_map(spark, sf_dir):
     places = s.select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 10 != 0, (F.col("s_suppkey") % 90).cast("double")).alias("lat"), (F.col("s_suppkey") % 180).cast("double").alias("lon"), F.col("s_acctbal").alias("score"))
     path = f"{_folder(spark, 'map')}/map.html"
     sinks.write_map(places, path)
-    page = spark.read.text(path, wholetext=True)
+    page = spark.read.text(path)  # a line for each point
     dots = page.select(F.explode(F.regexp_extract_all("value", F.lit("<circle cx='([0-9.]+)'"), F.lit(1))).alias("x"))
     return dots.groupBy(F.col("x").cast("double").alias("x")).agg(F.count("*").alias("n"))
 
