@@ -139,12 +139,13 @@ def opening(kind: Column, name: Column, value: Column) -> Column:
 
 def pages_to_visit(links: DataFrame, categories: dict[str, str], most: int = 6) -> DataFrame:
     """(site, url, category): of each site the first page of each category, links
-    of the same host only, up to ``most``. ``links`` has (site, place, url);
+    of the same host only, up to ``most``; of links at the same place (a site may
+    have several pages) the first url. ``links`` has (site, place, url);
     categories are patterns of paths."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(categories.items()):
         kind = F.when(F.col("url").rlike(f"(?i){pattern}"), name).otherwise(kind)
     host = lambda c: F.coalesce(F.regexp_extract(c, r"^https?://(?:www\.)?([^/]+)", 1), F.lit(""))
     own = (host(F.col("url")) == "") | (host(F.col("url")) == host(F.col("site")))
-    first = top(links.where(own).withColumn("category", kind).where("category is not null"), ["site", "category"], [F.col("place")], 1).drop("rank")
-    return top(first, ["site"], [F.col("place")], most).select("site", "url", "category")
+    first = top(links.where(own).withColumn("category", kind).where("category is not null"), ["site", "category"], [F.col("place"), F.col("url")], 1).drop("rank")
+    return top(first, ["site"], [F.col("place"), F.col("url")], most).select("site", "url", "category")

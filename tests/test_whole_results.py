@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from signalmill.operators import profiles
 from signalmill.sources import sinks
 
 
@@ -11,3 +12,11 @@ def test_a_map_shows_every_point(spark, tmp_path):
     page = (tmp_path / "map.html").read_text()
     assert page.count("<circle") == 6001 and page.index("<title>n 6000 ") < page.index("<title>n 5999 ")
     assert page.startswith("<!DOCTYPE html>") and page.endswith("</svg>")
+
+
+def test_links_at_one_place_go_by_their_url(spark):
+    rows = [("http://a", 0, "/tb"), ("http://a", 0, "/ta"), ("http://a", 1, "/u2"), ("http://a", 1, "/u1"), ("http://a", 1, "/ab")]
+    wanted = {"t": "^/t", "vowel": "^/[eiou]", "a": "^/a"}
+    for some in (rows, rows[::-1]):
+        links = spark.createDataFrame(some, "site string, place int, url string").coalesce(1)
+        assert {(r.url, r.category) for r in profiles.pages_to_visit(links, wanted, 2).collect()} == {("/ta", "t"), ("/ab", "a")}
