@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalmill.operators import blocking, dedup, diff, dossiers, profiles, relevance, reports, resolution
 from signalmill.operators.relational import top
+from signalmill.operators.storage import materialize
 from signalmill.plans.names import _RANKED
 from signalmill.plans.views import EDIT_SCORE, NAMES, SIGNALS, SNAPSHOTS, Query, cities, dirty_names, edit_score, orders_after, orders_before, registry_names, signals, table
 
@@ -100,25 +101,28 @@ def deciding_forms(spark, sf_dir):
     return dossiers.deciding_forms(matches, elected, forms)
 
 
-def _decided(spark, sf_dir, with_cities: bool, shorter: bool = False):
-    from signalmill.functions.text import without_legal_form
+def _best(asked, known):
+    return resolution.best_by_prefix(asked, known, score=edit_score(F.col("asked"), F.col("name")))
 
-    asked, known = dirty_names(spark, sf_dir), registry_names(spark, sf_dir).where("not retired").select("id", "name")
-    if shorter:
-        asked, known = (x.withColumn("name", without_legal_form(F.col("name"))) for x in (asked, known))
-    found = blocking.by_prefix(known, asked, None).select("query_id", "id", "name")
-    best = resolution.best_names(asked, found, edit_score(F.col("asked"), F.col("name")))
-    return resolution.decide(asked, resolution.ranked(asked, best, cities(spark, sf_dir) if with_cities else None))
+
+def _asked_and_known(spark, sf_dir):
+    return dirty_names(spark, sf_dir), registry_names(spark, sf_dir).where("not retired").select("id", "name")
 
 
 def replay_without_city(spark, sf_dir):
     """What decisions become when cities add nothing."""
-    return dossiers.replay(_decided(spark, sf_dir, True), _decided(spark, sf_dir, False))
+    asked, known = _asked_and_known(spark, sf_dir)
+    best = materialize(_best(asked, known))  # the same for both
+    return dossiers.replay(*[resolution.decide(asked, resolution.ranked(asked, best, there)) for there in (cities(spark, sf_dir), None)])
 
 
 def replay_without_legal_forms(spark, sf_dir):
     """What decisions become when both sides lose their legal forms."""
-    return dossiers.replay(_decided(spark, sf_dir, True), _decided(spark, sf_dir, True, True))
+    from signalmill.functions.text import without_legal_form
+
+    usual = _asked_and_known(spark, sf_dir)
+    bare = tuple(x.withColumn("name", without_legal_form(F.col("name"))) for x in usual)
+    return dossiers.replay(*[resolution.decide(asked, resolution.ranked(asked, _best(asked, known), cities(spark, sf_dir))) for asked, known in (usual, bare)])
 
 
 def _compared(spark, sf_dir, before: dict, after: dict, asked=None, known=None):

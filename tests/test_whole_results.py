@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from signalmill.operators import profiles
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from signalmill.functions.fuzzy import weighted_ratio
+from signalmill.operators import profiles, resolution
+from signalmill.plans import catalog
 from signalmill.sources import sinks
 
 
@@ -20,3 +26,61 @@ def test_links_at_one_place_go_by_their_url(spark):
     for some in (rows, rows[::-1]):
         links = spark.createDataFrame(some, "site string, place int, url string").coalesce(1)
         assert {(r.url, r.category) for r in profiles.pages_to_visit(links, wanted, 2).collect()} == {("/ta", "t"), ("/ab", "a")}
+
+
+def like_sql(spark, folder, name: str, **tables) -> None:
+    """Holds a query to its SQL on small tables made for it."""
+    con = duckdb.connect()
+    for table, rows in tables.items():
+        rows.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got, want = catalog.queries()[name](spark, str(folder)), con.execute(catalog.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(str(spark.createDataFrame([r], got.select(*columns).schema).first()) for r in want.fetchall())
+
+
+def test_a_pass_looks_at_all_names_of_a_first_word(spark, tmp_path):
+    parts = spark.range(2100).selectExpr("id AS p_partkey", "concat('red z', lpad(id, 4, '0')) AS p_name", "'Brand#1' AS p_brand", "'LARGE' AS p_type")
+    like_sql(spark, tmp_path, "resolved_by_edits", part=parts, supplier=spark.createDataFrame([(2099,), (2098,)], "s_suppkey long"))
+
+
+def counted(spark):
+    """The weighted similarity of two columns, and how many pairs it was asked for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(a, b):
+        seen.add(1)
+        return weighted_ratio(a, b) if a and b else 0.0
+
+    return score.asNondeterministic(), seen
+
+
+@pytest.mark.parametrize("how", ["first pass", "three passes"])
+def test_equal_names_are_compared_once(spark, how):
+    asked = spark.range(40).selectExpr("id AS query_id", "concat('red gear ', id % 2) AS name", "concat('c', id % 3) AS city")
+    names = spark.range(60).selectExpr("id", "concat('red gear ', id % 3) AS name", "id % 7 = 0 AS retired")
+    cities = names.selectExpr("id", "concat('c', id % 3) AS city")
+    score, seen = counted(spark)
+    run = resolution.resolve if how == "three passes" else resolution.decisions_under
+    got = run(asked, names if how == "three passes" else names.drop("retired"), cities, score=score(F.col("asked"), F.col("name")))
+    assert len(got.collect()) == 40
+    assert 0 < seen.value <= 2 * 3 * (5 if how == "three passes" else 2)
+
+
+def test_best_ids_are_those_of_all_names(spark):
+    """Ids of several names, names of several ids, and a limit within a name's ids."""
+    names = [(k, f"red {w}") for k in range(30) for w in {f"gear{k % 4}", f"gears{k % 3}", "ring"}] + [(k, "redder gear1") for k in range(6)]
+    asked = [(0, "red gear1"), (1, "red gear1"), (2, "red rings"), (3, "blue"), (4, ""), (5, None), (6, "redd gear1")]
+    known, wanted = spark.createDataFrame(names, "id int, name string"), spark.createDataFrame(asked, "query_id int, name string")
+    for limit in (None, 7, 40):
+        listed = sorted((n, k) for k, n in names)
+        want = set()
+        for q, name in asked:
+            met = [(n, k) for n, k in listed if name and n.startswith(name.split(" ")[0])][:limit]
+            best = {}
+            for n, k in met:
+                best[k] = max(best.get(k, 0.0), weighted_ratio(name, n))
+            want |= {(q, k, round(s, 6)) for s, k in sorted((-s, k) for k, s in best.items())[:5] for s in [-s]}
+        got = {(r.query_id, r.id, round(r.score, 6)) for r in resolution.best_by_prefix(wanted, known, limit).collect()}
+        assert got == want
