@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.text import amount, normalise
+from signalmill.operators.blocking import in_tiles
 from signalmill.operators.relational import top
+from signalmill.operators.storage import materialize
 
 # Plans from the least to the greatest, and days.
 PLANS = ("basic", "plus", "full")
@@ -119,9 +121,15 @@ def best_city(signals: DataFrame) -> DataFrame:
 
 
 def overlapping_directories(directory: DataFrame, names: DataFrame, separator: str = "//") -> DataFrame:
-    """(id, entry): names found in a directory whose cells may hold several."""
+    """(id, entry): names found in a directory whose cells may hold several. Ids of
+    the same names and entries of the same names meet as one, and are dealt out in
+    tiles; each is in one class only, so no pair comes twice."""
     each = directory.select("entry", F.explode(F.split("names", separator)).alias("name")).select("entry", normalise(F.col("name")).alias("name")).where("name <> ''")
-    return names.join(each, "name").select("id", "entry").distinct()
+    own = materialize(names.where("name is not null").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("_own")))
+    theirs = materialize(each.groupBy("entry").agg(F.array_sort(F.collect_set("name")).alias("_theirs")))
+    classes = lambda rows, c: rows.select(c).distinct().withColumn("name", F.explode(c)).hint("merge")
+    links = classes(own, "_own").join(classes(theirs, "_theirs"), "name").select("_own", "_theirs").distinct()
+    return in_tiles(materialize(own.join(links, "_own").select("id", "_theirs")), theirs, "_theirs", "id", "entry", 4096).select("id", "entry")
 
 
 def reason(kind: Column, value: Column, keywords: Column) -> Column:
