@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.functions import blocks
 from signalmill.functions.fuzzy import edit_similarity, letters
 from signalmill.operators import blocking
 from signalmill.operators.relational import top
@@ -29,6 +30,8 @@ from signalmill.operators.storage import materialize
 STEPS = (92.0, 84.0, 76.0, 68.0)
 #: Below it pieces are so short that they tell nothing: names left are compared with all.
 LEAST_BY_PIECES = 55.0
+#: A meeting by a piece costs about as much as so many pairs of a block.
+PIECE_WORK = 20.0
 
 
 def _edits(length: Column, least: float) -> Column:
@@ -89,30 +92,43 @@ def similar_names(names: DataFrame, others: DataFrame, least: float) -> DataFram
     return pairs.withColumn("score", edit_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least).select("a", "b", "score")
 
 
-def best_matches(pool: DataFrame, least: float, most: int) -> DataFrame:
+def _meetings(names: DataFrame, others: DataFrame, least: float) -> float:
+    """How often names would meet by pieces."""
+    keys = ["m", "d", "i", "piece"]
+    total = lambda a, b: _asked(a, least).groupBy(*keys).agg(F.count("*").alias("_n")).join(_indexed(b, least).groupBy(*keys).agg(F.count("*").alias("_of")), keys).agg(F.sum(F.col("_n").cast("double") * F.col("_of"))).first()[0] or 0.0
+    return total(names, others) + total(others, names)
+
+
+def best_matches(pool: DataFrame, least: float, most: int, kind: type = blocks.Edits) -> DataFrame:
     """(query_id, id, score, rank): for each company of ``pool`` (company_id, name,
-    provinces array) the best ``most`` that have a province it lacks.
+    provinces array) the best ``most`` that have a province it lacks, by edits or
+    another score of :mod:`signalmill.functions.blocks`.
 
     Companies of equal name and provinces have the same matches, and none of them
     matches another, so they are searched once: a class of such companies, of which
     the first ``most`` ids can be anybody's matches. Null names or provinces and
-    empty names match nothing.
+    empty names match nothing. By edits, names meet by pieces as long as that is
+    less work than comparing all of them in blocks, which the last step does.
     """
     named = materialize(pool.where("name <> '' AND provinces IS NOT NULL").select("company_id", "name", F.array_sort(F.array_distinct("provinces")).alias("provinces")))
     first = top(named, ["name", "provinces"], [F.col("company_id")], most)
-    heads = materialize(first.groupBy("name", "provinces").agg(F.array_sort(F.collect_list("company_id")).alias("ids")))
+    heads = first.groupBy("name", "provinces").agg(F.array_sort(F.collect_list("company_id")).alias("ids"))
+    heads = blocking.numbered(heads, "_r", F.element_at("ids", 1))
     left, found = heads.select("name", "provinces"), []
-    steps = [*(s for s in STEPS if s > least), least]
-    for step in steps:
+    all_ = heads.count()
+    for step in (s for s in STEPS if s > least) if kind is blocks.Edits else ():
+        if PIECE_WORK * _meetings(left.select("name").distinct(), heads.select("name").distinct(), step) > float(left.count()) * all_:
+            break
         pairs = similar_names(left.select("name"), heads.select("name"), step)
         theirs = heads.select(F.col("name").alias("b"), F.col("provinces").alias("_theirs"), "ids")
         near = left.join(pairs, left["name"] == pairs["a"]).join(theirs, "b").where(F.size(F.array_except("_theirs", "provinces")) > 0)
         best = materialize(top(near.select("name", "provinces", F.explode("ids").alias("id"), "score"), ["name", "provinces"], [F.col("score").desc(), F.col("id")], most))
-        if step == least:
-            found.append(best)
-            break
         done = best.groupBy("name", "provinces").agg(F.count("*").alias("n")).where(F.col("n") == most).drop("n")
         found.append(best.join(done, ["name", "provinces"], "left_semi"))
         left = materialize(left.join(done, ["name", "provinces"], "left_anti"))
+    own = blocking.numbered(left.withColumn("_all", F.lit(0)), "_l")
+    near = blocking.in_blocks(own.withColumnRenamed("name", "a"), heads.select(F.lit(0).alias("_all"), "_r", F.col("name").alias("b"), "provinces"), "_all", kind, least, most)
+    near = near.join(own.select("_l", "name", "provinces"), "_l").join(heads.select("_r", "ids"), "_r")
+    found.append(top(near.select("name", "provinces", F.explode("ids").alias("id"), "score"), ["name", "provinces"], [F.col("score").desc(), F.col("id")], most))
     matches = reduce(DataFrame.unionByName, found)
     return named.join(matches, ["name", "provinces"]).select(F.col("company_id").alias("query_id"), "id", "score", "rank")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from signalmill.functions import blocks
 from signalmill.functions.fuzzy import weighted_ratio
 from signalmill.operators import blocking, dedup, dossiers, profiles, resolution
 from signalmill.plans import catalog
@@ -125,3 +127,39 @@ def test_pairs_of_a_directory_come_once_without_a_distinct_over_them(spark):
     got = profiles.overlapping_directories(directory, names)
     assert sorted(map(tuple, got.collect())) == [(7, 1), (7, 2), (7, 3), (8, 1), (8, 2), (8, 3)]
     assert not re.search(r"keys=\[id#\d+L?, entry#", got._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("kind", [blocks.Weighted, blocks.Edits])
+def test_scores_of_blocks_are_those_of_pairs(kind):
+    one = weighted_ratio if kind is blocks.Weighted else lambda a, b: round(100 * (1 - blocks._distance(a, b) / max(len(a), len(b))) + 1e-9, 4)
+    for seed, letters in enumerate(("abcde", "abé ñxyz", "ab")):
+        draw = random.Random(seed)
+        words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(30)]
+        left, right = ([" ".join(draw.choice(words) for _ in range(draw.randint(1, 5))) for _ in range(n)] for n in (20, 40))
+        left, right = [*left, "x" * 75, "b a "], [*right, "x" * 70, "x" * 80 + " y", " a  b ", "a b"]
+        told = {(i, j): one(a, b) for i, a in enumerate(left) for j, b in enumerate(right)}
+        for least in (0.0, 60.0, 85.0):
+            found = {(i, j): s for i, j, s in zip(*(x.tolist() for x in blocks.pairs(kind, left, right, least)), strict=True)}
+            assert found == {k: s for k, s in told.items() if s >= least}
+        best = sorted(zip(*(x.tolist() for x in blocks.pairs(kind, left, right, 50.0, 3)), strict=True))
+        assert best == sorted((i, j, -s) for i in range(len(left)) for s, j in sorted((-told[i, j], j) for j in range(len(right)) if told[i, j] >= 50)[:3])
+
+
+def test_links_and_duplicates_are_those_of_all_pairs(spark):
+    draw = random.Random(3)
+    names = [" ".join(draw.choice(["red", "reddish", "gear", "ring", "co", "nord", "sud"]) for _ in range(draw.randint(1, 3))) for _ in range(60)] + ["1234 5678 canada", "1234 5679 canada"] * 2
+    rows = [(k, n, draw.choice(["x", " X", "y", "", None]), draw.choice([["QC"], ["ON"], ["QC", "ON"], [], None])) for k, n in enumerate([*names, "", None])]
+    pool = spark.createDataFrame(rows, "company_id int, name string, city string, provinces array<string>")
+    lacks = lambda p, q: p is not None and q is not None and bool(set(q) - set(p))
+    links = {}
+    for k, n, _, p in rows:
+        found = sorted((-weighted_ratio(n, m), j) for j, m, _, q in rows if n and m and j != k and lacks(p, q) and weighted_ratio(n, m) >= 80)
+        links |= {(min(k, j), max(k, j)): -s for s, j in found[:3]}
+    assert {(r.a, r.b): r.score for r in dedup.cross_province(pool).collect()} == links
+    own = lambda c: (c or "").strip().lower()
+    alike = {}
+    for k, n, c, _ in rows:
+        for j, m, d, _ in rows:
+            if k < j and n and m and (n.startswith(m.split(" ")[0]) or m.startswith(n.split(" ")[0])) and not (n[0] == "1" and m[0] == "1" and n != m):
+                alike[k, j] = min(100.0, weighted_ratio(n, m) + (5 if own(c) and own(c) == own(d) else 0))
+    assert {(r.older, r.younger): r.score for r in dedup.candidate_pairs(pool).collect()} == {k: s for k, s in alike.items() if s >= 90}
